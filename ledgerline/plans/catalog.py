@@ -8,7 +8,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.plans import oracle_shop, shop
+from ledgerline.plans import epidemic, oracle_epidemic, oracle_shop, shop
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,10 +38,12 @@ def queries() -> dict[str, Query]:
         "running_revenue_pct": shop.running_revenue_pct,
         "dynamic_discount": shop.dynamic_discount,
     }
+    q.update(epidemic.QUERIES)
     return q
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(oracle_shop.SQL)
+    out.update(oracle_epidemic.SQL)
     return out
