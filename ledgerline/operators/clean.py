@@ -102,15 +102,16 @@ def fill_from_group(df: DataFrame, key: str, target: str, tiebreak: str,
     return out.select(*[filled.alias(c) if c == target else F.col(c) for c in df.columns])
 
 
-def donor_preview(df: DataFrame, key: str, target: str, row_id: str,
-                  blank_is_null: bool = True) -> DataFrame:
+def donor_preview(df: DataFrame, key: str, target: str, tiebreak: str,
+                  show: Sequence[str] = (), blank_is_null: bool = True) -> DataFrame:
     """Rows that would be filled, with the chosen donor value and the number
     of candidate donors (one row per target row, not one per donor pair)."""
-    donors = _donors(df, key, target, row_id, blank_is_null)
+    donors = _donors(df, key, target, tiebreak, blank_is_null)
     cur = _blank(target) if blank_is_null else F.col(target)
-    targets = df.filter(cur.isNull()).select(row_id, key, target)
+    cols = list(dict.fromkeys([*show, key, target]))
+    targets = df.filter(cur.isNull()).select(*cols)
     return targets.join(donors, key, "left").select(
-        row_id, key, target, F.col("_donor").alias("donor_value"),
+        *cols, F.col("_donor").alias("donor_value"),
         F.coalesce(F.col("_donors"), F.lit(0)).alias("donor_count"))
 
 

@@ -1,0 +1,53 @@
+"""Ordered cleaning pipelines (C33) composed from the single-step
+operators with ``DataFrame.transform``. Order matters: blanks become NULL
+before the peer fill, de-duplication runs on the raw values."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerline.functions import dates, text
+from ledgerline.operators import clean
+
+
+def layoffs_pipeline(raw: DataFrame, recode_prefix: tuple[str, str] = ("Crypto", "Crypto"),
+                     country_prefix: str = "United States", date_format: str = "M/d/yyyy",
+                     fold_company: bool = False) -> DataFrame:
+    """Raw layoffs -> cleaned layoffs:
+    exact de-duplication, trim company, collapse an industry prefix, strip
+    trailing dots from matching countries, parse the date text, blank
+    industry -> NULL, fill industry from the same company, drop rows
+    without any measure."""
+    fold = ("company",) if fold_company else ()
+    return (raw
+            .transform(lambda d: clean.dedup_exact(d, fold=fold))
+            .withColumn("company", F.trim("company"))
+            .withColumn("industry", text.recode_prefix("industry", *recode_prefix))
+            .withColumn("country", text.strip_trailing("country", ".", country_prefix))
+            .withColumn("date", dates.parse_date("date", date_format))
+            .withColumn("industry", F.nullif(F.col("industry"), F.lit("")))
+            .transform(lambda d: clean.fill_from_group(d, "company", "industry", "industry",
+                                                         blank_is_null=False))
+            .transform(lambda d: clean.drop_unmeasured(
+                d, ["total_laid_off", "percentage_laid_off"])))
+
+
+def housing_pipeline(raw: DataFrame) -> DataFrame:
+    """Raw sales -> cleaned sales: date-only sale date, property address
+    filled from the same parcel, address/city split at the first comma,
+    owner address split from the right, Y/N recoded, duplicate sales (same
+    parcel, address, date, price, legal reference) reduced to the lowest
+    UniqueID, raw columns dropped."""
+    out = raw.withColumn("SaleDateConverted", dates.to_date_only("SaleDate"))
+    out = clean.fill_from_group(out, "ParcelID", "PropertyAddress", "UniqueID",
+                                blank_is_null=False)
+    head, tail = text.split_first("PropertyAddress")
+    out = out.withColumn("PropSplitAddress", head).withColumn("PropSplitCity", tail)
+    out = (out.withColumn("OwnerSplitAddress", text.split_right("OwnerAddress", 3))
+              .withColumn("OwnerSplitCity", text.split_right("OwnerAddress", 2))
+              .withColumn("OwnerSplitState", text.split_right("OwnerAddress", 1))
+              .withColumn("SoldAsVacant", text.recode("SoldAsVacant", {"Y": "Yes", "N": "No"})))
+    out = clean.dedup(out, ["ParcelID", "PropertyAddress", "SaleDate", "SalePrice",
+                            "LegalReference"], ["UniqueID"], keep="first")
+    return clean.drop_columns(out, ["TaxDistrict", "OwnerAddress", "PropertyAddress", "SaleDate"])

@@ -8,7 +8,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.plans import epidemic, oracle_epidemic, oracle_shop, shop
+from ledgerline.plans import (cleaning, epidemic, oracle_cleaning, oracle_epidemic,
+                              oracle_shop, shop)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,7 @@ def queries() -> dict[str, Query]:
         "dynamic_discount": shop.dynamic_discount,
     }
     q.update(epidemic.QUERIES)
+    q.update(cleaning.QUERIES)
     return q
 
 
@@ -46,4 +48,5 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(oracle_shop.SQL)
     out.update(oracle_epidemic.SQL)
+    out.update(oracle_cleaning.SQL)
     return out
