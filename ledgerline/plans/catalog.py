@@ -8,7 +8,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.plans import (audits, cleaning, oracle_audits, epidemic, oracle_cleaning, oracle_epidemic,
+from ledgerline.plans import (audits, cleaning, hotel_io, oracle_audits, epidemic, oracle_cleaning, oracle_epidemic,
                               oracle_shop, shop)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,7 @@ def queries() -> dict[str, Query]:
     q.update(epidemic.QUERIES)
     q.update(cleaning.QUERIES)
     q.update(audits.QUERIES)
+    q.update(hotel_io.QUERIES)
     return q
 
 
@@ -51,4 +52,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_epidemic.SQL)
     out.update(oracle_cleaning.SQL)
     out.update(oracle_audits.SQL)
+    out.update(hotel_io.SQL)
     return out
