@@ -8,7 +8,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.plans import (audits, cleaning, hotel_io, oracle_audits, epidemic, oracle_cleaning, oracle_epidemic,
+from ledgerline.plans import (audits, cleaning, hotel_io, models, oracle_audits, epidemic, oracle_cleaning, oracle_epidemic,
                               oracle_shop, shop)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,7 @@ def queries() -> dict[str, Query]:
     q.update(cleaning.QUERIES)
     q.update(audits.QUERIES)
     q.update(hotel_io.QUERIES)
+    q.update(models.QUERIES)
     return q
 
 
@@ -53,4 +54,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_cleaning.SQL)
     out.update(oracle_audits.SQL)
     out.update(hotel_io.SQL)
+    out.update(models.SQL)
     return out
