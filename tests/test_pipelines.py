@@ -1,0 +1,50 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ledgerline.operators import pipelines
+from tests.conftest import rows
+
+LAYOFF_SCHEMA = ("company string, location string, industry string, total_laid_off int, "
+                 "percentage_laid_off string, date string, stage string, country string, "
+                 "funds_raised_millions int")
+
+
+def test_layoffs_pipeline(spark):
+    raw = [
+        (" Acme ", "SF", "Crypto Currency", 10, "0.5", "3/6/2023", "A", "United States.", 5),
+        (" Acme ", "SF", "Crypto Currency", 10, "0.5", "3/6/2023", "A", "United States.", 5),  # dup
+        ("Acme", "SF", "", 20, None, "12/31/2022", "B", "United States..", 5),  # blank, peer Crypto
+        ("Solo", "NY", "", 5, "1", None, "C", "Peru.", None),                    # blank, no peer
+        ("Gone", "LA", "Retail", None, None, "1/1/2023", "D", "Chile", 1),        # unmeasured
+        (None, None, None, None, None, None, None, None, None),                  # all NULL x2
+        (None, None, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(raw, LAYOFF_SCHEMA)
+    out = pipelines.layoffs_pipeline(df)
+    got = rows(out, "company", "industry", "date", "country", "total_laid_off")
+    assert got == [("Acme", "Crypto", dt.date(2022, 12, 31), "United States", 20),
+                   ("Acme", "Crypto", dt.date(2023, 3, 6), "United States", 10),
+                   ("Solo", None, None, "Peru.", 5)]
+
+
+def test_housing_pipeline(spark):
+    raw = spark.createDataFrame([
+        (1, "p1", "1 MAIN ST, NASHVILLE", dt.datetime(2019, 1, 2, 10), 100, "L1",
+         "1 MAIN ST, NASHVILLE, TN", "Y", "T"),
+        (2, "p1", None, dt.datetime(2019, 1, 3), 200, "L2", "1 MAIN ST, NASHVILLE", "N", "T"),
+        (3, "p2", "NOCOMMA", dt.datetime(2019, 1, 4), 300, "L3", None, "Yes", "T"),
+        (4, "p2", "NOCOMMA", dt.datetime(2019, 1, 4), 300, "L3", "a, b, c, d, e", "No", "T"),  # dup of 3
+    ], "UniqueID int, ParcelID string, PropertyAddress string, SaleDate timestamp_ntz, "
+       "SalePrice int, LegalReference string, OwnerAddress string, SoldAsVacant string, "
+       "TaxDistrict string")
+    out = pipelines.housing_pipeline(raw)
+    assert "PropertyAddress" not in out.columns and "TaxDistrict" not in out.columns
+    got = {r["UniqueID"]: r for r in out.collect()}
+    assert set(got) == {1, 2, 3}
+    assert (got[2]["PropSplitAddress"], got[2]["PropSplitCity"]) == ("1 MAIN ST", " NASHVILLE")
+    assert got[2]["OwnerSplitAddress"] is None and got[2]["OwnerSplitState"] == " NASHVILLE"
+    assert (got[1]["OwnerSplitAddress"], got[1]["OwnerSplitState"]) == ("1 MAIN ST", " TN")
+    assert (got[3]["PropSplitAddress"], got[3]["PropSplitCity"]) == (None, "NOCOMMA")
+    assert got[1]["SoldAsVacant"] == "Yes" and got[2]["SoldAsVacant"] == "No"
+    assert got[1]["SaleDateConverted"] == dt.date(2019, 1, 2)
