@@ -148,12 +148,24 @@ def one_hot_drop_first(df: DataFrame, col: str, prefix: str | None = None) -> Da
 
 
 def train_predict(train: DataFrame, test: DataFrame, estimator, features: Sequence[str],
-                  label: str, keep: Sequence[str]) -> DataFrame:
+                  label: str, keep: Sequence[str], weight: str | None = None) -> DataFrame:
     """Fit ``estimator`` on ``train`` and score ``test``: keep columns, the
-    predicted class and P(class 1)."""
+    predicted class and P(class 1).
+
+    Iterative trainers scan their input once per iteration, so the
+    assembled training rows are persisted (memory, spilling to disk) for
+    the duration of ``fit``; a lost executor's blocks are rebuilt from the
+    lineage. ``estimator`` may be a callable receiving the persisted frame
+    (for parameters that depend on the data, such as a total weight)."""
+    from pyspark import StorageLevel
     from pyspark.ml.functions import vector_to_array
-    tr = assemble(train, features)
-    model = estimator.setFeaturesCol("features").setLabelCol(label).fit(tr)
+    cols = list(dict.fromkeys([label, *features] + ([weight] if weight else [])))
+    tr = assemble(train.select(*cols), features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        est = estimator(tr) if callable(estimator) and not hasattr(estimator, "fit") else estimator
+        model = est.setFeaturesCol("features").setLabelCol(label).fit(tr)
+    finally:
+        tr.unpersist()
     scored = model.transform(assemble(test, features))
     return scored.select(*keep, F.col("prediction").cast("int").alias("prediction"),
                          vector_to_array("probability")[1].alias("probability"))

@@ -29,9 +29,13 @@ def feature_frame(spark: SparkSession, sf: str) -> DataFrame:
     lab = load(spark, sf, "labels")
     doc = load(spark, sf, "documents")
     j = lab.join(doc, "doc_id")
+    # parts of a split = separators + 1; counted without building arrays
+    runs = F.regexp_replace("text", WORD_SPLIT, "\u0001")
+    n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    n_words = F.length(runs) - F.length(F.replace(runs, F.lit("\u0001"), F.lit(""))) + 1
     return j.select("doc_id", F.col("toxic").alias("label"), "quality", "lang", "source",
-                    "n_chars", F.size(F.split("text", "\n")).alias("n_lines"),
-                    F.size(F.split("text", WORD_SPLIT)).alias("n_words"))
+                    "n_chars", n_lines.cast("int").alias("n_lines"),
+                    n_words.cast("int").alias("n_words"))
 
 
 def split_frame(spark, sf) -> DataFrame:
@@ -99,26 +103,31 @@ def _weighted_train_test(spark, sf):
 def logistic_regression(spark, sf):
     from pyspark.ml.classification import LogisticRegression
     train, test = _weighted_train_test(spark, sf)
-    # sklearn's C=1 with an averaged loss: regParam = 1 / sum(weights)
-    total_w = train.agg(F.sum("weight")).first()[0] or 1.0
-    est = LogisticRegression(weightCol="weight", regParam=1.0 / total_w, elasticNetParam=0.0,
-                             standardization=False, maxIter=200)
-    return ml.train_predict(train, test, est, ["z_" + c for c in FEATURES], "label",
-                            ["doc_id", "label"])
+
+    def estimator(persisted):
+        # sklearn's C=1 with an averaged loss: regParam = 1 / sum(weights)
+        total_w = persisted.agg(F.sum("weight")).first()[0] or 1.0
+        return LogisticRegression(weightCol="weight", regParam=1.0 / total_w,
+                                  elasticNetParam=0.0, standardization=False,
+                                  maxIter=100)  # sklearn's default max_iter
+    return ml.train_predict(train, test, estimator, ["z_" + c for c in FEATURES], "label",
+                            ["doc_id", "label"], weight="weight")
 
 
 def decision_tree(spark, sf):
     from pyspark.ml.classification import DecisionTreeClassifier
     train, test = _weighted_train_test(spark, sf)
     est = DecisionTreeClassifier(maxDepth=3, weightCol="weight", seed=42)
-    return ml.train_predict(train, test, est, FEATURES, "label", ["doc_id", "label"])
+    return ml.train_predict(train, test, est, FEATURES, "label", ["doc_id", "label"],
+                            weight="weight")
 
 
 def random_forest(spark, sf):
     from pyspark.ml.classification import RandomForestClassifier
     train, test = _weighted_train_test(spark, sf)
     est = RandomForestClassifier(numTrees=100, weightCol="weight", seed=42)
-    return ml.train_predict(train, test, est, FEATURES, "label", ["doc_id", "label"])
+    return ml.train_predict(train, test, est, FEATURES, "label", ["doc_id", "label"],
+                            weight="weight")
 
 
 def mlp(spark, sf):
@@ -126,7 +135,7 @@ def mlp(spark, sf):
     z = _standardized(spark, sf)
     train = ml.upsample_minority(z.filter(F.col("split") == "train"), "label", "doc_id")
     test = z.filter(F.col("split") == "test")
-    est = MultilayerPerceptronClassifier(layers=[len(FEATURES), 16, 2], maxIter=200, seed=42)
+    est = MultilayerPerceptronClassifier(layers=[len(FEATURES), 16, 2], maxIter=100, seed=42)
     return ml.train_predict(train, test, est, ["z_" + c for c in FEATURES], "label",
                             ["doc_id", "label"])
 
