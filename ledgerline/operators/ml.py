@@ -159,6 +159,9 @@ def train_predict(train: DataFrame, test: DataFrame, estimator, features: Sequen
     (for parameters that depend on the data, such as a total weight)."""
     from pyspark import StorageLevel
     from pyspark.ml.functions import vector_to_array
+    if weight is None and hasattr(estimator, "isSet") and estimator.hasParam("weightCol") \
+            and estimator.isSet("weightCol"):
+        weight = estimator.getWeightCol()
     cols = list(dict.fromkeys([label, *features] + ([weight] if weight else [])))
     tr = assemble(train.select(*cols), features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
