@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import blank_to_null as _blank, fold_key
+from ledgerline.operators.sequence import expand_range
 
 
 def normalize_strings(df: DataFrame, trim: Sequence[str] = (), lower: Sequence[str] = (),
@@ -76,7 +77,8 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None,
     does not matter)."""
     cols = list(cols or df.columns)
     g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    return g.select(*cols, F.explode(F.sequence(F.lit(2), F.col("_n"))).alias(name))
+    out = expand_range(g, F.lit(2), F.col("_n"), name)
+    return out.select(*cols, F.col(name).cast("int").alias(name))
 
 
 def _donors(df: DataFrame, key: str, target: str, tiebreak: str, blank_is_null: bool):

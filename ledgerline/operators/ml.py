@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import sigmoid
-from ledgerline.operators.sequence import global_row_number
+from ledgerline.operators.sequence import expand_range, global_row_number
 
 
 def _class_stats(df: DataFrame, label: str) -> DataFrame:
@@ -91,8 +91,8 @@ def upsample_minority(df: DataFrame, label: str, key: str, name: str = "copy_no"
     p = p.crossJoin(F.broadcast(big))
     reps = F.floor(F.col("_N") / F.col("_nc")) + \
         F.when(F.col("_pos") < F.col("_N") % F.col("_nc"), 1).otherwise(0)
-    return p.withColumn(name, F.explode(F.sequence(F.lit(1), reps.cast("int")))) \
-            .drop("_pos", "_nc", "_N")
+    out = expand_range(p.withColumn("_reps", reps), F.lit(1), F.col("_reps"), name)
+    return out.withColumn(name, F.col(name).cast("int")).drop("_pos", "_nc", "_N", "_reps")
 
 
 def value_band(c: Column | str, cuts: tuple[float, float] = (35, 55),

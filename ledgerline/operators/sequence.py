@@ -98,3 +98,22 @@ def lag_exact(df: DataFrame, keys: list[str], order: list[Column],
     drop = ["_lg_rn"] + [f"_lg_k{i}" for i in range(len(keys))] + \
         [f"_lg_v_{d}" for d in values]
     return joined.drop(*drop)
+
+
+def expand_range(df: DataFrame, lo: Column, hi: Column, name: str,
+                 chunk_rows: int = 1 << 16, partitions: int | None = None) -> DataFrame:
+    """One output row per integer ``i`` in ``[lo, hi]`` for every input row
+    (``explode(sequence(lo, hi))``), with large ranges split into chunks of
+    ``chunk_rows`` that are hash-spread across tasks before expanding, so a
+    count covering a third of the data is not generated by one task."""
+    n = partitions or _default_partitions(df)
+    with_bounds = df.withColumn("_er_lo", lo.cast("long")).withColumn("_er_hi", hi.cast("long"))
+    chunks = with_bounds.withColumn(
+        "_er_c", F.explode(F.sequence(F.lit(0).cast("long"),
+                                      F.floor((F.col("_er_hi") - F.col("_er_lo")) / chunk_rows))))
+    chunks = chunks.filter(F.col("_er_hi") >= F.col("_er_lo")) \
+                   .repartition(n, F.xxhash64(*[F.col(c) for c in df.columns], F.col("_er_c")))
+    start = F.col("_er_lo") + F.col("_er_c") * chunk_rows
+    stop = F.least(F.col("_er_hi"), start + chunk_rows - 1)
+    return chunks.withColumn(name, F.explode(F.sequence(start, stop))) \
+                 .drop("_er_lo", "_er_hi", "_er_c")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import day_start, month_start, week_start
-from ledgerline.operators.sequence import lag_exact
+from ledgerline.operators.sequence import expand_range, lag_exact
 
 
 def _cols(xs) -> list:
@@ -99,13 +99,9 @@ def streaks(df: DataFrame, key: str, ts: str, min_len: int = 3,
         months = months.withColumn("_n", F.lit(1).cast("long"))
     w = Window.partitionBy(key).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
     months = months.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    chunks = months.withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk_rows))))
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    chunks = chunks.repartition(n_parts, key, "_m", "_c")
-    lo = F.col("_before") + F.col("_c") * chunk_rows + 1
-    hi = F.least(F.col("_before") + F.col("_n"), lo + chunk_rows - 1)
-    rows = chunks.select(key, "_m", F.explode(F.sequence(lo, hi)).alias("_rn"))
+    rows = expand_range(months.select(key, "_m", "_before", "_n"),
+                        F.col("_before") + 1, F.col("_before") + F.col("_n"), "_rn",
+                        chunk_rows=chunk_rows).select(key, "_m", "_rn")
     # month index minus row number; an integer avoids calendar overflow
     rows = rows.withColumn("_grp", F.year("_m") * 12 + F.month("_m") - F.col("_rn"))
     return (rows.groupBy(key, "_grp")

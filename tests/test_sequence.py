@@ -41,3 +41,14 @@ def test_lag_exact_matches_lag_with_hot_key(spark):
     w = Window.partitionBy("k").orderBy(*order)
     ref = df.select("id", F.lag("v").over(w).alias("prev_v"), F.lag("id").over(w).alias("prev_id"))
     assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+
+
+def test_expand_range_chunks_equal_explode(spark):
+    from ledgerline.operators.sequence import expand_range
+    df = spark.createDataFrame([("hot", 1, 1000), ("cold", 5, 7), ("empty", 3, 2)],
+                               "k string, lo long, hi long")
+    got = expand_range(df, F.col("lo"), F.col("hi"), "i", chunk_rows=64, partitions=5)
+    ref = df.filter("hi >= lo").withColumn("i", F.explode(F.sequence("lo", "hi")))
+    assert got.count() == 1003
+    assert got.select("k", "i").exceptAll(ref.select("k", "i")).count() == 0
+    assert got.rdd.getNumPartitions() == 5
