@@ -51,3 +51,73 @@ def housing_pipeline(raw: DataFrame) -> DataFrame:
     out = clean.dedup(out, ["ParcelID", "PropertyAddress", "SaleDate", "SalePrice",
                             "LegalReference"], ["UniqueID"], keep="first")
     return clean.drop_columns(out, ["TaxDistrict", "OwnerAddress", "PropertyAddress", "SaleDate"])
+
+
+def staging_pipeline(raw: dict[str, DataFrame], review_order: str | None = None) -> dict[str, DataFrame]:
+    """Raw e-commerce tables -> staging tables (each step a projection or
+    an aggregate; tables missing from ``raw`` are skipped):
+
+    * orders: trimmed ids, ``lower(trim(status))``, blank approval -> NULL;
+    * customers: trimmed text, one row per ``customer_unique_id`` (greatest
+      ``customer_id`` kept);
+    * products: trimmed id, blank category -> NULL, zero weight -> NULL;
+    * product_category_name_translation: trimmed, completed with product
+      categories it lacks (labelled by their own name);
+    * reviews: trimmed ids, blank comments -> NULL, one row per
+      ``review_id`` (greatest ``review_order`` kept);
+    * payments: trimmed, zero instalments -> NULL;
+    * sellers / geolocation: zip codes padded to 5 characters; geolocation
+      reduced to one centroid per zip with accent-folded, lower-case city.
+    """
+    from ledgerline.operators import audit
+    out: dict[str, DataFrame] = {}
+    if "orders" in raw:
+        o = raw["orders"]
+        o = o.withColumn("order_id", F.trim("order_id")).withColumn("customer_id", F.trim("customer_id")) \
+             .withColumn("order_status", text.trim_lower("order_status"))
+        if dict(o.dtypes).get("order_approved_at") == "string":
+            o = o.withColumn("order_approved_at", text.blank_to_null("order_approved_at"))
+        out["orders"] = o
+    if "customers" in raw:
+        c = clean.normalize_strings(raw["customers"], trim=["customer_id", "customer_unique_id",
+                                                             "customer_city", "customer_state"])
+        out["customers"] = clean.dedup(c, ["customer_unique_id"], ["customer_id"], keep="last")
+    if "products" in raw:
+        p = raw["products"].withColumn("product_id", F.trim("product_id")) \
+            .withColumn("product_category_name", text.blank_to_null("product_category_name"))
+        out["products"] = clean.value_to_null(p, ["product_weight_g"], 0)
+    if "product_category_name_translation" in raw:
+        t = clean.normalize_strings(raw["product_category_name_translation"],
+                                    trim=["product_category_name", "product_category_name_english"])
+        if "products" in out:
+            t = audit.complete_dimension(out["products"], t, "product_category_name",
+                                         "product_category_name_english")
+        out["product_category_name_translation"] = t
+    if "reviews" in raw:
+        r = raw["reviews"].withColumn("review_id", F.trim("review_id")) \
+            .withColumn("order_id", F.trim("order_id"))
+        for col in ("review_comment_title", "review_comment_message"):
+            if col in r.columns:
+                r = r.withColumn(col, text.blank_to_null(col))
+        if review_order:
+            r = clean.dedup(r, ["review_id"], [review_order], keep="last")
+        out["reviews"] = r
+    if "payments" in raw:
+        pay = raw["payments"].withColumn("order_id", F.trim("order_id")) \
+            .withColumn("payment_type", text.trim_lower("payment_type"))
+        out["payments"] = clean.value_to_null(pay, ["payment_installments"], 0)
+    if "sellers" in raw:
+        s = raw["sellers"].withColumn("seller_id", F.trim("seller_id")) \
+            .withColumn("seller_city", text.trim_lower("seller_city")) \
+            .withColumn("seller_zip_code_prefix", text.pad_code("seller_zip_code_prefix", 5))
+        out["sellers"] = s
+    if "geolocation" in raw:
+        g = raw["geolocation"].select(
+            text.pad_code("geolocation_zip_code_prefix", 5).alias("geolocation_zip_code_prefix"),
+            "geolocation_lat", "geolocation_lng",
+            text.fold_key("geolocation_city").alias("city"),
+            F.col("geolocation_state").alias("state"))
+        out["geolocation"] = g.groupBy("geolocation_zip_code_prefix").agg(
+            F.avg("geolocation_lat").alias("latitude"), F.avg("geolocation_lng").alias("longitude"),
+            F.max("city").alias("city"), F.max("state").alias("state"))
+    return out

@@ -188,3 +188,53 @@ QUERIES = {
     "accent_fold_documents": accent_fold_documents,
     "segment_histogram": segment_histogram,
 }
+
+
+# --- e-commerce raw -> staging (C33) -----------------------------------------
+
+def shop_raw(spark, sf) -> dict:
+    """Raw e-commerce tables derived from the driver tables: ids as padded
+    text, blank categories for the largest parts, weight = size - 1 (so
+    size 1 weighs 0), categories in lower case with an English label."""
+    c = load(spark, sf, "customer")
+    n = load(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = load(spark, sf, "region").select("r_regionkey", "r_name")
+    cust = (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+             .select(F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(" "))
+                     .alias("customer_id"),
+                     F.concat_ws("-", F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"))
+                     .alias("customer_unique_id"),
+                     F.col("c_nationkey").alias("customer_zip_code_prefix"),
+                     F.concat(F.col("n_name"), F.lit(" ")).alias("customer_city"),
+                     F.col("r_name").alias("customer_state")))
+    p = load(spark, sf, "part")
+    prod = p.select(F.col("p_partkey").cast("string").alias("product_id"),
+                    F.when(F.col("p_size") > 45, F.lit(" "))
+                     .otherwise(F.lower("p_type")).alias("product_category_name"),
+                    (F.col("p_size") - 1).alias("product_weight_g"))
+    trans = p.filter(F.col("p_size") <= 5).select(
+        F.lower("p_type").alias("product_category_name"),
+        F.col("p_type").alias("product_category_name_english")).distinct()
+    return {"customers": cust, "products": prod, "product_category_name_translation": trans}
+
+
+def staging_customers(spark, sf):
+    from ledgerline.operators.pipelines import staging_pipeline
+    return staging_pipeline(shop_raw(spark, sf))["customers"]
+
+
+def staging_products(spark, sf):
+    from ledgerline.operators.pipelines import staging_pipeline
+    return staging_pipeline(shop_raw(spark, sf))["products"]
+
+
+def staging_categories(spark, sf):
+    from ledgerline.operators.pipelines import staging_pipeline
+    return staging_pipeline(shop_raw(spark, sf))["product_category_name_translation"]
+
+
+QUERIES.update({
+    "staging_customers": staging_customers,
+    "staging_products": staging_products,
+    "staging_categories": staging_categories,
+})

@@ -94,3 +94,41 @@ FROM documents""",
 "segment_histogram": """
 SELECT c_mktsegment, COUNT(c_mktsegment) AS n FROM customer GROUP BY c_mktsegment""",
 }
+
+_SHOP_RAW = """
+rc AS (
+  SELECT ' ' || CAST(c.c_custkey AS VARCHAR) || ' ' AS customer_id,
+         lower(c.c_mktsegment) || '-' || CAST(c.c_nationkey AS VARCHAR) AS customer_unique_id,
+         c.c_nationkey AS customer_zip_code_prefix, n.n_name || ' ' AS customer_city,
+         r.r_name AS customer_state
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey),
+rp AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS product_id,
+         CASE WHEN p_size > 45 THEN ' ' ELSE lower(p_type) END AS product_category_name,
+         p_size - 1 AS product_weight_g
+  FROM part),
+sp AS (
+  SELECT trim(product_id) AS product_id, NULLIF(trim(product_category_name), '') AS product_category_name,
+         NULLIF(product_weight_g, 0) AS product_weight_g FROM rp),
+rt AS (SELECT DISTINCT lower(p_type) AS product_category_name, p_type AS product_category_name_english
+       FROM part WHERE p_size <= 5)
+"""
+
+SQL.update({
+"staging_customers": "WITH " + _SHOP_RAW + """
+SELECT customer_id, customer_unique_id, customer_zip_code_prefix, customer_city, customer_state FROM (
+  SELECT trim(customer_id) AS customer_id, trim(customer_unique_id) AS customer_unique_id,
+         customer_zip_code_prefix, trim(customer_city) AS customer_city,
+         trim(customer_state) AS customer_state,
+         row_number() OVER (PARTITION BY trim(customer_unique_id) ORDER BY trim(customer_id) DESC) AS rn
+  FROM rc) WHERE rn = 1""",
+"staging_products": "WITH " + _SHOP_RAW + "SELECT * FROM sp",
+"staging_categories": "WITH " + _SHOP_RAW + """
+SELECT trim(product_category_name) AS product_category_name,
+       trim(product_category_name_english) AS product_category_name_english FROM rt
+UNION ALL
+SELECT DISTINCT product_category_name, product_category_name FROM sp
+WHERE product_category_name IS NOT NULL
+  AND product_category_name NOT IN (SELECT trim(product_category_name) FROM rt)""",
+})

@@ -49,3 +49,18 @@ def test_above_group_average(spark):
     df = spark.createDataFrame([("s", 1, 10.0), ("s", 2, 20.0), ("s", 3, 30.0), ("t", 4, 5.0)],
                                "st string, c int, v double")
     assert rows(commerce.above_group_average(df, "v", ["st"]), "c") == [(3,)]
+
+
+def test_discount_sql_function(spark):
+    from ledgerline.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    got = spark.sql("SELECT dynamic_discount_pct(0, 10) a, dynamic_discount_pct(3, 520) b, "
+                    "dynamic_discount_pct(7, 67) c, dynamic_discount_pct(2, 67) d").first()
+    assert tuple(got) == (15, 10, 5, 0)
+
+
+def test_schemas_declared():
+    from ledgerline.sources import schemas
+    assert [f.name for f in schemas.ORDER_ITEMS.fields][:3] == ["order_id", "order_item_id", "product_id"]
+    assert schemas.PAYMENTS["payment_value"].dataType.simpleString() == "decimal(10,2)"
+    assert len(schemas.CREDIT.fields) == 17

@@ -48,3 +48,40 @@ def test_housing_pipeline(spark):
     assert (got[3]["PropSplitAddress"], got[3]["PropSplitCity"]) == (None, "NOCOMMA")
     assert got[1]["SoldAsVacant"] == "Yes" and got[2]["SoldAsVacant"] == "No"
     assert got[1]["SaleDateConverted"] == dt.date(2019, 1, 2)
+
+
+def test_staging_pipeline(spark):
+    raw = {
+        "orders": spark.createDataFrame([(" o1 ", " c1", " Delivered ", "")],
+                                        "order_id string, customer_id string, order_status string, "
+                                        "order_approved_at string"),
+        "customers": spark.createDataFrame([("c1", "u1", "São Paulo ", "SP"), ("c2", "u1", "x", "SP")],
+                                           "customer_id string, customer_unique_id string, "
+                                           "customer_city string, customer_state string"),
+        "products": spark.createDataFrame([("p1", "", 0), ("p2", "livros", 10)],
+                                          "product_id string, product_category_name string, "
+                                          "product_weight_g int"),
+        "product_category_name_translation": spark.createDataFrame(
+            [("moveis", "furniture")], "product_category_name string, product_category_name_english string"),
+        "reviews": spark.createDataFrame([("r1", "o1", 5, "", 1), ("r1", "o1", 4, "ok", 2)],
+                                         "review_id string, order_id string, review_score int, "
+                                         "review_comment_message string, pos int"),
+        "payments": spark.createDataFrame([("o1", "Boleto ", 0)],
+                                          "order_id string, payment_type string, payment_installments int"),
+        "geolocation": spark.createDataFrame([(1234, -23.0, -46.0, "São Paulo", "SP"),
+                                              (1234, -25.0, -48.0, "sao paulo", "SP")],
+                                             "geolocation_zip_code_prefix int, geolocation_lat double, "
+                                             "geolocation_lng double, geolocation_city string, "
+                                             "geolocation_state string"),
+    }
+    st = pipelines.staging_pipeline(raw, review_order="pos")
+    o = st["orders"].first()
+    assert (o["order_id"], o["customer_id"], o["order_status"], o["order_approved_at"]) == \
+        ("o1", "c1", "delivered", None)
+    assert rows(st["customers"], "customer_id") == [("c2",)]
+    assert rows(st["products"], "product_id", "product_category_name", "product_weight_g") == \
+        [("p1", None, None), ("p2", "livros", 10)]
+    assert rows(st["product_category_name_translation"]) == [("livros", "livros"), ("moveis", "furniture")]
+    assert rows(st["reviews"], "review_score", "review_comment_message") == [(4, "ok")]
+    assert rows(st["payments"], "payment_type", "payment_installments") == [("boleto", None)]
+    assert rows(st["geolocation"]) == [("01234", -24.0, -47.0, "sao paulo", "SP")]
