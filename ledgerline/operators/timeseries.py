@@ -109,3 +109,10 @@ def streaks(df: DataFrame, key: str, ts: str, min_len: int = 3,
                      F.count(F.lit(1)).alias("consecutive_months"))
                 .filter(F.col("consecutive_months") >= min_len)
                 .drop("_grp"))
+
+
+def cube_report(df: DataFrame, dims: dict, value: str, out: str = "revenue") -> DataFrame:
+    """``GROUP BY CUBE(dims)``: every combination of subtotals, with
+    ``grouping_level`` telling subtotal NULLs from data NULLs."""
+    return df.cube(*[c.alias(n) for n, c in dims.items()]).agg(
+        F.sum(value).alias(out), F.grouping_id().alias("grouping_level"))

@@ -38,6 +38,9 @@ def queries() -> dict[str, Query]:
         "top_sellers_per_state": shop.top_sellers_per_state,
         "running_revenue_pct": shop.running_revenue_pct,
         "dynamic_discount": shop.dynamic_discount,
+        "sales_cube": shop.sales_cube,
+        "clv_percentiles": shop.clv_percentiles,
+        "line_correlations": shop.line_correlations,
     }
     q.update(epidemic.QUERIES)
     q.update(cleaning.QUERIES)

@@ -292,3 +292,24 @@ def dynamic_discount(spark, sf) -> DataFrame:
     return out.select("order_id", "customer_id", _dbl("order_value").alias("order_value"),
                       "delivered_orders", "discount_percent",
                       _dbl("final_amount").alias("final_amount"))
+
+
+def sales_cube(spark, sf):
+    o = delivered_payments(spark, sf).select("o_orderdate", "o_orderpriority",
+                                             money("o_totalprice").alias("pay"))
+    out = timeseries.cube_report(o, {"monthly": month_start("o_orderdate"),
+                                     "priority": F.col("o_orderpriority")}, "pay")
+    return out.withColumn("revenue", _dbl("revenue"))
+
+
+def clv_percentiles(spark, sf):
+    from ledgerline.operators.stats import nearest_rank_percentiles
+    spend = customer_spend(spark, sf)
+    out = nearest_rank_percentiles(spend, "clv", "customer_id", (25, 50, 75, 90))
+    return out.withColumn("value", _dbl("value"))
+
+
+def line_correlations(spark, sf):
+    from ledgerline.operators.stats import correlation_matrix
+    li = load(spark, sf, "lineitem")
+    return correlation_matrix(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
