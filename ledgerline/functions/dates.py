@@ -1,5 +1,7 @@
 """Calendar expressions (F8, F10-F15). Timestamps are zone-less
-(TIMESTAMP_NTZ); truncations are cast back to NTZ."""
+(TIMESTAMP_NTZ). Truncations go through DATE arithmetic, which never
+consults the session time zone (``date_trunc`` on an NTZ value returns a
+zoned TIMESTAMP and shifts day starts on daylight-saving dates)."""
 
 from __future__ import annotations
 
@@ -14,7 +16,7 @@ def _c(c: ColOrName) -> Column:
 
 
 def _trunc(unit: str, c: ColOrName) -> Column:
-    return F.date_trunc(unit, _c(c)).cast("timestamp_ntz")
+    return F.trunc(F.to_date(_c(c)), unit).cast("timestamp_ntz")
 
 
 def month_start(c: ColOrName) -> Column:
@@ -27,7 +29,7 @@ def week_start(c: ColOrName) -> Column:
 
 
 def day_start(c: ColOrName) -> Column:
-    return _trunc("day", c)
+    return F.to_date(_c(c)).cast("timestamp_ntz")
 
 
 def to_date_only(c: ColOrName) -> Column:

@@ -78,3 +78,17 @@ def test_ratio_and_sigmoid(spark):
     got = [r["p"] for r in df.select(ratio_pct("a", "b").alias("p")).collect()]
     assert got == [None, None, 25.0]
     assert abs(one(spark, sigmoid(F.col("v")), 0.0, "v double") - 0.5) < 1e-12
+
+
+def test_calendar_starts_ignore_session_zone(spark):
+    from ledgerline.functions import day_start, month_start
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        df = spark.createDataFrame([(dt.datetime(2018, 11, 4, 12, 0),)], "t timestamp_ntz")
+        r = df.select(day_start("t").alias("d"), month_start("t").alias("m"),
+                      week_start("t").alias("w")).first()
+        assert (r["d"], r["m"], r["w"]) == (dt.datetime(2018, 11, 4), dt.datetime(2018, 11, 1),
+                                            dt.datetime(2018, 10, 29))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
