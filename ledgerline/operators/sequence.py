@@ -8,9 +8,11 @@ gives the same exact numbering with all work spread over range partitions:
    across partitions because the key includes the tie-break columns),
    sort inside each partition and tag every row with its partition and
    position (``monotonically_increasing_id``);
-2. ``checkpoint()`` the tagged rows to the reliable checkpoint folder so
-   partition boundaries are fixed (a re-run would re-sample them) and an
-   executor loss cannot renumber rows;
+2. write the tagged rows once as a parquet table under the cluster's
+   reliable ``spark.checkpoint.dir`` and read them back, cutting the
+   lineage: partition boundaries are fixed (a re-run would re-sample them)
+   and an executor loss cannot renumber rows (a reliable ``checkpoint()``
+   would compute the input twice, once to count and once to write);
 3. count rows per partition (one row per partition: a proven size bound),
    prefix-sum the counts and broadcast the offsets.
 """
@@ -20,11 +22,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+import uuid
+
 from ledgerline.session import ensure_checkpoint_dir
 
 _POS_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 
 
+def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
+    """Write ``df`` as parquet under the session's checkpoint directory (the
+    shared, reliable folder on a cluster) and return a scan of it."""
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/ledgerline-stage/{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _default_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -32,13 +45,12 @@ def _default_partitions(df: DataFrame) -> int:
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_no",
                       partitions: int | None = None) -> DataFrame:
     """``df`` plus ``name`` = 1-based position in ``order`` (which must be a
-    total order; add a unique tie-break). Returns a checkpointed frame."""
-    ensure_checkpoint_dir(df.sparkSession)
+    total order; add a unique tie-break). The numbered rows are a scan of
+    the materialised table."""
     n = partitions or _default_partitions(df)
-    tagged = (df.repartitionByRange(n, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("_lr_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    tagged = materialize(df.repartitionByRange(n, *order)
+                           .sortWithinPartitions(*order)
+                           .withColumn("_lr_mid", F.monotonically_increasing_id()), "rownum")
     tagged = (tagged
               .withColumn("_lr_pid", F.shiftright("_lr_mid", _POS_BITS))
               .withColumn("_lr_pos", F.col("_lr_mid").bitwiseAND((1 << _POS_BITS) - 1)))
