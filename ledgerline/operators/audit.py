@@ -15,11 +15,11 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataF
 
 
 def reconcile_counts(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: rows before, rows after, rows removed (two one-row
-    aggregates joined; nothing is collected to the driver)."""
+    """One row: rows before, rows after, rows removed (the second count is a
+    scalar subquery; nothing is collected to the driver)."""
     b = before.agg(F.count(F.lit(1)).alias("before_rows"))
-    a = after.agg(F.count(F.lit(1)).alias("after_rows"))
-    return b.crossJoin(a).withColumn("removed_rows", F.col("before_rows") - F.col("after_rows"))
+    return b.withColumn("after_rows", after.agg(F.count(F.lit(1))).scalar()) \
+            .withColumn("removed_rows", F.col("before_rows") - F.col("after_rows"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, on: Mapping[str, str] | str) -> DataFrame:
@@ -63,9 +63,8 @@ def missing_members(child: DataFrame, dim: DataFrame, col: str,
     keys = dim.select(F.col(dim_col).alias("_d"))
     missing = vals.join(keys.filter(F.col("_d").isNotNull()),
                         F.col(col) == F.col("_d"), "left_anti")
-    null_flag = keys.agg(F.max(F.col("_d").isNull().cast("int")).alias("_has_null"))
-    return missing.crossJoin(F.broadcast(null_flag)) \
-                  .filter(F.coalesce(F.col("_has_null"), F.lit(0)) == 0).drop("_has_null")
+    has_null = keys.agg(F.max(F.col("_d").isNull().cast("int"))).scalar()
+    return missing.filter(F.coalesce(has_null, F.lit(0)) == 0)
 
 
 def complete_dimension(child: DataFrame, dim: DataFrame, col: str,

@@ -37,15 +37,15 @@ def report(df: DataFrame, label: str, pred: str, digits: int = 6) -> DataFrame:
                              rec.alias("recall"), f1.alias("f1_score"),
                              (tpc + fnc).alias("support")))
     per = rows[0].unionByName(rows[1])
-    n = per.agg(F.sum("support").alias("_n"))
+    n = per.agg(F.sum("support")).scalar()
     macro = per.agg(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),
                     F.avg("recall").alias("recall"), F.avg("f1_score").alias("f1_score"),
                     F.sum("support").alias("support"))
-    wt = per.crossJoin(n).agg(
+    wt = per.agg(
         F.lit("weighted avg").alias("class"),
-        (F.sum(F.col("precision") * F.col("support")) / F.first("_n")).alias("precision"),
-        (F.sum(F.col("recall") * F.col("support")) / F.first("_n")).alias("recall"),
-        (F.sum(F.col("f1_score") * F.col("support")) / F.first("_n")).alias("f1_score"),
+        (F.sum(F.col("precision") * F.col("support")) / n).alias("precision"),
+        (F.sum(F.col("recall") * F.col("support")) / n).alias("recall"),
+        (F.sum(F.col("f1_score") * F.col("support")) / n).alias("f1_score"),
         F.sum("support").alias("support"))
     acc = c.select(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
                    F.lit(None).cast("double").alias("recall"),

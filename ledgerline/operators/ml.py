@@ -48,10 +48,10 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """``class_weight='balanced'``: w = n / (k * n_class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    totals = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(totals).select(
-        label, (F.col("_n").cast("double") / (F.col("_k") * F.col("_nc"))).alias(name))
-    return df.join(F.broadcast(w), label)
+    n = counts.agg(F.sum("_nc")).scalar()
+    k = counts.agg(F.count(F.lit(1))).scalar()
+    w = counts.select(label, (n.cast("double") / (k * F.col("_nc"))).alias(name))
+    return df.join(F.broadcast(w), label)  # one row per class
 
 
 def fit_standardizer(train: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -64,12 +64,13 @@ def fit_standardizer(train: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def standardize(df: DataFrame, stats: DataFrame, cols: Sequence[str],
                 prefix: str = "z_") -> DataFrame:
-    """(x - mean) / std with a fitted one-row ``stats`` frame (broadcast)."""
-    out = df.crossJoin(F.broadcast(stats))
+    """(x - mean) / std with a fitted one-row ``stats`` frame, read as scalar
+    subqueries (Catalyst merges them into one aggregate)."""
+    out = df
     for c in cols:
-        out = out.withColumn(prefix + c, F.try_divide(F.col(c) - F.col(f"_mu_{c}"),
-                                                       F.col(f"_sd_{c}")))
-    return out.drop(*[x for c in cols for x in (f"_mu_{c}", f"_sd_{c}")])
+        mu, sd = stats.select(f"_mu_{c}").scalar(), stats.select(f"_sd_{c}").scalar()
+        out = out.withColumn(prefix + c, F.try_divide(F.col(c) - mu, sd))
+    return out
 
 
 def linear_score(df: DataFrame, intercept: float, weights: Mapping[str, float],
@@ -87,8 +88,7 @@ def upsample_minority(df: DataFrame, label: str, key: str, name: str = "copy_no"
     largest; row i (0-based, md5 order) of a class with m rows is repeated
     floor(N/m) + (1 if i < N mod m else 0) times."""
     p = position_in_class(df, label, key)
-    big = p.agg(F.max("_nc").alias("_N"))
-    p = p.crossJoin(F.broadcast(big))
+    p = p.withColumn("_N", p.agg(F.max("_nc")).scalar())
     reps = F.floor(F.col("_N") / F.col("_nc")) + \
         F.when(F.col("_pos") < F.col("_N") % F.col("_nc"), 1).otherwise(0)
     out = expand_range(p.withColumn("_reps", reps), F.lit(1), F.col("_reps"), name)
@@ -106,19 +106,17 @@ def value_band(c: Column | str, cuts: tuple[float, float] = (35, 55),
 def compare_to_baseline(df: DataFrame, label: str, cols: Sequence[str], baseline_label=0,
                         prefix: str = "delta_") -> DataFrame:
     """Each row's features minus the mean of the baseline class."""
-    means = df.filter(F.col(label) == baseline_label).agg(
-        *[(F.sum(c).cast("double") / F.count(c)).alias(f"_m_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(means))
+    base = df.filter(F.col(label) == baseline_label)
+    out = df
     for c in cols:
-        out = out.withColumn(prefix + c, F.col(c) - F.col(f"_m_{c}"))
-    return out.drop(*[f"_m_{c}" for c in cols])
+        mean = base.agg(F.sum(c).cast("double") / F.count(c)).scalar()
+        out = out.withColumn(prefix + c, F.col(c) - mean)
+    return out
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_t"))
-    return counts.crossJoin(F.broadcast(total)) \
-                 .withColumn("share", F.col("n") / F.col("_t")).drop("_t")
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 # --- trainers ----------------------------------------------------------------

@@ -73,7 +73,7 @@ def ntile_exact(df: DataFrame, order: list[Column], tiles: int, name: str = "til
     q + 1 rows and the rest q rows, exactly as NTILE assigns them.
     """
     numbered = global_row_number(df, order, "_nt_rn", partitions)
-    total = numbered.agg(F.count(F.lit(1)).alias("_nt_n"))  # one row
+    total = numbered.agg(F.count(F.lit(1))).scalar()
     t = F.lit(tiles)
     q = F.floor(F.col("_nt_n") / t)
     m = F.col("_nt_n") - q * t
@@ -81,7 +81,7 @@ def ntile_exact(df: DataFrame, order: list[Column], tiles: int, name: str = "til
     rn = F.col("_nt_rn")
     tile = F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1) \
             .otherwise(m + F.floor((rn - big - 1) / q) + 1)
-    return numbered.crossJoin(F.broadcast(total)) \
+    return numbered.withColumn("_nt_n", total) \
                    .withColumn(name, tile.cast("int")).drop("_nt_rn", "_nt_n")
 
 

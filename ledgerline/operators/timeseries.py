@@ -29,12 +29,12 @@ def running_total(df: DataFrame, value: str, order, by=(), name: str = "running_
 
 def share_of_total(df: DataFrame, value: str, order, name: str = "running_total",
                    pct_name: str = "grand_total_percentage", digits: int = 2) -> DataFrame:
-    """Running total plus its percentage of the grand total. The grand total
-    is a one-row aggregate broadcast to the rows."""
-    total = df.agg(F.sum(value).alias("_grand"))
-    out = running_total(df, value, order, name=name).crossJoin(F.broadcast(total))
-    pct = F.col(name).cast("double") / F.col("_grand").cast("double") * 100
-    return out.withColumn(pct_name, F.round(pct, digits)).drop("_grand")
+    """Running total plus its percentage of the grand total (a scalar
+    subquery)."""
+    grand = df.agg(F.sum(value)).scalar()
+    out = running_total(df, value, order, name=name)
+    pct = F.col(name).cast("double") / grand.cast("double") * 100
+    return out.withColumn(pct_name, F.round(pct, digits))
 
 
 def moving_average(df: DataFrame, value: str, order, rows: int = 7,
