@@ -23,18 +23,26 @@ def _geo(spark, sf) -> DataFrame:
     return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
 
 
-def _levels(df: DataFrame, measures: dict) -> DataFrame:
-    """Country rows plus region and World aggregate rows. ``df`` is already
-    at (region, nation, day) grain, so the extra levels are cheap."""
-    aggs = [F.sum(c).alias(c) for c in measures]
-    country = df.select(F.col("r_name").alias("continent"), F.col("n_name").alias("location"),
-                        "d", *measures)
-    region = df.groupBy(F.col("r_name").alias("location"), "d").agg(*aggs) \
-               .select(F.lit(None).cast("string").alias("continent"), "location", "d", *measures)
-    world = df.groupBy("d").agg(*aggs).select(
-        F.lit(None).cast("string").alias("continent"), F.lit("World").alias("location"),
-        "d", *measures)
-    return country.unionByName(region).unionByName(world)
+def _levels(df: DataFrame, measures: list[str]) -> DataFrame:
+    """Country rows plus region and ``World`` rows from one ``ROLLUP`` over
+    the (day, region, nation) aggregate, so the input is scanned once.
+    ``grouping_id`` (not NULL tests) tells the levels apart."""
+    g = df.rollup("d", "r_name", "n_name").agg(*[F.sum(m).alias(m) for m in measures],
+                                                 F.grouping_id().alias("_gid"))
+    g = g.filter(F.col("_gid") != 7)  # drop the grand total over all days
+    continent = F.when(F.col("_gid") == 0, F.col("r_name"))
+    location = F.when(F.col("_gid") == 0, F.col("n_name")) \
+                .when(F.col("_gid") == 1, F.col("r_name")).otherwise(F.lit("World"))
+    return g.select(continent.alias("continent"), location.alias("location"), "d", *measures)
+
+
+def _population(spark, sf, geo: DataFrame) -> DataFrame:
+    c = load(spark, sf, "customer").select("c_nationkey")
+    g = c.join(geo, c.c_nationkey == geo.n_nationkey).rollup("r_name", "n_name").agg(
+        F.count(F.lit(1)).alias("population"), F.grouping_id().alias("_gid"))
+    location = F.when(F.col("_gid") == 0, F.col("n_name")) \
+                .when(F.col("_gid") == 1, F.col("r_name")).otherwise(F.lit("World"))
+    return g.select(location.alias("location"), "population")
 
 
 def daily_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,15 +54,9 @@ def daily_facts(spark: SparkSession, sf: str) -> DataFrame:
              .groupBy("r_name", "n_name", day_start("o_orderdate").alias("d"))
              .agg(F.count(F.lit(1)).alias("nc"),
                   F.sum((F.col("o_orderstatus") == "F").cast("long")).alias("nd")))
-    lv = _levels(base, {"nc": None, "nd": None})
-    pop_n = c.join(geo, c.c_nationkey == geo.n_nationkey).groupBy("r_name", "n_name") \
-             .agg(F.count(F.lit(1)).alias("population"))
-    pop = pop_n.select(F.col("n_name").alias("location"), "population").unionByName(
-        pop_n.groupBy(F.col("r_name").alias("location")).agg(F.sum("population").alias("population"))
-    ).unionByName(pop_n.agg(F.sum("population").alias("population"))
-                  .select(F.lit("World").alias("location"), "population"))
+    lv = _levels(base, ["nc", "nd"])
     w = Window.partitionBy("location").orderBy("d")
-    return lv.join(pop, "location").select(
+    return lv.join(_population(spark, sf, geo), "location").select(
         "continent", "location", F.col("d").alias("date"),
         F.col("population").cast("bigint").alias("population"),
         F.col("nc").cast("double").alias("new_cases"),
@@ -71,7 +73,7 @@ def daily_vacc(spark: SparkSession, sf: str) -> DataFrame:
               .join(geo, s.s_nationkey == geo.n_nationkey)
               .groupBy("r_name", "n_name", day_start("l_shipdate").alias("d"))
               .agg(F.count(F.lit(1)).alias("nv")))
-    lv = _levels(base, {"nv": None}).drop("continent")
+    lv = _levels(base, ["nv"]).drop("continent")
     w = Window.partitionBy("location").orderBy("d")
     return lv.select("location", F.col("d").alias("date"),
                      F.col("nv").cast("string").alias("new_vaccinations"),

@@ -45,20 +45,31 @@ def build_session(master: str | None = None, app: str = "ledgerline",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint()`` usable and return the directory.
+    """Return the folder for lineage cuts and intermediate tables.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, reliable folder and
     is used as is. Only when it is unset (local runs, tests) a private
-    scratch folder is created.
+    scratch folder is created. ``DataFrame.checkpoint()`` is enabled for the
+    same folder where the session exposes its ``SparkContext``.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or \
-        sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="ledgerline-ckpt-",
-                                      dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+        configured = _LOCAL_DIRS.setdefault(
+            "ckpt", tempfile.mkdtemp(prefix="ledgerline-ckpt-",
+                                     dir=os.environ.get("TMPDIR", "/tmp")))
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    return configured
+
+
+_LOCAL_DIRS: dict[str, str] = {}
