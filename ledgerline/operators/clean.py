@@ -82,11 +82,16 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 def _donors(df: DataFrame, key: str, target: str, tiebreak: str, blank_is_null: bool):
+    # No filter: rows without a value get a NULL ordering key, which min_by
+    # skips, and a NULL-key group never matches the equi-join back. Keeping
+    # filters out lets both uses of ``df`` share one exchange (a filter would
+    # be pushed below an upstream aggregate and defeat exchange reuse).
     value = _blank(target) if blank_is_null else F.col(target)
-    donors = df.select(F.col(key), value.alias("_v"), F.col(tiebreak).alias("_t")) \
-               .filter(F.col("_v").isNotNull() & F.col(key).isNotNull())
-    return donors.groupBy(key).agg(F.min_by("_v", "_t").alias("_donor"),
-                                   F.count(F.lit(1)).alias("_donors"))
+    donors = df.select(F.col(key), value.alias("_v"), F.col(tiebreak).alias("_t"))
+    has = F.col("_v").isNotNull()
+    return donors.groupBy(key).agg(
+        F.min_by("_v", F.when(has, F.struct(F.col("_t"), F.col("_v")))).alias("_donor"),
+        F.count_if(has).alias("_donors"))
 
 
 def fill_from_group(df: DataFrame, key: str, target: str, tiebreak: str,

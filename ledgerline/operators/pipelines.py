@@ -9,19 +9,27 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, text
 from ledgerline.operators import clean
+from ledgerline.operators.sequence import materialize
 
 
 def layoffs_pipeline(raw: DataFrame, recode_prefix: tuple[str, str] = ("Crypto", "Crypto"),
                      country_prefix: str = "United States", date_format: str = "M/d/yyyy",
-                     fold_company: bool = False) -> DataFrame:
+                     fold_company: bool = False, materialize_dedup: bool = True) -> DataFrame:
     """Raw layoffs -> cleaned layoffs:
     exact de-duplication, trim company, collapse an industry prefix, strip
     trailing dots from matching countries, parse the date text, blank
     industry -> NULL, fill industry from the same company, drop rows
-    without any measure."""
+    without any measure.
+
+    The peer fill reads the de-duplicated rows twice (donors, and the rows
+    to fill, which the final delete filters early), so by default the
+    de-duplicated layer is written once to the checkpoint folder (a staging
+    table) instead of being recomputed for each branch."""
     fold = ("company",) if fold_company else ()
-    return (raw
-            .transform(lambda d: clean.dedup_exact(d, fold=fold))
+    staged = clean.dedup_exact(raw, fold=fold)
+    if materialize_dedup:
+        staged = materialize(staged, "layoffs-dedup")
+    return (staged
             .withColumn("company", F.trim("company"))
             .withColumn("industry", text.recode_prefix("industry", *recode_prefix))
             .withColumn("country", text.strip_trailing("country", ".", country_prefix))

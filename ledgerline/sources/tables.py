@@ -15,9 +15,18 @@ def path_of(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(path_of(sf_dir, name))
+def load(spark: SparkSession, sf_dir: str, name: str, declared: bool = True) -> DataFrame:
+    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
+
+    Known tables are read with their declared schema: no schema-inference
+    job per read, and a file with drifted types fails loudly instead of
+    changing the plan. ``declared=False`` infers the schema from the files.
+    """
+    from ledgerline.sources.schemas import DRIVER
+    reader = spark.read
+    if declared and name in DRIVER:
+        reader = reader.schema(DRIVER[name])
+    return reader.parquet(path_of(sf_dir, name))
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES,
