@@ -203,8 +203,10 @@ sp AS (
                  THEN 'test' ELSE 'train' END AS split
   FROM feat),
 sc AS (SELECT *, CAST(quality = 0 AS INTEGER) AS prediction FROM feat),
-cm AS (SELECT count_if(label = 1 AND prediction = 1) AS tp, count_if(label = 0 AND prediction = 1) AS fp,
-              count_if(label = 1 AND prediction = 0) AS fn, count_if(label = 0 AND prediction = 0) AS tn
+cm AS (SELECT CAST(count_if(label = 1 AND prediction = 1) AS BIGINT) AS tp,
+              CAST(count_if(label = 0 AND prediction = 1) AS BIGINT) AS fp,
+              CAST(count_if(label = 1 AND prediction = 0) AS BIGINT) AS fn,
+              CAST(count_if(label = 0 AND prediction = 0) AS BIGINT) AS tn
        FROM sc)
 """
 
@@ -215,7 +217,8 @@ def _w(body: str) -> str:
 
 def _fpr(group: str) -> str:
     return f"""
-SELECT {group}, count_if(label = 0 AND prediction = 1) + count_if(label = 0 AND prediction = 0) AS negatives,
+SELECT {group}, CAST(count_if(label = 0 AND prediction = 1) + count_if(label = 0 AND prediction = 0) AS BIGINT)
+         AS negatives,
        round(CAST(count_if(label = 0 AND prediction = 1) AS DOUBLE)
              / NULLIF(count_if(label = 0 AND prediction = 1) + count_if(label = 0 AND prediction = 0), 0), 6) AS fpr
 FROM g GROUP BY {group}"""

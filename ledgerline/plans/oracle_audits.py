@@ -89,7 +89,7 @@ SELECT lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS zip_code_prefix,
 FROM customer GROUP BY 1""",
 "accent_fold_documents": """
 SELECT doc_id, md5(lower(strip_accents(trim(text)))) AS folded_md5,
-       length(lower(strip_accents(trim(text)))) AS folded_chars
+       CAST(length(lower(strip_accents(trim(text)))) AS INTEGER) AS folded_chars
 FROM documents""",
 "segment_histogram": """
 SELECT c_mktsegment, COUNT(c_mktsegment) AS n FROM customer GROUP BY c_mktsegment""",

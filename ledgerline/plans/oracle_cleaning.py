@@ -144,7 +144,7 @@ SELECT period, total_off, CAST(SUM(total_off) OVER (ORDER BY period) AS BIGINT)
          FROM layoffs GROUP BY company, year(date)),
 r AS (SELECT *, dense_rank() OVER (PARTITION BY years ORDER BY total_laid_off DESC) AS ranking
       FROM cy WHERE years IS NOT NULL)
-SELECT * FROM r WHERE ranking <= 5"""),
+SELECT company, years, total_laid_off, CAST(ranking AS INTEGER) AS ranking FROM r WHERE ranking <= 5"""),
 "housing_clean": _h(f"""
 , h2 AS (
   SELECT UniqueID, ParcelID, PropertyAddress, SaleDate, SalePrice, LegalReference,

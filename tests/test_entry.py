@@ -41,16 +41,24 @@ def _norm(cols, rs):
     return sorted(tuple(n(r[i]) for i in order) for r in rs)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cols = df.columns
     assert len(set(cols)) == len(cols), "duplicate output column names"
     srows = [tuple(r) for r in df.collect()]
-    cur = con.execute(entry.oracle_sql()[name])
-    dcols = [d[0] for d in cur.description]
+    rel = con.sql(entry.oracle_sql()[name])
+    dcols = rel.columns
     assert sorted(cols) == sorted(dcols)
-    assert _norm(cols, srows) == _norm(dcols, cur.fetchall())
+    duck_types = dict(zip(dcols, [str(t) for t in rel.types]))
+    for f in df.schema.fields:
+        st = f.dataType.simpleString()
+        assert duck_types[f.name] == SPARK_TO_DUCK.get(st, st.upper()), (f.name, st)
+    assert _norm(cols, srows) == _norm(dcols, rel.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
