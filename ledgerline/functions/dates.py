@@ -53,8 +53,11 @@ def year_month_text(c: ColOrName) -> Column:
 
 
 def seconds_between(later: ColOrName, earlier: ColOrName) -> Column:
-    """``later - earlier`` as whole seconds (interval exposed as bigint)."""
-    return F.timestamp_diff("SECOND", _c(earlier), _c(later))
+    """``later - earlier`` as whole seconds. The NTZ difference is a day-time
+    interval (wall-clock, zone-free), exposed as bigint seconds;
+    ``timestamp_diff`` would go through the session zone and gain or lose
+    an hour across daylight-saving changes."""
+    return (_c(later) - _c(earlier)).cast("interval second").cast("bigint")
 
 
 def shift_months(c: ColOrName, n: Column | int) -> Column:

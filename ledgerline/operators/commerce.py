@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.dates import seconds_between
+
 
 def reconcile_amounts(left: DataFrame, right: DataFrame, key: str, left_value: str,
                       right_value: str, tolerance: float = 1.0) -> DataFrame:
@@ -60,7 +62,7 @@ def above_group_average(df: DataFrame, value: str, by: Sequence[str],
 def late_events(df: DataFrame, actual: str, expected: str,
                 tolerance_seconds: int = 24 * 3600, name: str = "delay_seconds") -> DataFrame:
     """Rows where ``actual - expected`` exceeds the tolerance (strict)."""
-    delay = F.timestamp_diff("SECOND", F.col(expected), F.col(actual))
+    delay = seconds_between(actual, expected)
     return df.withColumn(name, delay).filter(F.col(name) > tolerance_seconds)
 
 

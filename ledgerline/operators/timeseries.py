@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.dates import day_start, month_start, week_start
+from ledgerline.functions.dates import day_start, month_start, seconds_between, week_start
 from ledgerline.operators.sequence import expand_range, lag_exact
 
 
@@ -69,7 +69,7 @@ def gap(df: DataFrame, key: str, ts: str, tiebreak: str, prev_name: str = "prev_
     else:
         w = Window.partitionBy(key).orderBy(*order)
         out = df.withColumn(prev_name, F.lag(ts).over(w))
-    return out.withColumn(gap_name, F.timestamp_diff("SECOND", F.col(prev_name), F.col(ts)))
+    return out.withColumn(gap_name, seconds_between(ts, prev_name))
 
 
 def calendar_rollup(df: DataFrame, ts: str, value: str,

@@ -92,3 +92,14 @@ def test_calendar_starts_ignore_session_zone(spark):
                                             dt.datetime(2018, 10, 29))
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_seconds_between_ignores_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        df = spark.createDataFrame([(dt.datetime(2001, 10, 14), dt.datetime(1997, 6, 11))],
+                                   "a timestamp_ntz, b timestamp_ntz")
+        assert df.select(seconds_between("a", "b").alias("s")).first()["s"] == 1586 * 86400
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
