@@ -81,43 +81,50 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None,
     return out.select(*cols, F.col(name).cast("int").alias(name))
 
 
-def _donors(df: DataFrame, key: str, target: str, tiebreak: str, blank_is_null: bool):
+def _key(key: str, fold: bool):
+    return fold_key(key) if fold else F.col(key)
+
+
+def _donors(df: DataFrame, key: str, target: str, tiebreak: str, blank_is_null: bool,
+            fold: bool = False):
     # No filter: rows without a value get a NULL ordering key, which min_by
     # skips, and a NULL-key group never matches the equi-join back. Keeping
     # filters out lets both uses of ``df`` share one exchange (a filter would
     # be pushed below an upstream aggregate and defeat exchange reuse).
     value = _blank(target) if blank_is_null else F.col(target)
-    donors = df.select(F.col(key), value.alias("_v"), F.col(tiebreak).alias("_t"))
+    donors = df.select(_key(key, fold).alias("_k"), value.alias("_v"), F.col(tiebreak).alias("_t"))
     has = F.col("_v").isNotNull()
-    return donors.groupBy(key).agg(
+    return donors.groupBy("_k").agg(
         F.min_by("_v", F.when(has, F.struct(F.col("_t"), F.col("_v")))).alias("_donor"),
         F.count_if(has).alias("_donors"))
 
 
 def fill_from_group(df: DataFrame, key: str, target: str, tiebreak: str,
-                    blank_is_null: bool = True) -> DataFrame:
+                    blank_is_null: bool = True, fold: bool = False) -> DataFrame:
     """Fill NULL (and blank) ``target`` from another row with the same ``key``.
 
     With several donors the one with the smallest ``tiebreak`` wins (a
-    join-update leaves this unspecified). NULL keys never match.
+    join-update leaves this unspecified). NULL keys never match. ``fold``
+    matches keys case- and accent-insensitively (an ``_ai_ci`` collation).
     """
-    donors = _donors(df, key, target, tiebreak, blank_is_null).select(key, "_donor")
+    donors = _donors(df, key, target, tiebreak, blank_is_null, fold).select("_k", "_donor")
     cur = _blank(target) if blank_is_null else F.col(target)
-    out = df.join(donors, key, "left")
+    out = df.join(donors, _key(key, fold) == F.col("_k"), "left").drop("_k")
     filled = F.coalesce(cur, F.col("_donor")) if blank_is_null else \
         F.coalesce(F.col(target), F.col("_donor"))
     return out.select(*[filled.alias(c) if c == target else F.col(c) for c in df.columns])
 
 
 def donor_preview(df: DataFrame, key: str, target: str, tiebreak: str,
-                  show: Sequence[str] = (), blank_is_null: bool = True) -> DataFrame:
+                  show: Sequence[str] = (), blank_is_null: bool = True,
+                  fold: bool = False) -> DataFrame:
     """Rows that would be filled, with the chosen donor value and the number
     of candidate donors (one row per target row, not one per donor pair)."""
-    donors = _donors(df, key, target, tiebreak, blank_is_null)
+    donors = _donors(df, key, target, tiebreak, blank_is_null, fold)
     cur = _blank(target) if blank_is_null else F.col(target)
     cols = list(dict.fromkeys([*show, key, target]))
     targets = df.filter(cur.isNull()).select(*cols)
-    return targets.join(donors, key, "left").select(
+    return targets.join(donors, _key(key, fold) == F.col("_k"), "left").select(
         *cols, F.col("_donor").alias("donor_value"),
         F.coalesce(F.col("_donors"), F.lit(0)).alias("donor_count"))
 

@@ -36,7 +36,8 @@ def layoffs_pipeline(raw: DataFrame, recode_prefix: tuple[str, str] = ("Crypto",
             .withColumn("date", dates.parse_date("date", date_format))
             .withColumn("industry", F.nullif(F.col("industry"), F.lit("")))
             .transform(lambda d: clean.fill_from_group(d, "company", "industry", "industry",
-                                                         blank_is_null=False))
+                                                         blank_is_null=False,
+                                                         fold=fold_company))
             .transform(lambda d: clean.drop_unmeasured(
                 d, ["total_laid_off", "percentage_laid_off"])))
 

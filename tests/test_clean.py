@@ -58,3 +58,12 @@ def test_fill_from_group_donors(spark):
 def test_drop_unmeasured_keeps_null_predicate(spark):
     df = spark.createDataFrame([(None, None), (1, None), (None, "0.5")], "a int, b string")
     assert rows(clean.drop_unmeasured(df, ["a", "b"])) == [(1, None), (None, "0.5")]
+
+
+def test_fill_from_group_folded_keys(spark):
+    df = spark.createDataFrame([(1, "Bally's", None), (2, "BALLY’S", None), (3, "bally's", "Gaming")],
+                               "id int, k string, v string")
+    out = dict(rows(clean.fill_from_group(df, "k", "v", "id", fold=True), "id", "v"))
+    assert out == {1: "Gaming", 2: None, 3: "Gaming"}   # curly apostrophe is a different key
+    plain = dict(rows(clean.fill_from_group(df, "k", "v", "id"), "id", "v"))
+    assert plain[1] is None
