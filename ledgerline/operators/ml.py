@@ -126,13 +126,22 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def one_hot_drop_first(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
+def one_hot_drop_first(df: DataFrame, col: str, prefix: str | None = None,
+                       max_levels: int = 10_000) -> DataFrame:
     """``get_dummies(drop_first=True)``: one 0/1 column per level except the
     alphabetically first. Levels come from a fitted ``StringIndexer``
-    (alphabetical, descending, so ``dropLast`` drops the first level)."""
+    (alphabetical, descending, so ``dropLast`` drops the first level).
+
+    Fitting brings the level list to the driver, so it is meant for
+    categorical columns: an identifier-like column with more than
+    ``max_levels`` distinct values is refused (checked with a sketch)."""
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
     from pyspark.ml.functions import vector_to_array
     prefix = prefix or col + "_"
+    approx_levels = df.agg(F.approx_count_distinct(col)).first()[0]
+    if approx_levels > max_levels:
+        raise ValueError(f"{col} has ~{approx_levels} levels; one-hot encoding expects a "
+                         f"categorical column (max_levels={max_levels})")
     idx = StringIndexer(inputCol=col, outputCol="_idx", stringOrderType="alphabetDesc",
                         handleInvalid="keep").fit(df)
     levels = list(idx.labels)  # descending; the last is the alphabetically first

@@ -73,3 +73,10 @@ def test_logistic_regression_trains(spark):
     df = ml.balanced_weights(_labelled(spark), "y")
     out = ml.train_predict(df, df, LogisticRegression(weightCol="weight"), ["x1", "x2"], "y", ["id"])
     assert out.count() == 100 and set(out.columns) == {"id", "prediction", "probability"}
+
+
+def test_one_hot_refuses_identifier_columns(spark):
+    import pytest
+    df = spark.range(50).selectExpr("cast(id as string) as cid")
+    with pytest.raises(ValueError):
+        ml.one_hot_drop_first(df, "cid", max_levels=10)
