@@ -16,6 +16,27 @@ from ledgerline.functions.numeric import sigmoid
 from ledgerline.operators.sequence import expand_range, global_row_number
 
 
+MAX_CLASSES = 10_000
+
+
+def class_counts(df: DataFrame, label: str) -> dict:
+    """Rows per class, fitted on the cluster, returned as parameters (one
+    number per class; refused beyond ``MAX_CLASSES`` classes)."""
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    return {r[label]: r["n"] for r in rows}
+
+
+def _by_class(label: str, values: Mapping) -> Column:
+    """A per-class constant as one CASE expression (no join)."""
+    out = None
+    for k, v in values.items():
+        cond = F.col(label).isNull() if k is None else F.col(label) == F.lit(k)
+        out = F.when(cond, F.lit(v)) if out is None else out.when(cond, F.lit(v))
+    return out
+
+
 def _class_stats(df: DataFrame, label: str) -> DataFrame:
     """One row per class: count and first global position (size bounded by
     the number of classes)."""
@@ -46,30 +67,31 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """``class_weight='balanced'``: w = n / (k * n_class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    n = counts.agg(F.sum("_nc")).scalar()
-    k = counts.agg(F.count(F.lit(1))).scalar()
-    w = counts.select(label, (n.cast("double") / (k * F.col("_nc"))).alias(name))
-    return df.join(F.broadcast(w), label)  # one row per class
+    """``class_weight='balanced'``: w = n / (k * n_class), fitted as one
+    weight per class and applied as a CASE expression."""
+    counts = class_counts(df, label)
+    n, k = sum(counts.values()), len(counts)
+    return df.withColumn(name, _by_class(label, {c: n / (k * m) for c, m in counts.items()}))
 
 
-def fit_standardizer(train: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row of (mean, population std) per feature, fitted on ``train``."""
+def fit_standardizer(train: DataFrame, cols: Sequence[str]) -> dict:
+    """Mean and population standard deviation per feature, fitted on
+    ``train`` in one aggregation: {col: (mean, std)}."""
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"_mu_{c}"), F.stddev_pop(c).alias(f"_sd_{c}")]
-    return train.agg(*aggs)
+        aggs += [F.avg(c).alias(f"mu_{c}"), F.stddev_pop(c).alias(f"sd_{c}")]
+    row = train.agg(*aggs).first()
+    return {c: (row[f"mu_{c}"], row[f"sd_{c}"]) for c in cols}
 
 
-def standardize(df: DataFrame, stats: DataFrame, cols: Sequence[str],
+def standardize(df: DataFrame, params: Mapping, cols: Sequence[str],
                 prefix: str = "z_") -> DataFrame:
-    """(x - mean) / std with a fitted one-row ``stats`` frame, read as scalar
-    subqueries (Catalyst merges them into one aggregate)."""
+    """(x - mean) / std with fitted parameters (a zero std gives NULL)."""
     out = df
     for c in cols:
-        mu, sd = stats.select(f"_mu_{c}").scalar(), stats.select(f"_sd_{c}").scalar()
-        out = out.withColumn(prefix + c, F.try_divide(F.col(c) - mu, sd))
+        mu, sd = params[c]
+        z = F.try_divide(F.col(c) - F.lit(mu), F.lit(sd)) if sd else F.lit(None).cast("double")
+        out = out.withColumn(prefix + c, z)
     return out
 
 
@@ -87,12 +109,12 @@ def upsample_minority(df: DataFrame, label: str, key: str, name: str = "copy_no"
     """Deterministic upsampling: every class is brought to the size N of the
     largest; row i (0-based, md5 order) of a class with m rows is repeated
     floor(N/m) + (1 if i < N mod m else 0) times."""
+    big = max(class_counts(df, label).values())
     p = position_in_class(df, label, key)
-    p = p.withColumn("_N", p.agg(F.max("_nc")).scalar())
-    reps = F.floor(F.col("_N") / F.col("_nc")) + \
-        F.when(F.col("_pos") < F.col("_N") % F.col("_nc"), 1).otherwise(0)
+    reps = F.floor(F.lit(big) / F.col("_nc")) + \
+        F.when(F.col("_pos") < F.lit(big) % F.col("_nc"), 1).otherwise(0)
     out = expand_range(p.withColumn("_reps", reps), F.lit(1), F.col("_reps"), name)
-    return out.withColumn(name, F.col(name).cast("int")).drop("_pos", "_nc", "_N", "_reps")
+    return out.withColumn(name, F.col(name).cast("int")).drop("_pos", "_nc", "_reps")
 
 
 def value_band(c: Column | str, cuts: tuple[float, float] = (35, 55),
@@ -105,12 +127,13 @@ def value_band(c: Column | str, cuts: tuple[float, float] = (35, 55),
 
 def compare_to_baseline(df: DataFrame, label: str, cols: Sequence[str], baseline_label=0,
                         prefix: str = "delta_") -> DataFrame:
-    """Each row's features minus the mean of the baseline class."""
-    base = df.filter(F.col(label) == baseline_label)
+    """Each row's features minus the mean of the baseline class (means
+    fitted in one aggregation)."""
+    row = df.filter(F.col(label) == baseline_label).agg(
+        *[(F.sum(c).cast("double") / F.count(c)).alias(c) for c in cols]).first()
     out = df
     for c in cols:
-        mean = base.agg(F.sum(c).cast("double") / F.count(c)).scalar()
-        out = out.withColumn(prefix + c, F.col(c) - mean)
+        out = out.withColumn(prefix + c, F.col(c) - F.lit(row[c]).cast("double"))
     return out
 
 

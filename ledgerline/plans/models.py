@@ -38,12 +38,27 @@ def feature_frame(spark: SparkSession, sf: str) -> DataFrame:
                     n_words.cast("int").alias("n_words"))
 
 
+def labelled(spark, sf) -> DataFrame:
+    """The labelled documents as narrow rows (doc_id, label): the numbering
+    jobs below never touch the texts (only ``doc_id`` is read from
+    ``documents``)."""
+    lab = load(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    docs = load(spark, sf, "documents").select("doc_id")
+    return lab.join(docs, "doc_id", "left_semi")
+
+
+def split_keys(spark, sf) -> DataFrame:
+    return ml.stratified_split(labelled(spark, sf), "label", "doc_id", TEST_FRACTION)
+
+
 def split_frame(spark, sf) -> DataFrame:
-    return ml.stratified_split(feature_frame(spark, sf), "label", "doc_id", TEST_FRACTION)
+    """Features with their split; text features are computed once, after
+    the split is fixed."""
+    return feature_frame(spark, sf).join(split_keys(spark, sf).drop("label"), "doc_id")
 
 
 def stratified_split(spark, sf):
-    return split_frame(spark, sf).select("doc_id", "label", "split")
+    return split_keys(spark, sf).select("doc_id", "label", "split")
 
 
 def balanced_weights(spark, sf):
@@ -73,7 +88,7 @@ def one_hot_lang(spark, sf):
 
 
 def upsample_minority(spark, sf):
-    return ml.upsample_minority(feature_frame(spark, sf), "label", "doc_id") \
+    return ml.upsample_minority(labelled(spark, sf), "label", "doc_id") \
              .select("doc_id", "label", "copy_no")
 
 
@@ -133,7 +148,9 @@ def random_forest(spark, sf):
 def mlp(spark, sf):
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     z = _standardized(spark, sf)
-    train = ml.upsample_minority(z.filter(F.col("split") == "train"), "label", "doc_id")
+    copies = ml.upsample_minority(split_keys(spark, sf).filter(F.col("split") == "train")
+                                  .select("doc_id", "label"), "label", "doc_id")
+    train = copies.select("doc_id", "copy_no").join(z.drop("split"), "doc_id")
     test = z.filter(F.col("split") == "test")
     est = MultilayerPerceptronClassifier(layers=[len(FEATURES), 16, 2], maxIter=100, seed=42)
     return ml.train_predict(train, test, est, ["z_" + c for c in FEATURES], "label",
