@@ -22,6 +22,16 @@ def reconcile_counts(before: DataFrame, after: DataFrame) -> DataFrame:
             .withColumn("removed_rows", F.col("before_rows") - F.col("after_rows"))
 
 
+def dedup_counts(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """One row: rows before, rows after de-duplicating on ``keys`` (all
+    columns by default), rows removed — from a single grouping pass over
+    ``df`` (partial aggregation), not two scans."""
+    keys = list(keys or df.columns)
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return g.agg(F.sum("_n").alias("before_rows"), F.count(F.lit(1)).alias("after_rows")) \
+            .withColumn("removed_rows", F.col("before_rows") - F.col("after_rows"))
+
+
 def orphans(child: DataFrame, parent: DataFrame, on: Mapping[str, str] | str) -> DataFrame:
     """Child rows without a parent (``LEFT JOIN ... WHERE p.k IS NULL``),
     written as an anti join. ``on`` maps child column -> parent column."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, text
 from ledgerline.operators import audit, clean, explore, pipelines
+from ledgerline.operators.sequence import materialize
 from ledgerline.sources.tables import load
 
 INDUSTRY_PREFIX = ("MACHINERY", "MACHINERY")
@@ -92,14 +93,13 @@ def layoffs_duplicate_rows(spark, sf):
 
 
 def layoffs_dedup_audit(spark, sf):
-    raw = layoffs_raw(spark, sf)
-    return audit.reconcile_counts(raw, clean.dedup_exact(raw))
+    return audit.dedup_counts(layoffs_raw(spark, sf))
 
 
 def layoffs_peer_fill_preview(spark, sf):
     """Rows with a missing industry after the earlier cleaning steps, with
     the peer value that would fill them."""
-    d = (clean.dedup_exact(layoffs_raw(spark, sf))
+    d = (materialize(clean.dedup_exact(layoffs_raw(spark, sf)), "layoffs-dedup")
          .withColumn("company", F.trim("company"))
          .withColumn("industry", text.recode_prefix("industry", *INDUSTRY_PREFIX))
          .withColumn("industry", F.nullif(F.col("industry"), F.lit(""))))

@@ -51,3 +51,9 @@ def test_reconcile_counts(spark):
     a = spark.range(10)
     b = spark.range(7)
     assert rows(audit.reconcile_counts(a, b)) == [(10, 7, 3)]
+
+
+def test_dedup_counts_one_pass(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (3, "c")], "k int, v string")
+    assert rows(audit.dedup_counts(df)) == [(5, 3, 2)]
+    assert rows(audit.dedup_counts(df, ["k"])) == [(5, 3, 2)]
