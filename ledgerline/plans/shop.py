@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import day_start, month_start
 from ledgerline.functions.numeric import money
-from ledgerline.operators import commerce, ranking, timeseries
+from ledgerline.operators import commerce, ordering, ranking, timeseries
 from ledgerline.sources.tables import load
 
 def delivered():
@@ -50,6 +50,8 @@ def payment_mismatch(spark, sf) -> DataFrame:
     paid = load(spark, sf, "orders").groupBy(F.col("o_orderkey").alias("order_id")).agg(
         F.sum(money("o_totalprice")).alias("total_paid"))
     out = commerce.reconcile_amounts(bill, paid, "order_id", "total_bill", "total_paid", 1)
+    out = ordering.present(out, ordering.key(F.abs(F.col("total_bill") - F.col("total_paid")),
+                                             descending=True))
     return out.select("order_id", _dbl("total_bill").alias("total_bill"),
                       _dbl("total_paid").alias("total_paid"))
 
@@ -107,6 +109,8 @@ def clv_tiers(spark, sf) -> DataFrame:
 def sales_rollup(spark, sf) -> DataFrame:
     o = delivered_payments(spark, sf).select("o_orderdate", money("o_totalprice").alias("pay"))
     out = timeseries.calendar_rollup(o, "o_orderdate", "pay")
+    # subtotal rows (NULL levels) after their details, as in the report
+    out = ordering.present(out, *[ordering.key(c) for c in ("monthly", "weekly", "daily")])
     return out.withColumn("revenue", _dbl("revenue"))
 
 

@@ -73,3 +73,11 @@ def test_tiers_distributed_equals_window(spark):
     a = ranking.tiers(df, "v", "id", ["Gold", "Silver", "Bronze"], "t", distributed=True)
     b = ranking.tiers(df, "v", "id", ["Gold", "Silver", "Bronze"], "t", distributed=False)
     assert rows(a, "id", "t") == rows(b, "id", "t")
+
+
+def test_postgres_null_order(spark):
+    from ledgerline.operators import ordering
+    df = spark.createDataFrame([(1,), (None,), (3,)], "v int")
+    asc = [r["v"] for r in ordering.present(df, ordering.key("v")).collect()]
+    desc = [r["v"] for r in ordering.present(df, ordering.key("v", descending=True)).collect()]
+    assert asc == [1, 3, None] and desc == [None, 3, 1]
