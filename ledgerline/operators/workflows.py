@@ -1,4 +1,4 @@
-"""Ordered cleaning pipelines (C33) composed from the single-step
+"""Ordered cleaning workflows (C33) composed from the single-step
 operators with ``DataFrame.transform``. Order matters: blanks become NULL
 before the peer fill, de-duplication runs on the raw values."""
 
@@ -12,7 +12,7 @@ from ledgerline.operators import clean
 from ledgerline.operators.sequence import materialize
 
 
-def layoffs_pipeline(raw: DataFrame, recode_prefix: tuple[str, str] = ("Crypto", "Crypto"),
+def clean_layoffs(raw: DataFrame, recode_prefix: tuple[str, str] = ("Crypto", "Crypto"),
                      country_prefix: str = "United States", date_format: str = "M/d/yyyy",
                      fold_company: bool = False, materialize_dedup: bool = True) -> DataFrame:
     """Raw layoffs -> cleaned layoffs:
@@ -42,7 +42,7 @@ def layoffs_pipeline(raw: DataFrame, recode_prefix: tuple[str, str] = ("Crypto",
                 d, ["total_laid_off", "percentage_laid_off"])))
 
 
-def housing_pipeline(raw: DataFrame) -> DataFrame:
+def clean_housing(raw: DataFrame) -> DataFrame:
     """Raw sales -> cleaned sales: date-only sale date, property address
     filled from the same parcel, address/city split at the first comma,
     owner address split from the right, Y/N recoded, duplicate sales (same
@@ -62,7 +62,7 @@ def housing_pipeline(raw: DataFrame) -> DataFrame:
     return clean.drop_columns(out, ["TaxDistrict", "OwnerAddress", "PropertyAddress", "SaleDate"])
 
 
-def staging_pipeline(raw: dict[str, DataFrame], review_order: str | None = None) -> dict[str, DataFrame]:
+def stage_shop_tables(raw: dict[str, DataFrame], review_order: str | None = None) -> dict[str, DataFrame]:
     """Raw e-commerce tables -> staging tables (each step a projection or
     an aggregate; tables missing from ``raw`` are skipped):
 

@@ -221,18 +221,18 @@ def shop_raw(spark, sf) -> dict:
 
 
 def staging_customers(spark, sf):
-    from ledgerline.operators.pipelines import staging_pipeline
-    return staging_pipeline(shop_raw(spark, sf))["customers"]
+    from ledgerline.operators.workflows import stage_shop_tables
+    return stage_shop_tables(shop_raw(spark, sf))["customers"]
 
 
 def staging_products(spark, sf):
-    from ledgerline.operators.pipelines import staging_pipeline
-    return staging_pipeline(shop_raw(spark, sf))["products"]
+    from ledgerline.operators.workflows import stage_shop_tables
+    return stage_shop_tables(shop_raw(spark, sf))["products"]
 
 
 def staging_categories(spark, sf):
-    from ledgerline.operators.pipelines import staging_pipeline
-    return staging_pipeline(shop_raw(spark, sf))["product_category_name_translation"]
+    from ledgerline.operators.workflows import stage_shop_tables
+    return stage_shop_tables(shop_raw(spark, sf))["product_category_name_translation"]
 
 
 QUERIES.update({

@@ -8,8 +8,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.plans import (audits, cleaning, hotel_io, models, oracle_audits, epidemic, oracle_cleaning, oracle_epidemic,
-                              oracle_shop, shop)
+from ledgerline.plans import (audits, cleaning, epidemic, hotel_io, models, oracle_audits,
+                              oracle_cleaning, oracle_epidemic, oracle_shop, shop)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -1,5 +1,5 @@
 """Layoffs and housing stand-ins derived from the driver tables, their
-cleaning pipelines and the exploration queries.
+cleaning workflows and the exploration queries.
 
 Layoffs: one raw report per line item (so every order is reported as many
 times as it has lines: exact duplicates); company = customer name (padded
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, text
-from ledgerline.operators import audit, clean, explore, pipelines
+from ledgerline.operators import audit, clean, explore, workflows
 from ledgerline.operators.sequence import materialize
 from ledgerline.sources.tables import load
 
@@ -62,7 +62,7 @@ def layoffs_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def layoffs_clean(spark, sf) -> DataFrame:
-    return pipelines.layoffs_pipeline(layoffs_raw(spark, sf), INDUSTRY_PREFIX, COUNTRY_PREFIX)
+    return workflows.clean_layoffs(layoffs_raw(spark, sf), INDUSTRY_PREFIX, COUNTRY_PREFIX)
 
 
 def housing_raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +156,7 @@ def top_companies_per_year(spark, sf):
 # --- housing ----------------------------------------------------------------
 
 def housing_clean(spark, sf):
-    return pipelines.housing_pipeline(housing_raw(spark, sf))
+    return workflows.clean_housing(housing_raw(spark, sf))
 
 
 def housing_fill_preview(spark, sf):

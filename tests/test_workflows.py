@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import pipelines
+from ledgerline.operators import workflows
 from tests.conftest import rows
 
 LAYOFF_SCHEMA = ("company string, location string, industry string, total_laid_off int, "
@@ -10,7 +10,7 @@ LAYOFF_SCHEMA = ("company string, location string, industry string, total_laid_o
                  "funds_raised_millions int")
 
 
-def test_layoffs_pipeline(spark):
+def test_clean_layoffs(spark):
     raw = [
         (" Acme ", "SF", "Crypto Currency", 10, "0.5", "3/6/2023", "A", "United States.", 5),
         (" Acme ", "SF", "Crypto Currency", 10, "0.5", "3/6/2023", "A", "United States.", 5),  # dup
@@ -21,14 +21,14 @@ def test_layoffs_pipeline(spark):
         (None, None, None, None, None, None, None, None, None),
     ]
     df = spark.createDataFrame(raw, LAYOFF_SCHEMA)
-    out = pipelines.layoffs_pipeline(df)
+    out = workflows.clean_layoffs(df)
     got = rows(out, "company", "industry", "date", "country", "total_laid_off")
     assert got == [("Acme", "Crypto", dt.date(2022, 12, 31), "United States", 20),
                    ("Acme", "Crypto", dt.date(2023, 3, 6), "United States", 10),
                    ("Solo", None, None, "Peru.", 5)]
 
 
-def test_housing_pipeline(spark):
+def test_clean_housing(spark):
     raw = spark.createDataFrame([
         (1, "p1", "1 MAIN ST, NASHVILLE", dt.datetime(2019, 1, 2, 10), 100, "L1",
          "1 MAIN ST, NASHVILLE, TN", "Y", "T"),
@@ -38,7 +38,7 @@ def test_housing_pipeline(spark):
     ], "UniqueID int, ParcelID string, PropertyAddress string, SaleDate timestamp_ntz, "
        "SalePrice int, LegalReference string, OwnerAddress string, SoldAsVacant string, "
        "TaxDistrict string")
-    out = pipelines.housing_pipeline(raw)
+    out = workflows.clean_housing(raw)
     assert "PropertyAddress" not in out.columns and "TaxDistrict" not in out.columns
     got = {r["UniqueID"]: r for r in out.collect()}
     assert set(got) == {1, 2, 3}
@@ -50,7 +50,7 @@ def test_housing_pipeline(spark):
     assert got[1]["SaleDateConverted"] == dt.date(2019, 1, 2)
 
 
-def test_staging_pipeline(spark):
+def test_stage_shop_tables(spark):
     raw = {
         "orders": spark.createDataFrame([(" o1 ", " c1", " Delivered ", "")],
                                         "order_id string, customer_id string, order_status string, "
@@ -74,7 +74,7 @@ def test_staging_pipeline(spark):
                                              "geolocation_lng double, geolocation_city string, "
                                              "geolocation_state string"),
     }
-    st = pipelines.staging_pipeline(raw, review_order="pos")
+    st = workflows.stage_shop_tables(raw, review_order="pos")
     o = st["orders"].first()
     assert (o["order_id"], o["customer_id"], o["order_status"], o["order_approved_at"]) == \
         ("o1", "c1", "delivered", None)
