@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline import fixed_values as fv
 from ledgerline.functions.dates import seconds_between
 
 
@@ -67,8 +68,9 @@ def late_events(df: DataFrame, actual: str, expected: str,
 
 
 def discount_rules(order_value: Column, prior_orders: Column,
-                   new_pct: int = 15, big_pct: int = 10, big_threshold: float = 500,
-                   loyal_pct: int = 5, loyal_min: int = 5) -> Column:
+                   new_pct: int = fv.NEW_CUSTOMER_PCT, big_pct: int = fv.BIG_ORDER_PCT,
+                   big_threshold: float = fv.BIG_ORDER_THRESHOLD, loyal_pct: int = fv.LOYAL_PCT,
+                   loyal_min: int = fv.LOYAL_MIN_ORDERS) -> Column:
     """One discount per order, first matching rule wins: no delivered orders
     -> 15; value above 500 -> 10; 5+ delivered orders -> 5; else 0."""
     return (F.when(F.coalesce(prior_orders, F.lit(0)) == 0, F.lit(new_pct))

@@ -14,10 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.fixed_values import AGGREGATE_LOCATIONS
 from ledgerline.functions.numeric import ratio_pct
 
-AGGREGATE_LOCATIONS = ("World", "European Union", "International")
-
 
 def _countries(f: DataFrame) -> DataFrame:
     return f.filter(F.col("continent").isNotNull())

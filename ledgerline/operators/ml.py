@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.fixed_values import BAND_CUTS, BAND_LABELS
 from ledgerline.functions.numeric import sigmoid
 from ledgerline.operators.sequence import expand_range, global_row_number
 
@@ -117,8 +118,8 @@ def upsample_minority(df: DataFrame, label: str, key: str, name: str = "copy_no"
     return out.withColumn(name, F.col(name).cast("int")).drop("_pos", "_nc", "_reps")
 
 
-def value_band(c: Column | str, cuts: tuple[float, float] = (35, 55),
-               labels: tuple[str, str, str] = ("Young", "Middle", "Senior")) -> Column:
+def value_band(c: Column | str, cuts: tuple[float, float] = BAND_CUTS,
+               labels: tuple[str, str, str] = BAND_LABELS) -> Column:
     """Three bands: below cuts[0], cuts[0]..cuts[1] inclusive, above cuts[1]."""
     col = F.col(c) if isinstance(c, str) else c
     return F.when(col < cuts[0], labels[0]).when(col <= cuts[1], labels[1]) \

@@ -7,13 +7,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.fixed_values import US_DATE_FORMAT, VACANT_RECODE
 from ledgerline.functions import dates, text
 from ledgerline.operators import clean
 from ledgerline.operators.sequence import materialize
 
 
 def clean_layoffs(raw: DataFrame, recode_prefix: tuple[str, str] = ("Crypto", "Crypto"),
-                     country_prefix: str = "United States", date_format: str = "M/d/yyyy",
+                     country_prefix: str = "United States", date_format: str = US_DATE_FORMAT,
                      fold_company: bool = False, materialize_dedup: bool = True) -> DataFrame:
     """Raw layoffs -> cleaned layoffs:
     exact de-duplication, trim company, collapse an industry prefix, strip
@@ -56,7 +57,7 @@ def clean_housing(raw: DataFrame) -> DataFrame:
     out = (out.withColumn("OwnerSplitAddress", text.split_right("OwnerAddress", 3))
               .withColumn("OwnerSplitCity", text.split_right("OwnerAddress", 2))
               .withColumn("OwnerSplitState", text.split_right("OwnerAddress", 1))
-              .withColumn("SoldAsVacant", text.recode("SoldAsVacant", {"Y": "Yes", "N": "No"})))
+              .withColumn("SoldAsVacant", text.recode("SoldAsVacant", VACANT_RECODE)))
     out = clean.dedup(out, ["ParcelID", "PropertyAddress", "SaleDate", "SalePrice",
                             "LegalReference"], ["UniqueID"], keep="first")
     return clean.drop_columns(out, ["TaxDistrict", "OwnerAddress", "PropertyAddress", "SaleDate"])

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.fixed_values import MISSING_ORDER, MISSING_PRODUCT
 from ledgerline.functions import numeric, text
 from ledgerline.operators import audit, clean
 from ledgerline.sources.tables import load
@@ -87,8 +88,8 @@ def orphan_lines(spark, sf):
 def orphan_lines_labelled(spark, sf):
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     out = audit.orphans_labelled(li, [
-        ("Missing Order", loaded_orders(spark, sf), "l_orderkey", "o_orderkey"),
-        ("Missing Product", catalogue(spark, sf), "l_partkey", "p_partkey")])
+        (MISSING_ORDER, loaded_orders(spark, sf), "l_orderkey", "o_orderkey"),
+        (MISSING_PRODUCT, catalogue(spark, sf), "l_partkey", "p_partkey")])
     return out.select(F.col("l_orderkey").alias("order_id"),
                       F.col("l_partkey").alias("product_id"), "orphan_type")
 

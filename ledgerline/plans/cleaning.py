@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.fixed_values import VACANT_RECODE
 from ledgerline.functions import dates, text
 from ledgerline.operators import audit, clean, explore, workflows
 from ledgerline.operators.sequence import materialize
@@ -187,7 +188,7 @@ def sold_as_vacant_histogram(spark, sf):
 def sold_as_vacant_recode(spark, sf):
     h = housing_raw(spark, sf)
     return h.select("UniqueID", "SoldAsVacant",
-                    text.recode("SoldAsVacant", {"Y": "Yes", "N": "No"}).alias("Revised"))
+                    text.recode("SoldAsVacant", VACANT_RECODE).alias("Revised"))
 
 
 def housing_dedup(spark, sf):

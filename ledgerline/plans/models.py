@@ -14,15 +14,16 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline import fixed_values as fv
 from ledgerline.operators import metrics, ml
 from ledgerline.sources.tables import load
 
 FEATURES = ["n_chars", "n_lines", "n_words"]
 WORD_SPLIT = "[ \t\n\r]+"
-TEST_FRACTION = Decimal("0.2")
+TEST_FRACTION = Decimal(fv.TEST_FRACTION)
 SCORE_INTERCEPT = -2.0
 SCORE_WEIGHTS = {"n_chars": 0.0001, "n_lines": 0.01, "n_words": 0.001}
-BAND_CUTS = (35, 55)
+BAND_CUTS = fv.BAND_CUTS
 
 
 def feature_frame(spark: SparkSession, sf: str) -> DataFrame:

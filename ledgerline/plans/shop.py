@@ -16,6 +16,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.fixed_values import TIER_LABELS
 from ledgerline.functions.dates import day_start, month_start
 from ledgerline.functions.numeric import money
 from ledgerline.operators import commerce, ordering, ranking, timeseries
@@ -101,8 +102,7 @@ def customer_spend(spark, sf) -> DataFrame:
 
 def clv_tiers(spark, sf) -> DataFrame:
     spend = customer_spend(spark, sf).drop("customer_state")
-    out = ranking.tiers(spend, "clv", "customer_id", ["Gold", "Silver", "Bronze"],
-                        name="customer_tier")
+    out = ranking.tiers(spend, "clv", "customer_id", TIER_LABELS, name="customer_tier")
     return out.select("customer_id", _dbl("clv").alias("clv"), "customer_tier")
 
 
