@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators.sequence import global_row_number
+from ledgerline.operators.sequence import global_row_number, materialize
 
 
 def _counts(df: DataFrame, label: str, pred: str):
@@ -59,9 +59,12 @@ def report(df: DataFrame, label: str, pred: str, digits: int = 6) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str, key: str) -> DataFrame:
     """ROC AUC by Mann-Whitney: positives' average ranks (ties share the mean
     rank). Ranks come from exact distributed numbering, so no single task
-    sorts the whole table."""
-    n = global_row_number(df.select(label, score, key),
-                          [F.col(score).asc_nulls_first(), F.col(key).asc()], "_rn")
+    sorts the whole table. The narrow (label, score, key) rows are staged
+    once first: range partitioning samples its input in a separate job,
+    which would otherwise recompute an expensive score (e.g. a text
+    feature) a second time."""
+    narrow = materialize(df.select(label, score, key), "auc-input")
+    n = global_row_number(narrow, [F.col(score).asc_nulls_first(), F.col(key).asc()], "_rn")
     per = n.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"),
                                F.count(F.lit(1)).alias("_c"),
                                F.min("_rn").alias("_lo"), F.max("_rn").alias("_hi"))
