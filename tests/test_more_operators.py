@@ -106,3 +106,27 @@ def test_typed_csv_and_catalog(spark):
     assert conformed.dtypes == [("UniqueID", "int"), ("ParcelID", "string")]
     assert files.empty_clone(df).count() == 0 and files.empty_clone(df).schema == df.schema
     assert schemas.LAYOFFS["date"].dataType == T.StringType()
+
+
+def test_hotel_union_with_lookups_fixture(spark):
+    schema = "booking_id int, market_segment string, meal string, adr double"
+    y2018 = spark.createDataFrame([(1, "Direct", "BB", 10.0), (1, "Direct", "BB", 10.0),
+                                   (2, "Groups", None, 5.0)], schema)
+    y2019 = spark.createDataFrame([(1, "Direct", "BB", 10.0), (3, "Aviation", "FB", 7.0)], schema)
+    seg = spark.createDataFrame([("Direct", 0.1), ("Groups", 0.2)], "market_segment string, discount double")
+    meal = spark.createDataFrame([("BB", 12.0)], "meal string, cost double")
+    out = setops.union_with_lookups([y2018, y2019], [(seg, "market_segment"), (meal, "meal")])
+    got = rows(out, "booking_id", "discount", "cost")
+    # identical booking inside one year and across years kept once; segment and
+    # meal absent from the lookups and a NULL meal keep NULL lookup values
+    assert got == [(1, 0.1, 12.0), (2, 0.2, None), (3, None, None)]
+
+
+def test_rolling_vaccinations_null_values(spark):
+    f = _facts(spark)
+    v = spark.createDataFrame([("A", D(2020, 1, 1), None, None), ("A", D(2020, 1, 2), "4", 4.0),
+                               ("A", D(2020, 1, 3), None, 4.0)],
+                              "location string, date timestamp_ntz, new_vaccinations string, "
+                              "total_vaccinations double")
+    r = rows(epidemic.rolling_vaccinations(f, v), "date", "rolling_people_vaccinated")
+    assert r == [(D(2020, 1, 1), None), (D(2020, 1, 2), 4.0), (D(2020, 1, 3), 4.0)]
