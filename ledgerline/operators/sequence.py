@@ -46,7 +46,11 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_no",
                       partitions: int | None = None) -> DataFrame:
     """``df`` plus ``name`` = 1-based position in ``order`` (which must be a
     total order; add a unique tie-break). The numbered rows are a scan of
-    the materialised table."""
+    the materialised table.
+
+    ``partitions`` (default ``spark.sql.shuffle.partitions``) is the number
+    of range partitions; AQE does not coalesce an explicit count, so size it
+    for ~128-256 MB per partition at the target scale."""
     n = partitions or _default_partitions(df)
     tagged = materialize(df.repartitionByRange(n, *order)
                            .sortWithinPartitions(*order)
