@@ -92,3 +92,49 @@ def discount(requests: DataFrame, history: DataFrame, key: str, value: str,
     pct = discount_rules(F.col(value), F.col("delivered_orders"))
     out = out.withColumn(pct_name, pct)
     return out.withColumn(final_name, F.col(value) - F.col(value) * F.col(pct_name) / 100)
+
+
+def customer_view(customers: DataFrame, orders: DataFrame, items: DataFrame,
+                  reviews: DataFrame, customer_keys: list[str], dedupe: bool = False) -> DataFrame:
+    """Per-customer view: orders, items bought, spending, average item price,
+    average review, first and last purchase.
+
+    Inputs (already restricted by whatever inner joins the view requires):
+    ``customers(customer_id, *customer_keys)``, ``orders(order_id,
+    customer_id, purchased_at)``, ``items(order_id, price, freight)``,
+    ``reviews(order_id, review_score)``.
+
+    ``dedupe=False`` keeps the recipe's semantics: items and reviews are
+    joined on the order, so an order with 2 items and 2 reviews contributes
+    4 rows to every item and review aggregate. ``dedupe=True`` aggregates
+    items and reviews per order first and combines the per-order partials,
+    so nothing is multiplied; orders without items or reviews are still
+    dropped, as the inner joins do.
+    """
+    keys = ["customer_id", *customer_keys]
+    if not dedupe:
+        j = (customers.join(orders, "customer_id").join(items, "order_id")
+                      .join(reviews, "order_id"))
+        return j.groupBy(*keys).agg(
+            F.count_distinct("order_id").alias("total_orders"),
+            F.count("price").alias("products_purchased"),
+            F.sum(F.col("price") + F.col("freight")).cast("double").alias("total_spending"),
+            (F.sum("price").cast("double") / F.count("price")).alias("avg_order_value"),
+            (F.floor((F.sum("review_score") * 200 + F.count("review_score")) /
+                     (F.count("review_score") * 2)) / 100).alias("avg_review"),
+            F.min("purchased_at").alias("first_purchase_date"),
+            F.max("purchased_at").alias("last_purchase_date"))
+    per_item = items.groupBy("order_id").agg(
+        F.count("price").alias("_n"), F.sum("price").alias("_p"),
+        F.sum(F.col("price") + F.col("freight")).alias("_s"))
+    per_review = reviews.groupBy("order_id").agg(
+        F.sum("review_score").alias("_rs"), F.count("review_score").alias("_rn"))
+    j = customers.join(orders, "customer_id").join(per_item, "order_id").join(per_review, "order_id")
+    return j.groupBy(*keys).agg(
+        F.count_distinct("order_id").alias("total_orders"),
+        F.sum("_n").alias("products_purchased"),
+        F.sum("_s").cast("double").alias("total_spending"),
+        (F.sum("_p").cast("double") / F.sum("_n")).alias("avg_order_value"),
+        (F.floor((F.sum("_rs") * 200 + F.sum("_rn")) / (F.sum("_rn") * 2)) / 100).alias("avg_review"),
+        F.min("purchased_at").alias("first_purchase_date"),
+        F.max("purchased_at").alias("last_purchase_date"))

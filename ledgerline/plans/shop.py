@@ -126,41 +126,30 @@ def seasonal_top_categories(spark, sf) -> DataFrame:
     return out.withColumn("revenue", _dbl("revenue"))
 
 
-def customer_360(spark, sf) -> DataFrame:
+def customer_360(spark, sf, dedupe: bool = False) -> DataFrame:
     """Six-table view. One review per order (score = leading digit of the
     order priority); as in the recipe, item-level aggregates are computed
-    over the joined rows."""
+    over the joined rows (``dedupe=True`` aggregates per order first)."""
     c = load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = load(spark, sf, "nation").select("n_nationkey", "n_name")
-    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
-                                         "o_orderpriority")
+    cust = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.col("c_custkey").alias("customer_id"),
+        F.col("c_nationkey").alias("customer_zip_code_prefix"),
+        F.col("c_mktsegment").alias("customer_city"), F.col("n_name").alias("customer_state"))
+    o = load(spark, sf, "orders")
+    orders = o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"),
+                      F.col("o_orderdate").alias("purchased_at"))
+    reviews = o.select(F.col("o_orderkey").alias("order_id"),
+                       F.substring("o_orderpriority", 1, 1).cast("int").alias("review_score"))
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
                                             "l_extendedprice", "l_quantity")
     p = load(spark, sf, "part").select("p_partkey")
     s = load(spark, sf, "supplier").select("s_suppkey")
-    review = F.substring("o_orderpriority", 1, 1).cast("int")
-    j = (c.join(n, c.c_nationkey == n.n_nationkey)
-          .join(o, c.c_custkey == o.o_custkey)
-          .join(li, o.o_orderkey == li.l_orderkey)
-          .join(p, li.l_partkey == p.p_partkey)
-          .join(s, li.l_suppkey == s.s_suppkey)
-          .withColumn("review_score", review))
-    g = j.groupBy(F.col("c_custkey").alias("customer_id"),
-                  F.col("c_nationkey").alias("customer_zip_code_prefix"),
-                  F.col("c_mktsegment").alias("customer_city"),
-                  F.col("n_name").alias("customer_state"))
-    out = g.agg(
-        F.count_distinct("o_orderkey").alias("total_orders"),
-        F.count("l_partkey").alias("products_purchased"),
-        _dbl(F.sum(money("l_extendedprice") + money("l_quantity"))).alias("total_spending"),
-        (F.sum(money("l_extendedprice")).cast("double") / F.count("l_extendedprice"))
-        .alias("avg_order_value"),
-        # round(avg(score), 2) with exact half-up integer arithmetic
-        (F.floor((F.sum("review_score") * 200 + F.count("review_score")) /
-                 (F.count("review_score") * 2)) / 100).alias("avg_review"),
-        F.min("o_orderdate").alias("first_purchase_date"),
-        F.max("o_orderdate").alias("last_purchase_date"))
-    return out
+    items = (li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
+               .select(F.col("l_orderkey").alias("order_id"),
+                       money("l_extendedprice").alias("price"), money("l_quantity").alias("freight")))
+    keys = ["customer_zip_code_prefix", "customer_city", "customer_state"]
+    return commerce.customer_view(cust, orders, items, reviews, keys, dedupe)
 
 
 def _delivered_brand_lines(spark, sf) -> DataFrame:

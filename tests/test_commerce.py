@@ -64,3 +64,19 @@ def test_schemas_declared():
     assert [f.name for f in schemas.ORDER_ITEMS.fields][:3] == ["order_id", "order_item_id", "product_id"]
     assert schemas.PAYMENTS["payment_value"].dataType.simpleString() == "decimal(10,2)"
     assert len(schemas.CREDIT.fields) == 17
+
+
+def test_customer_view_fan_out_and_dedupe(spark):
+    cust = spark.createDataFrame([(1, "SP")], "customer_id int, state string")
+    orders = spark.createDataFrame([(10, 1, dt.datetime(2020, 1, 1)), (11, 1, dt.datetime(2020, 2, 1))],
+                                   "order_id int, customer_id int, purchased_at timestamp_ntz")
+    items = spark.createDataFrame([(10, 5.0, 1.0), (10, 7.0, 1.0), (11, 3.0, 0.0)],
+                                  "order_id int, price double, freight double")
+    reviews = spark.createDataFrame([(10, 5), (10, 1), (11, 4)], "order_id int, review_score int")
+    raw = commerce.customer_view(cust, orders, items, reviews, ["state"]).first()
+    # order 10: 2 items x 2 reviews = 4 joined rows, as the recipe computes
+    assert (raw["total_orders"], raw["products_purchased"], raw["total_spending"]) == (2, 5, 31.0)
+    assert raw["avg_review"] == 3.2
+    fixed = commerce.customer_view(cust, orders, items, reviews, ["state"], dedupe=True).first()
+    assert (fixed["total_orders"], fixed["products_purchased"], fixed["total_spending"]) == (2, 3, 17.0)
+    assert fixed["avg_order_value"] == 5.0 and fixed["avg_review"] == 3.33
