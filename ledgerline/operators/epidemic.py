@@ -89,18 +89,20 @@ def _joined(f: DataFrame, v: DataFrame, countries_only: bool) -> DataFrame:
                .join(v, ["location", "date"])
 
 
-def rolling_vaccinations(f: DataFrame, v: DataFrame, countries_only: bool = True) -> DataFrame:
+def rolling_vaccinations(f: DataFrame, v: DataFrame, countries_only: bool = True,
+                         as_integer: bool = False) -> DataFrame:
     """Running vaccinations per location (window per location; its length
-    is bounded by the number of days)."""
+    is bounded by the number of days). The counts are summed as DOUBLE, or
+    as integers with ``as_integer`` (the dashboard variant)."""
     w = Window.partitionBy("location").orderBy("date")
     j = _joined(f, v, countries_only)
+    value = F.col("new_vaccinations").cast("int" if as_integer else "double")
     return j.select("continent", "location", "date", "population", "new_vaccinations",
-                    F.sum(F.col("new_vaccinations").cast("double")).over(w)
-                    .alias("rolling_people_vaccinated"))
+                    F.sum(value).over(w).alias("rolling_people_vaccinated"))
 
 
-def rolling_vaccinations_pct(f: DataFrame, v: DataFrame) -> DataFrame:
-    r = rolling_vaccinations(f, v)
+def rolling_vaccinations_pct(f: DataFrame, v: DataFrame, as_integer: bool = False) -> DataFrame:
+    r = rolling_vaccinations(f, v, as_integer=as_integer)
     return r.withColumn("percent_people_vaccinated",
                         ratio_pct("rolling_people_vaccinated", "population"))
 

@@ -102,6 +102,7 @@ QUERIES = {
     "deaths_by_aggregate_location": _f(ep.deaths_by_aggregate_location),
     "rolling_vaccinations": _fv(ep.rolling_vaccinations),
     "rolling_vaccinations_pct": _fv(ep.rolling_vaccinations_pct),
+    "rolling_vaccinations_pct_int": _fv(lambda f, v: ep.rolling_vaccinations_pct(f, v, as_integer=True)),
     "pct_vaccinated_table": _fv(ep.pct_vaccinated_table),
     "pct_vaccinated_view": _fv(ep.pct_vaccinated_view),
     "max_vaccinations_daily": _fv(ep.max_vaccinations_daily),
