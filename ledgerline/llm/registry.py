@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from ledgerline.llm.op1_language_id import op1_language_id
+from ledgerline.llm.op5_quality import op5_quality
 from ledgerline.llm.op6_packing import op6_packing
 from ledgerline.llm.op10_winnowing import op10_winnowing
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op10_winnowing": op10_winnowing,
 }
