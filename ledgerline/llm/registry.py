@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ledgerline.llm import op2_stream_dedup as op2
+from ledgerline.llm import op3_line_templates as op3
+from ledgerline.llm import op9_mixing as op9
 from ledgerline.llm.op1_language_id import op1_language_id
 from ledgerline.llm.op5_quality import op5_quality
 from ledgerline.llm.op6_packing import op6_packing
@@ -9,9 +12,16 @@ from ledgerline.llm.op10_winnowing import op10_winnowing
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_stream_dedup": op2.op2_stream_dedup,
+    "op3_line_templates": op3.op3_line_templates,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op9_mixing": op9.op9_mixing,
     "op10_winnowing": op10_winnowing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_stream_dedup": op2.SQL,
+    "op3_line_templates": op3.SQL,
+    "op9_mixing": op9.SQL,
+}
