@@ -87,11 +87,12 @@ def _first() -> Column:
 
 def keyed_state(spark: SparkSession, seen: DataFrame, work: str) -> DataFrame:
     """(key, first, group_size) of everything that ever arrived."""
-    old = {k: spark.conf.get(k, None) for k in (
-        "spark.sql.streaming.stateStore.providerClass",
-        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    # on disk, in bounded memory, and open only while a task uses it
+    wanted = {f"spark.sql.streaming.stateStore.{k}": v for k, v in (
+        ("providerClass", ROCKSDB), ("rocksdb.boundedMemoryUsage", "true"), ("unloadOnCommit", "true"))}
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(seen.schema).parquet(f"{work}/arrivals")
         state = rows.groupBy("key").agg(F.min(_first()).alias("first"),
