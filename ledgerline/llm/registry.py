@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerline.llm import op2_stream_dedup as op2
 from ledgerline.llm import op3_line_templates as op3
+from ledgerline.llm import op4_warc as op4
 from ledgerline.llm import op9_mixing as op9
 from ledgerline.llm.op1_language_id import op1_language_id
 from ledgerline.llm.op5_quality import op5_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_stream_dedup": op2.op2_stream_dedup,
     "op3_line_templates": op3.op3_line_templates,
+    "op4_warc": op4.op4_warc,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op9_mixing": op9.op9_mixing,
@@ -23,5 +25,6 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_stream_dedup": op2.SQL,
     "op3_line_templates": op3.SQL,
+    "op4_warc": op4.SQL,
     "op9_mixing": op9.SQL,
 }
