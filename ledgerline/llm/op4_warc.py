@@ -6,8 +6,7 @@ metadata name the response in ``WARC-Concurrent-To``. Of pages with equal
 payloads of ``MIN_REVISIT`` bytes or more, the one with the largest id is
 written in full and the others refer to it. A record is one row of Spark's
 text sink, whose line separator is the blank line that ends a record, so the
-files are ordinary gzip-compressed WARC files. Requests, responses and
-metadata go to files of their own.
+files are ordinary gzip-compressed WARC files.
 
 *Reading.* Each archive is read by Spark as one binary row and cut into
 records by ``Content-Length``; files are kept small when written, and a file
@@ -18,7 +17,7 @@ concurrent to, in whichever of the two records the identifier stands; metadata
 may also name the request. Revisits take length and digest from the record
 that ``WARC-Refers-To`` names. One nested row per capture comes out. All joins
 are on unique record ids, apart from the join of revisits with what they refer
-to, whose payloads have been replaced by their length and digest.
+to, where length and digest stand for the payload.
 
 Defined results: a null payload is empty; equal payloads are told by SHA-256;
 rows with equal ids and equal payloads, if that id is the largest, are all
@@ -30,6 +29,7 @@ columns other than id, address and payload are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,7 +45,8 @@ MIN_REVISIT = 1000
 FILE_BYTES = 8 << 20  # of payload, for each archive, on average
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = ("record_id string, type string, concurrent_to array<string>, refers_to string, uri string,"
-           " page_id long, payload_digest string, http_header string, payload binary")
+           " page_id long, payload_digest string, http_header string, payload_bytes long, payload_sha1 string,"
+           " payload binary")
 
 
 def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
@@ -133,14 +134,18 @@ def _parse(data: bytes) -> Iterator[tuple]:
         page = get("x-page-id")
         yield (get("warc-record-id"), get("warc-type"), fields.get("warc-concurrent-to", []), get("warc-refers-to"),
                get("warc-target-uri"), page and int(page),
-               (get("warc-payload-digest") or "").removeprefix("sha1:") or None, head, content)
+               (get("warc-payload-digest") or "").removeprefix("sha1:") or None, head, len(content),
+               hashlib.sha1(content).hexdigest(), content)
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of the archives under ``folder``."""
+def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
+    """One row per record of the archives under ``folder``. Without
+    ``payload``, its length and digest alone leave the parser."""
     arrow_limits(spark)
     from pyspark.sql.pandas.types import to_arrow_schema
     schema = spark.createDataFrame([], RECORDS).schema
+    if not payload:
+        schema = type(schema)(schema.fields[:-1])
     arrow = to_arrow_schema(schema)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +157,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             for data in b.column(0).to_pylist():
                 rows, size = [], 0
                 for r in _parse(data):
-                    rows.append(r)
-                    size += len(r[-1])
+                    rows.append(r if payload else r[:-1])
+                    size += len(r[-1]) if payload else 200
                     if size >= 4 << 20:
                         yield batch(rows)
                         rows, size = [], 0
@@ -168,24 +173,25 @@ def transactions(records: DataFrame) -> DataFrame:
     """One row per capture: ``capture_id``, ``page_id``, ``uri``, nested
     ``request``, ``response`` and ``metadata`` (a list)."""
     main = F.col("type").isin("response", "revisit")
-    named = F.struct("record_id", "type", "refers_to", "payload_digest", "http_header",
-                     F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
+    body = ["payload"] if "payload" in records.columns else []
+    said = ["http_header", "payload_bytes", "payload_sha1", *body]
+    named = F.struct("record_id", "type", "refers_to", "payload_digest", *said)
     captures = records.filter(main).select(F.col("record_id").alias("capture_id"), "page_id", "uri",
                                            named.alias("response"))
     # identifiers may stand in either record of a pair
     forward = records.filter(~main).select(
-        "record_id", "type", F.explode("concurrent_to").alias("other"), "http_header", "payload")
+        "record_id", "type", F.explode("concurrent_to").alias("other"), *said)
     backward = records.filter(main).select(F.col("record_id").alias("capture_id"),
                                            F.explode("concurrent_to").alias("record_id"))
     direct = forward.join(captures.select(F.col("capture_id").alias("other")), "other") \
-                    .select(F.col("other").alias("capture_id"), "record_id", "type", "http_header", "payload")
+                    .select(F.col("other").alias("capture_id"), "record_id", "type", *said)
     named_there = records.filter(~main).join(backward, "record_id") \
-                         .select("capture_id", "record_id", "type", "http_header", "payload")
+                         .select("capture_id", "record_id", "type", *said)
     linked = direct.unionByName(named_there)
     by_request = forward.filter("type = 'metadata'").join(
         linked.filter("type = 'request'").select("capture_id", F.col("record_id").alias("other")), "other") \
-        .select("capture_id", "record_id", "type", "http_header", "payload")
-    part = F.struct("record_id", "http_header", "payload")
+        .select("capture_id", "record_id", "type", *said)
+    part = F.struct("record_id", *said)
     parts = linked.unionByName(by_request).groupBy("capture_id").agg(
         F.min(F.when(F.col("type") == "request", part)).alias("request"),
         F.collect_set(F.when(F.col("type") == "metadata", part)).alias("metadata"))
@@ -200,7 +206,7 @@ def captures_by_page(captures: DataFrame) -> DataFrame:
         "page_id", F.col("response.type").alias("record_type"),
         F.col("response.payload_bytes").alias("own_bytes"),
         F.col("response.payload_digest").alias("noted_digest"),
-        F.when(F.col("response.type") == "response", F.sha1("response.payload")).alias("own_digest"),
+        F.when(F.col("response.type") == "response", F.col("response.payload_sha1")).alias("own_digest"),
         F.regexp_extract("response.refers_to", r"<urn:x-page:(-?\d+)>", 1).alias("to"),
         F.col("request.record_id").alias("request_id"), F.size("metadata").alias("n_metadata"))
     flat = stage(flat.withColumn("refers_to", F.when(F.col("to") != "", F.col("to")).cast("long")).drop("to"),
@@ -217,7 +223,8 @@ def captures_by_page(captures: DataFrame) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-warc-{uuid.uuid4().hex}"
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return captures_by_page(transactions(read_archives(spark, folder))) \
+    records = stage(read_archives(spark, folder, payload=False), "warc-records")
+    return captures_by_page(transactions(records)) \
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
                 (F.col("request_id").isNotNull() & (F.col("n_metadata") > 0)).alias("complete"))
 
