@@ -10,6 +10,7 @@ from ledgerline.llm.op1_language_id import op1_language_id
 from ledgerline.llm.op5_quality import op5_quality
 from ledgerline.llm.op6_packing import op6_packing
 from ledgerline.llm.op7_parity_join import op7_parity_join
+from ledgerline.llm.op8_substring_dedup import op8_substring_dedup
 from ledgerline.llm.op10_winnowing import op10_winnowing
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_parity_join": op7_parity_join,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9.op9_mixing,
     "op10_winnowing": op10_winnowing,
 }
