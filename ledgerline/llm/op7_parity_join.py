@@ -260,27 +260,28 @@ class ParityJoin:
         return pairs.groupBy("a", "b", "band").agg(F.count(F.lit(1)).alias("keys"), F.max("xa").alias("xa"), F.max("xb").alias("xb")) \
                     .filter(F.col("keys") >= F.greatest("xa", "xb")).select("a", "b").distinct()
 
-    def star_pairs(self, rows: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
+    @staticmethod
+    def mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+        """(key, band, d, n, comp): the rows of keys whose classes aren't all
+        in one component yet."""
+        named = rows.select("key", "band", "d", "n").join(comps, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
+        keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+        return named.join(keys.select("key"), "key", "left_semi").select("key", "band", "d", "n", "comp")
+
+    def star_pairs(self, rows: DataFrame, turn: int) -> DataFrame:
         """(a, b): each class under a common key with one class of that key,
         if their sizes fit and they aren't in one component yet."""
-        named = rows.withColumn("comp", F.col("d")) if comps is None else \
-            rows.join(comps, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
         rank = F.struct(F.xxhash64(F.lit(turn), "d").alias("r"), F.col("d"), F.col("n"), F.col("comp"))
-        heads = named.groupBy("key").agg(F.min(rank).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-                     .filter("lo < hi").select("key", "head")
-        pairs = named.join(heads, "key").select("d", "n", "comp", "band", "head.*", "head").toDF(
+        heads = rows.groupBy("key").agg(F.min(rank).alias("head"))
+        pairs = rows.join(heads, "key").select("d", "n", "comp", "band", "head.*", "head").toDF(
             "d", "n", "comp", "band", "r", "hd", "hn", "hcomp", "head")
         return pairs.filter((F.col("comp") != F.col("hcomp")) & self._sizes_fit("n", "hn", "band")) \
                     .select(F.least("d", "hd").alias("a"), F.greatest("d", "hd").alias("b")).distinct()
 
-    def open_pairs(self, rows: DataFrame, comps: DataFrame, bodies: DataFrame) -> DataFrame:
+    def open_pairs(self, rows: DataFrame, bodies: DataFrame) -> DataFrame:
         """(a, b): all pairs under common keys that are in different
         components and whose whole sketches are near enough."""
-        named = rows.join(comps, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-                     .filter("lo < hi").select("key")
-        mine = stage(named.join(mixed, "key").join(bodies.select("d", "sketch"), "d")
-                     .select("key", "band", "d", "n", "comp", "sketch"), "parity-open")
+        mine = stage(rows.join(bodies.select("d", "sketch"), "d"), "parity-open")
         a, b = mine.alias("a"), mine.alias("b")
         near = F.expr(f"({_apart('a.sketch', 'b.sketch')}) * {100 + self.percent}"
                       f" <= (a.n + b.n) * {100 - self.percent}")
@@ -323,7 +324,7 @@ class ParityJoin:
         shared = stage(self.shared(), "parity-shared")
         rows = stage(shared.withColumn("band", self._band()).join(self.needs(shared), ["d", "band"]), "parity-rows")
         hot = rows.filter((F.col("sets") > COMMON) & (F.col("need") <= 0)).select("key", "band", "d", "n")
-        pairs = stage(self.rare_pairs(rows).unionByName(self.star_pairs(hot, None, 0)).distinct(), "parity-pairs")
+        pairs = stage(self.rare_pairs(rows).unionByName(self.star_pairs(hot.withColumn("comp", F.col("d")), 0)).distinct(), "parity-pairs")
         wanted = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))) \
                       .unionByName(hot.select("d")).distinct()
         bodies = stage(self.bodies(wanted), "parity-bodies")
@@ -331,9 +332,10 @@ class ParityJoin:
         comps = components(links)
         tested = pairs
         for turn in range(1, ROUNDS + 1):
+            hot = stage(self.mixed(hot, comps), "parity-hot")  # fewer in each round
             if hot.isEmpty():
                 break
-            more = self.star_pairs(hot, comps, turn) if turn < ROUNDS else self.open_pairs(hot, comps, bodies)
+            more = self.star_pairs(hot, turn) if turn < ROUNDS else self.open_pairs(hot, bodies)
             more = stage(more.join(tested, ["a", "b"], "left_anti"), "parity-pairs")
             if more.isEmpty():
                 continue
