@@ -25,6 +25,11 @@ def trim_lower(c: ColOrName) -> Column:
     return F.lower(F.trim(_c(c)))
 
 
+# fixed values: letters that have no canonical decomposition
+_STROKES = ("ØøŁłĐđĦħŦŧı", "OoLlDdHhTti")
+_LIGATURES = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe"}
+
+
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
     """Pairs (accented letter, base letter) derived by rule from Unicode:
@@ -42,9 +47,14 @@ def _accent_table() -> tuple[str, str]:
 
 
 def accent_fold(c: ColOrName) -> Column:
-    """Strip diacritics (``UNACCENT``) with one JVM-side ``translate``."""
+    """Strip diacritics (``UNACCENT``) on the JVM side: composed letters and
+    letters with a stroke are mapped, marks of decomposed letters removed, and
+    ligatures spelt out."""
     src, dst = _accent_table()
-    return F.translate(_c(c), src, dst)
+    out = F.regexp_replace(F.translate(_c(c), src + _STROKES[0], dst + _STROKES[1]), r"\p{Mn}+", "")
+    for ligature, letters in _LIGATURES.items():
+        out = F.replace(out, F.lit(ligature), F.lit(letters))
+    return out
 
 
 def fold_key(c: ColOrName) -> Column:
@@ -96,7 +106,7 @@ def recode_prefix(c: ColOrName, prefix: str, to: str, fold: bool = False) -> Col
     ``fold`` compares case- and accent-insensitively."""
     col = _c(c)
     probe = fold_key(col) if fold else col
-    pat = prefix.strip().lower() if fold else prefix
+    pat = fold_key(F.lit(prefix)) if fold else F.lit(prefix)
     return F.when(probe.startswith(pat), F.lit(to)).otherwise(col)
 
 

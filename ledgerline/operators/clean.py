@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import blank_to_null as _blank, fold_key
-from ledgerline.operators.sequence import expand_range
+from ledgerline.operators.sequence import expand_range, materialize
 
 
 def normalize_strings(df: DataFrame, trim: Sequence[str] = (), lower: Sequence[str] = (),
@@ -94,9 +94,10 @@ def _donors(df: DataFrame, key: str, target: str, tiebreak: str, blank_is_null:
     value = _blank(target) if blank_is_null else F.col(target)
     donors = df.select(_key(key, fold).alias("_k"), value.alias("_v"), F.col(tiebreak).alias("_t"))
     has = F.col("_v").isNotNull()
-    return donors.groupBy("_k").agg(
+    # staged: with a plain shuffle on either side AQE can split a hot key
+    return materialize(donors.groupBy("_k").agg(
         F.min_by("_v", F.when(has, F.struct(F.col("_t"), F.col("_v")))).alias("_donor"),
-        F.count_if(has).alias("_donors"))
+        F.count_if(has).alias("_donors")), "donors")
 
 
 def fill_from_group(df: DataFrame, key: str, target: str, tiebreak: str,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import fixed_values as fv
 from ledgerline.functions.dates import seconds_between
+from ledgerline.operators.sequence import materialize
 
 
 def reconcile_amounts(left: DataFrame, right: DataFrame, key: str, left_value: str,
@@ -53,11 +54,14 @@ def in_a_not_b(df: DataFrame, key: str, is_a: Column, is_b: Column) -> DataFrame
 def above_group_average(df: DataFrame, value: str, by: Sequence[str],
                         avg_name: str = "group_avg") -> DataFrame:
     """Rows whose ``value`` is strictly above the average of their group.
-    The average is an aggregate joined back (a hot group is split by AQE's
-    skew join instead of landing in one window task)."""
-    avgs = df.groupBy(*by).agg(
-        (F.sum(value).cast("double") / F.count(value)).alias(avg_name))
-    return df.join(avgs, list(by)).filter(F.col(value) > F.col(avg_name))
+    The average is an aggregate joined back, NULL being a group as in a
+    window. It is staged: both join sides are then plain shuffles, which is
+    what AQE needs to split a hot group."""
+    avgs = materialize(df.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(
+        (F.sum(value).cast("double") / F.count(value)).alias(avg_name)), "group-avg")
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    return df.join(avgs, same).filter(F.col(value) > F.col(avg_name)) \
+             .drop(*[f"_by{i}" for i in range(len(by))])
 
 
 def late_events(df: DataFrame, actual: str, expected: str,
@@ -85,8 +89,9 @@ def discount(requests: DataFrame, history: DataFrame, key: str, value: str,
     """Set-based form of the per-customer discount procedure: each request
     (key, value) gets the discount from its customer's delivered-order count.
     Customers absent from ``history`` count as new."""
-    counts = history.filter(delivered).groupBy(key).agg(
-        F.count(F.lit(1)).alias("delivered_orders"))
+    # staged, so that AQE can split a customer with many requests
+    counts = materialize(history.filter(delivered).groupBy(key).agg(
+        F.count(F.lit(1)).alias("delivered_orders")), "delivered")
     out = requests.join(counts, key, "left").withColumn(
         "delivered_orders", F.coalesce(F.col("delivered_orders"), F.lit(0)))
     pct = discount_rules(F.col(value), F.col("delivered_orders"))

@@ -63,7 +63,8 @@ def auc(df: DataFrame, label: str, score: str, key: str) -> DataFrame:
     once first: range partitioning samples its input in a separate job,
     which would otherwise recompute an expensive score (e.g. a text
     feature) a second time."""
-    narrow = materialize(df.select(label, score, key), "auc-input")
+    # a row without a label is neither positive nor negative
+    narrow = materialize(df.select(label, score, key).filter(F.col(label).isNotNull()), "auc-input")
     n = global_row_number(narrow, [F.col(score).asc_nulls_first(), F.col(key).asc()], "_rn")
     per = n.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"),
                                F.count(F.lit(1)).alias("_c"),

@@ -14,34 +14,13 @@ from pyspark.sql import functions as F
 
 from ledgerline.fixed_values import BAND_CUTS, BAND_LABELS
 from ledgerline.functions.numeric import sigmoid
-from ledgerline.operators.sequence import expand_range, global_row_number
-
-
-MAX_CLASSES = 10_000
-
-
-def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class, fitted on the cluster, returned as parameters (one
-    number per class; refused beyond ``MAX_CLASSES`` classes)."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    return {r[label]: r["n"] for r in rows}
-
-
-def _by_class(label: str, values: Mapping) -> Column:
-    """A per-class constant as one CASE expression (no join)."""
-    out = None
-    for k, v in values.items():
-        cond = F.col(label).isNull() if k is None else F.col(label) == F.lit(k)
-        out = F.when(cond, F.lit(v)) if out is None else out.when(cond, F.lit(v))
-    return out
+from ledgerline.operators.sequence import expand_range, global_row_number, materialize
 
 
 def _class_stats(df: DataFrame, label: str) -> DataFrame:
-    """One row per class: count and first global position (size bounded by
-    the number of classes)."""
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"), F.min("_rn").alias("_first"))
+    """One row per class: count and first global position."""
+    return df.groupBy(F.col(label).alias("_cl")).agg(F.count(F.lit(1)).alias("_nc"),
+                                                     F.min("_rn").alias("_first"))
 
 
 def position_in_class(df: DataFrame, label: str, key: str) -> DataFrame:
@@ -53,8 +32,8 @@ def position_in_class(df: DataFrame, label: str, key: str) -> DataFrame:
              F.col(key).asc()]
     n = global_row_number(df, order, "_rn")
     stats = _class_stats(n, label)
-    return n.join(F.broadcast(stats), label) \
-            .withColumn("_pos", F.col("_rn") - F.col("_first")).drop("_rn", "_first")
+    return n.join(stats, F.col(label).eqNullSafe(F.col("_cl"))) \
+            .withColumn("_pos", F.col("_rn") - F.col("_first")).drop("_rn", "_first", "_cl")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2,
@@ -68,11 +47,14 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """``class_weight='balanced'``: w = n / (k * n_class), fitted as one
-    weight per class and applied as a CASE expression."""
-    counts = class_counts(df, label)
-    n, k = sum(counts.values()), len(counts)
-    return df.withColumn(name, _by_class(label, {c: n / (k * m) for c, m in counts.items()}))
+    """``class_weight='balanced'``: w = n / (k * n_class), for any number of
+    classes (a NULL label is a class). The counts are staged, so that the join
+    can split a class that holds most rows."""
+    counts = materialize(df.groupBy(F.col(label).alias("_cl")).agg(F.count(F.lit(1)).alias("_nc")),
+                         "class-counts")
+    mean = counts.agg(F.sum("_nc").cast("double") / F.count(F.lit(1))).scalar()
+    weights = counts.select("_cl", (mean / F.col("_nc")).alias(name))
+    return df.join(weights, F.col(label).eqNullSafe(F.col("_cl"))).drop("_cl")
 
 
 def fit_standardizer(train: DataFrame, cols: Sequence[str]) -> dict:
@@ -110,12 +92,12 @@ def upsample_minority(df: DataFrame, label: str, key: str, name: str = "copy_no"
     """Deterministic upsampling: every class is brought to the size N of the
     largest; row i (0-based, md5 order) of a class with m rows is repeated
     floor(N/m) + (1 if i < N mod m else 0) times."""
-    big = max(class_counts(df, label).values())
-    p = position_in_class(df, label, key)
-    reps = F.floor(F.lit(big) / F.col("_nc")) + \
-        F.when(F.col("_pos") < F.lit(big) % F.col("_nc"), 1).otherwise(0)
+    big = df.groupBy(label).count().agg(F.max("count")).scalar()
+    p = position_in_class(df, label, key).withColumn("_big", big)
+    reps = F.floor(F.col("_big") / F.col("_nc")) + \
+        F.when(F.col("_pos") < F.col("_big") % F.col("_nc"), 1).otherwise(0)
     out = expand_range(p.withColumn("_reps", reps), F.lit(1), F.col("_reps"), name)
-    return out.withColumn(name, F.col(name).cast("int")).drop("_pos", "_nc", "_reps")
+    return out.withColumn(name, F.col(name).cast("int")).drop("_pos", "_nc", "_reps", "_big")
 
 
 def value_band(c: Column | str, cuts: tuple[float, float] = BAND_CUTS,
@@ -150,32 +132,24 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def one_hot_drop_first(df: DataFrame, col: str, prefix: str | None = None,
-                       max_levels: int = 10_000) -> DataFrame:
-    """``get_dummies(drop_first=True)``: one 0/1 column per level except the
-    alphabetically first. Levels come from a fitted ``StringIndexer``
-    (alphabetical, descending, so ``dropLast`` drops the first level).
+def one_hot_drop_first(df: DataFrame, col: str, levels: Sequence | None = None,
+                       prefix: str | None = None) -> DataFrame:
+    """``get_dummies(drop_first=True)``: the alphabetically first level is the
+    one without a column, NULL has zeros.
 
-    Fitting brings the level list to the driver, so it is meant for
-    categorical columns: an identifier-like column with more than
-    ``max_levels`` distinct values is refused (checked with a sketch)."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    from pyspark.ml.functions import vector_to_array
+    With ``levels`` (those that get a column), one 0/1 column for each, in one
+    projection. Without, a sparse vector ``<prefix>vec`` of any length."""
     prefix = prefix or col + "_"
-    approx_levels = df.agg(F.approx_count_distinct(col)).first()[0]
-    if approx_levels > max_levels:
-        raise ValueError(f"{col} has ~{approx_levels} levels; one-hot encoding expects a "
-                         f"categorical column (max_levels={max_levels})")
+    if levels is not None:
+        return df.select("*", *[F.coalesce(F.col(col) == F.lit(v), F.lit(False)).cast("int")
+                                .alias(prefix + str(v)) for v in levels])
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
     idx = StringIndexer(inputCol=col, outputCol="_idx", stringOrderType="alphabetDesc",
                         handleInvalid="keep").fit(df)
-    levels = list(idx.labels)  # descending; the last is the alphabetically first
-    enc = OneHotEncoder(inputCols=["_idx"], outputCols=["_vec"], dropLast=True,
-                        handleInvalid="keep").fit(idx.transform(df))
-    out = enc.transform(idx.transform(df)).withColumn("_arr", vector_to_array("_vec"))
-    kept = levels[:-1]
-    for i, lev in enumerate(kept):
-        out = out.withColumn(prefix + lev, F.col("_arr")[i].cast("int"))
-    return out.drop("_idx", "_vec", "_arr")
+    coded = idx.transform(df)
+    enc = OneHotEncoder(inputCols=["_idx"], outputCols=[prefix + "vec"], dropLast=True,
+                        handleInvalid="keep").fit(coded)
+    return enc.transform(coded).drop("_idx")
 
 
 def train_predict(train: DataFrame, test: DataFrame, estimator, features: Sequence[str],

@@ -16,8 +16,8 @@ def nearest_rank_percentiles(df: DataFrame, value: str, key: str,
     """Exact nearest-rank percentiles: the value at position ceil(p/100 * n)
     in ascending order (ties broken by ``key``). Positions come from the
     distributed numbering, so no task holds all values (``percentile``
-    would buffer the whole column in one aggregate)."""
-    numbered = global_row_number(df.select(value, key),
+    would buffer the whole column in one aggregate). NULLs have no rank."""
+    numbered = global_row_number(df.select(value, key).filter(F.col(value).isNotNull()),
                                  [F.col(value).asc_nulls_first(), F.col(key).asc()], "_rn")
     n = numbered.agg(F.count(F.lit(1)).alias("_n"))
     wanted = n.select(F.explode(F.array(*[F.struct(F.lit(p).alias("percentile"),

@@ -60,8 +60,10 @@ def duplicate_document_texts(spark, sf):
 
 
 def dedup_documents(spark, sf):
-    d = load(spark, sf, "documents").select(F.md5("text").alias("text_md5"), "lang")
-    return clean.dedup_exact(d)
+    """Of documents with equal text and language the one with the smallest id,
+    compared by digest so that the text isn't shuffled."""
+    d = load(spark, sf, "documents").select("doc_id", F.md5("text").alias("text_md5"), "lang")
+    return d.groupBy("text_md5", "lang").agg(F.min("doc_id").alias("doc_id"))
 
 
 def _persons(spark, sf) -> DataFrame:

@@ -84,7 +84,7 @@ def linear_score(spark, sf):
 
 
 def one_hot_lang(spark, sf):
-    f = ml.one_hot_drop_first(feature_frame(spark, sf), "lang")
+    f = ml.one_hot_drop_first(feature_frame(spark, sf), "lang", ["en", "es", "fr"])
     return f.drop("label", "quality", "lang", "source", *FEATURES)
 
 
@@ -141,7 +141,8 @@ def decision_tree(spark, sf):
 def random_forest(spark, sf):
     from pyspark.ml.classification import RandomForestClassifier
     train, test = _weighted_train_test(spark, sf)
-    est = RandomForestClassifier(numTrees=100, weightCol="weight", seed=42)
+    est = RandomForestClassifier(numTrees=100, maxDepth=30,  # Spark's limit
+                                 weightCol="weight", seed=42)
     return ml.train_predict(train, test, est, FEATURES, "label", ["doc_id", "label"],
                             weight="weight")
 
@@ -153,7 +154,7 @@ def mlp(spark, sf):
                                   .select("doc_id", "label"), "label", "doc_id")
     train = copies.select("doc_id", "copy_no").join(z.drop("split"), "doc_id")
     test = z.filter(F.col("split") == "test")
-    est = MultilayerPerceptronClassifier(layers=[len(FEATURES), 16, 2], maxIter=100, seed=42)
+    est = MultilayerPerceptronClassifier(layers=[len(FEATURES), 16, 2], maxIter=1000, seed=42)
     return ml.train_predict(train, test, est, ["z_" + c for c in FEATURES], "label",
                             ["doc_id", "label"])
 

@@ -23,7 +23,7 @@ WITH d AS (SELECT text, COUNT(*) AS n FROM documents GROUP BY text HAVING COUNT(
 SELECT md5(text) AS text_md5, CAST(g.row_num AS INTEGER) AS row_num
 FROM d, LATERAL (SELECT unnest(range(2, n + 1)) AS row_num) g""",
 "dedup_documents": """
-SELECT md5(text) AS text_md5, lang FROM (SELECT DISTINCT text, lang FROM documents)""",
+SELECT min(doc_id) AS doc_id, md5(text) AS text_md5, lang FROM documents GROUP BY text, lang""",
 "dedup_keep_last_customer": """
 SELECT customer_id, customer_unique_id, c_name FROM (
   SELECT c_custkey AS customer_id, lower(c_mktsegment) || '-' || CAST(c_nationkey AS VARCHAR)
@@ -88,8 +88,8 @@ SELECT lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS zip_code_prefix,
        MAX(c_mktsegment) AS max_segment, MAX(c_name) AS max_name
 FROM customer GROUP BY 1""",
 "accent_fold_documents": """
-SELECT doc_id, md5(lower(strip_accents(trim(text)))) AS folded_md5,
-       CAST(length(lower(strip_accents(trim(text)))) AS INTEGER) AS folded_chars
+SELECT doc_id, md5(lower(strip_accents(replace(replace(replace(translate(trim(text), 'ØøŁłĐđ', 'OoLlDd'), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')))) AS folded_md5,
+       CAST(length(lower(strip_accents(replace(replace(replace(translate(trim(text), 'ØøŁłĐđ', 'OoLlDd'), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')))) AS INTEGER) AS folded_chars
 FROM documents""",
 "segment_histogram": """
 SELECT c_mktsegment, COUNT(c_mktsegment) AS n FROM customer GROUP BY c_mktsegment""",

@@ -48,8 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the folder for lineage cuts and intermediate tables.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, reliable folder and
-    is used as is. Only when it is unset (local runs, tests) a private
-    scratch folder is created. ``DataFrame.checkpoint()`` is enabled for the
+    is used as is. Only when it is unset under a local master (tests) a private
+    scratch folder is created; elsewhere that is an error. ``DataFrame.checkpoint()`` is enabled for the
     same folder where the session exposes its ``SparkContext``.
     """
     try:
@@ -63,9 +63,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = _LOCAL_DIRS.setdefault(
-            "ckpt", tempfile.mkdtemp(prefix="ledgerline-ckpt-",
-                                     dir=os.environ.get("TMPDIR", "/tmp")))
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all "
+                               "executors share; a machine-local one is made for local masters only")
+        if "ckpt" not in _LOCAL_DIRS:
+            _LOCAL_DIRS["ckpt"] = tempfile.mkdtemp(prefix="ledgerline-ckpt-",
+                                                   dir=os.environ.get("TMPDIR", "/tmp"))
+        configured = _LOCAL_DIRS["ckpt"]
     if sc is not None:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured

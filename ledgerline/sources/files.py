@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: StructType,
-                   header: bool = True, trim_headers: bool = True) -> DataFrame:
-    """Header CSV read with a declared schema (never inferred).
+CSV = {"multiLine": True, "quote": '"', "escape": '"'}  # as RFC 4180, both ways
 
-    Header names are matched by position to ``schema``; with
-    ``trim_headers`` a header such as ``"UniqueID "`` maps to ``UniqueID``.
-    """
-    reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
-    df = reader.schema(schema).csv(path)
-    if trim_headers:
-        df = df.toDF(*[c.strip() for c in df.columns])
-    return df
+
+def read_typed_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV with a header, read with a declared schema (never inferred).
+
+    Columns are found by their name in the header, whatever their order, after
+    trimming (``"UniqueID "`` is ``UniqueID``); a missing one is an error, and
+    so is a cell that doesn't parse. Quoted cells may hold line ends."""
+    text = spark.read.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+                              **CSV).csv(path)
+    at = {c.strip(): c for c in text.columns}
+    if missing := [f.name for f in schema.fields if f.name not in at]:
+        raise ValueError(f"{path} has no column {missing}")
+    return text.select(*[F.col("`" + at[f.name].replace("`", "``") + "`").cast(f.dataType).alias(f.name)
+                         for f in schema.fields])
 
 
 def empty_clone(df: DataFrame) -> DataFrame:
@@ -60,7 +64,8 @@ def write_extract(df: DataFrame, path: str, fmt: str = "parquet",
     out = df.coalesce(max_files) if max_files else df
     w = out.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+                      **{k: v for k, v in CSV.items() if k != "multiLine"})
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)

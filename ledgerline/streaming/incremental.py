@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ledgerline.session import ensure_checkpoint_dir
-
 
 def incremental_append(spark: SparkSession, source_path: str, schema: StructType,
                        transform: Callable[[DataFrame], DataFrame], sink_path: str,
@@ -21,17 +18,16 @@ def incremental_append(spark: SparkSession, source_path: str, schema: StructType
     row-level operator chain: trims, NULL rules, recodes, date parsing) and
     append them to a parquet table at ``sink_path``.
 
-    Progress lives in ``checkpoint_path`` (default: a folder under the
-    session's reliable checkpoint directory), so a restarted or failed job
-    resumes without duplicates. ``available_now`` processes the backlog and
+    Progress lives in ``checkpoint_path`` (default: a folder beside the sink,
+    the same in each run), so a restarted or failed job resumes without
+    duplicates. ``available_now`` processes the backlog and
     stops, like a scheduled batch load.
     """
     reader = spark.readStream.schema(schema).format(source_format)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     cleaned = transform(reader.load(source_path))
-    ckpt = checkpoint_path or \
-        f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerline-streams/{uuid.uuid4().hex}"
+    ckpt = checkpoint_path or f"{sink_path.rstrip('/')}.checkpoint"
     writer = (cleaned.writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", ckpt))
     writer = writer.trigger(availableNow=True) if available_now else writer

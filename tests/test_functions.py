@@ -103,3 +103,15 @@ def test_seconds_between_ignores_session_zone(spark):
         assert df.select(seconds_between("a", "b").alias("s")).first()["s"] == 1586 * 86400
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_accent_fold_beyond_composed_letters(spark):
+    df = spark.createDataFrame([("Sa\u0303o Łódź", "Straße", "Øre œuf")], "a string, b string, c string")
+    got = df.select(*[accent_fold(c) for c in ("a", "b", "c")]).first()
+    assert tuple(got) == ("Sao Lodz", "Strasse", "Ore oeuf")
+
+
+def test_recode_prefix_folds_both_sides(spark):
+    df = spark.createDataFrame([("Ação x",), ("acao y",), ("z",)], "a string")
+    got = [r[0] for r in df.select(recode_prefix("a", "Ação", "hit", fold=True)).collect()]
+    assert got == ["hit", "hit", "z"]

@@ -62,7 +62,7 @@ def test_group_fpr_null_without_negatives(spark):
 
 def test_one_hot_drop_first(spark):
     df = spark.createDataFrame([("de",), ("en",), ("fr",), ("en",)], "lang string")
-    out = ml.one_hot_drop_first(df, "lang")
+    out = ml.one_hot_drop_first(df, "lang", ["en", "fr"])
     assert set(out.columns) == {"lang", "lang_en", "lang_fr"}
     assert rows(out, "lang", "lang_en", "lang_fr") == [("de", 0, 0), ("en", 1, 0), ("en", 1, 0),
                                                        ("fr", 0, 1)]
@@ -75,8 +75,18 @@ def test_logistic_regression_trains(spark):
     assert out.count() == 100 and set(out.columns) == {"id", "prediction", "probability"}
 
 
-def test_one_hot_refuses_identifier_columns(spark):
-    import pytest
-    df = spark.range(50).selectExpr("cast(id as string) as cid")
-    with pytest.raises(ValueError):
-        ml.one_hot_drop_first(df, "cid", max_levels=10)
+def test_any_number_of_classes_and_levels(spark):
+    df = spark.range(12000).selectExpr("id", "cast(id % 11000 as string) as cid")
+    weights = {r["weight"] for r in ml.balanced_weights(df, "cid").collect()}
+    assert weights == {12000 / 11000, 12000 / 22000}
+    vec = ml.one_hot_drop_first(df, "cid").select("cid_vec").first()[0]
+    assert len(vec) >= 10999
+    assert ml.upsample_minority(df, "cid", "id").count() == 22000
+
+
+def test_null_label_is_a_class(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(40)], "id int, y int")
+    assert ml.stratified_split(df, "y", "id").count() == 40
+    assert ml.balanced_weights(df, "y").filter("weight is null").count() == 0
+    assert {r["y"]: r["count"] for r in ml.upsample_minority(df, "y", "id").groupBy("y").count().collect()} \
+        == {None: 16, 0: 16, 1: 16}

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import epidemic, explore, setops, stats, timeseries
@@ -100,6 +101,16 @@ def test_typed_csv_and_catalog(spark):
     schema = T.StructType([T.StructField("UniqueID", T.IntegerType()), T.StructField("ParcelID", T.StringType())])
     df = files.read_typed_csv(spark, d, schema)
     assert df.columns == ["UniqueID", "ParcelID"] and rows(df) == [(7, "p1"), (None, "p2")]
+    other = tempfile.mkdtemp(prefix="ledgerline-csv-")
+    with open(os.path.join(other, "h.csv"), "w") as fh:
+        fh.write('ParcelID,UniqueID\n"two\nlines, ""q""",8\n')
+    assert rows(files.read_typed_csv(spark, other, schema)) == [(8, 'two\nlines, "q"')]
+    with pytest.raises(ValueError):
+        files.read_typed_csv(spark, other, T.StructType([T.StructField("none", T.StringType())]))
+    with open(os.path.join(other, "h.csv"), "a") as fh:
+        fh.write("p3,notanumber\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        files.read_typed_csv(spark, other, schema).collect()
     cat = rows(files.schema_catalog(df), "ordinal", "column_name", "data_type")
     assert cat == [(1, "UniqueID", "int"), (2, "ParcelID", "string")]
     conformed = files.conform(spark.createDataFrame([("1", "x")], "a string, b string"), schema)
