@@ -59,7 +59,7 @@ PERCENT = 80
 STEP = 1.5625     # size ratio of neighbouring bands
 SLACK = 1.3       # parts for each token that may differ
 COMMON = 16       # different sets under a rare key, at most
-ROUNDS = 4
+ROUNDS = 3
 BITS = 8          # of the whole sketch, for each token
 _U = np.uint64
 _BAND = 63        # the lowest bits of a key hold the band
