@@ -15,7 +15,8 @@ from ledgerline.operators.sequence import materialize
 
 def clean_layoffs(raw: DataFrame, recode_prefix: tuple[str, str] = ("Crypto", "Crypto"),
                      country_prefix: str = "United States", date_format: str = US_DATE_FORMAT,
-                     fold_company: bool = False, materialize_dedup: bool = True) -> DataFrame:
+                     fold_company: bool = False, materialize_dedup: bool = True,
+                     fill_industry: bool = True) -> DataFrame:
     """Raw layoffs -> cleaned layoffs:
     exact de-duplication, trim company, collapse an industry prefix, strip
     trailing dots from matching countries, parse the date text, blank
@@ -25,22 +26,23 @@ def clean_layoffs(raw: DataFrame, recode_prefix: tuple[str, str] = ("Crypto", "C
     The peer fill reads the de-duplicated rows twice (donors, and the rows
     to fill, which the final delete filters early), so by default the
     de-duplicated layer is written once to the checkpoint folder (a staging
-    table) instead of being recomputed for each branch."""
+    table) instead of being recomputed for each branch. A report that doesn't
+    use the industry can leave the fill out (``fill_industry=False``): the
+    rows are the same, and the layer is then read once and not staged."""
     fold = ("company",) if fold_company else ()
     staged = clean.dedup_exact(raw, fold=fold)
-    if materialize_dedup:
+    if materialize_dedup and fill_industry:
         staged = materialize(staged, "layoffs-dedup")
-    return (staged
+    out = (staged
             .withColumn("company", F.trim("company"))
             .withColumn("industry", text.recode_prefix("industry", *recode_prefix))
             .withColumn("country", text.strip_trailing("country", ".", country_prefix))
             .withColumn("date", dates.parse_date("date", date_format))
-            .withColumn("industry", F.nullif(F.col("industry"), F.lit("")))
-            .transform(lambda d: clean.fill_from_group(d, "company", "industry", "industry",
-                                                         blank_is_null=False,
-                                                         fold=fold_company))
-            .transform(lambda d: clean.drop_unmeasured(
-                d, ["total_laid_off", "percentage_laid_off"])))
+            .withColumn("industry", F.nullif(F.col("industry"), F.lit(""))))
+    if fill_industry:
+        out = clean.fill_from_group(out, "company", "industry", "industry",
+                                    blank_is_null=False, fold=fold_company)
+    return clean.drop_unmeasured(out, ["total_laid_off", "percentage_laid_off"])
 
 
 def clean_housing(raw: DataFrame) -> DataFrame:
@@ -67,7 +69,9 @@ def stage_shop_tables(raw: dict[str, DataFrame], review_order: str | None = None
     """Raw e-commerce tables -> staging tables (each step a projection or
     an aggregate; tables missing from ``raw`` are skipped):
 
-    * orders: trimmed ids, ``lower(trim(status))``, blank approval -> NULL;
+    * orders: trimmed ids, ``lower(trim(status))``, blank approval -> NULL, then
+      a timestamp (text that is none is an error);
+    * order_items: trimmed ids;
     * customers: trimmed text, one row per ``customer_unique_id`` (greatest
       ``customer_id`` kept);
     * products: trimmed id, blank category -> NULL, zero weight -> NULL;
@@ -86,8 +90,12 @@ def stage_shop_tables(raw: dict[str, DataFrame], review_order: str | None = None
         o = o.withColumn("order_id", F.trim("order_id")).withColumn("customer_id", F.trim("customer_id")) \
              .withColumn("order_status", text.trim_lower("order_status"))
         if dict(o.dtypes).get("order_approved_at") == "string":
-            o = o.withColumn("order_approved_at", text.blank_to_null("order_approved_at"))
+            o = o.withColumn("order_approved_at",
+                             text.blank_to_null("order_approved_at").cast("timestamp_ntz"))
         out["orders"] = o
+    if "order_items" in raw:
+        out["order_items"] = clean.normalize_strings(raw["order_items"],
+                                                     trim=["order_id", "product_id", "seller_id"])
     if "customers" in raw:
         c = clean.normalize_strings(raw["customers"], trim=["customer_id", "customer_unique_id",
                                                              "customer_city", "customer_state"])

@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.plans import (audits, cleaning, epidemic, hotel_io, models, oracle_audits,
-                              oracle_cleaning, oracle_epidemic, oracle_shop, shop)
+                              oracle_cleaning, oracle_epidemic, oracle_shop, shop, staging)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,7 @@ def queries() -> dict[str, Query]:
     q.update(epidemic.QUERIES)
     q.update(cleaning.QUERIES)
     q.update(audits.QUERIES)
+    q.update(staging.QUERIES)
     q.update(hotel_io.QUERIES)
     q.update(models.QUERIES)
     return q
@@ -56,6 +57,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_epidemic.SQL)
     out.update(oracle_cleaning.SQL)
     out.update(oracle_audits.SQL)
+    out.update(staging.SQL)
     out.update(hotel_io.SQL)
     out.update(models.SQL)
     return out

@@ -66,6 +66,12 @@ def layoffs_clean(spark, sf) -> DataFrame:
     return workflows.clean_layoffs(layoffs_raw(spark, sf), INDUSTRY_PREFIX, COUNTRY_PREFIX)
 
 
+def _unfilled(spark, sf) -> DataFrame:
+    """The cleaned rows for reports that don't use the industry."""
+    return workflows.clean_layoffs(layoffs_raw(spark, sf), INDUSTRY_PREFIX, COUNTRY_PREFIX,
+                                   fill_industry=False)
+
+
 def housing_raw(spark: SparkSession, sf: str) -> DataFrame:
     j = _order_geo(spark, sf)
     prio = F.col("o_orderpriority")
@@ -120,7 +126,7 @@ def parse_us_dates(spark, sf):
 
 
 def max_measures(spark, sf):
-    return explore.max_measures(layoffs_clean(spark, sf),
+    return explore.max_measures(_unfilled(spark, sf),
                                 ["total_laid_off", "percentage_laid_off"])
 
 
@@ -130,27 +136,28 @@ def complete_shutdowns(spark, sf):
 
 def _total(dim):
     def q(spark, sf):
-        return explore.total_by(layoffs_clean(spark, sf), dim, "total_laid_off", "total_laid_off")
+        rows = layoffs_clean if dim == "industry" else _unfilled
+        return explore.total_by(rows(spark, sf), dim, "total_laid_off", "total_laid_off")
     return q
 
 
 def total_by_year(spark, sf):
-    return explore.total_by(layoffs_clean(spark, sf), F.year("date").alias("year"),
+    return explore.total_by(_unfilled(spark, sf), F.year("date").alias("year"),
                             "total_laid_off", "total_laid_off")
 
 
 def rolling_total_by_year(spark, sf):
-    return explore.rolling_total_by_period(layoffs_clean(spark, sf),
+    return explore.rolling_total_by_period(_unfilled(spark, sf),
                                            dates.year_text("date"), "total_laid_off")
 
 
 def rolling_total_by_month(spark, sf):
-    return explore.rolling_total_by_period(layoffs_clean(spark, sf),
+    return explore.rolling_total_by_period(_unfilled(spark, sf),
                                            dates.year_month_text("date"), "total_laid_off")
 
 
 def top_companies_per_year(spark, sf):
-    return explore.top_per_period(layoffs_clean(spark, sf), "company", F.year("date"),
+    return explore.top_per_period(_unfilled(spark, sf), "company", F.year("date"),
                                   "total_laid_off", 5)
 
 

@@ -31,12 +31,16 @@ YEAR_SLICES = ((1995, 1996), (1996, 1998), (1998, 2001))
 def bookings(spark, sf) -> list[DataFrame]:
     o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
                                          "o_orderpriority", "o_totalprice")
-    c = load(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    j = o.join(c, o.o_custkey == c.c_custkey).select(
-        F.col("o_orderkey").alias("booking_id"), F.col("o_orderdate").alias("arrival_date"),
-        F.col("c_mktsegment").alias("market_segment"), F.col("o_orderpriority").alias("meal"),
-        F.col("o_totalprice").alias("adr"))
-    return [j.filter(F.year("arrival_date").between(lo, hi)) for lo, hi in YEAR_SLICES]
+    day = F.col("o_orderdate")
+
+    def start(year):
+        return F.lit(f"{year}-01-01").cast("timestamp_ntz")
+
+    # half-open ranges of the plain column reach the scan
+    return [o.filter((day >= start(lo)) & (day < start(hi + 1))).select(
+        F.col("o_orderkey").alias("booking_id"), "o_custkey", day.alias("arrival_date"),
+        F.col("o_orderpriority").alias("meal"), F.col("o_totalprice").alias("adr"))
+        for lo, hi in YEAR_SLICES]
 
 
 def union_years_with_lookups(spark, sf):
@@ -48,7 +52,10 @@ def union_years_with_lookups(spark, sf):
     meal = o.select(F.col("o_orderpriority").alias("meal")).distinct() \
             .filter(F.col("meal") != "5-LOW") \
             .withColumn("meal_cost", F.substring("meal", 1, 1).cast("int") * 2.5)
-    return setops.union_with_lookups(bookings(spark, sf), [(seg, "market_segment"), (meal, "meal")])
+    # united first, so that the customers are joined once
+    who = c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("market_segment"))
+    booked = setops.union_distinct(bookings(spark, sf)).join(who, "o_custkey").drop("o_custkey")
+    return setops.with_lookups(booked, [(seg, "market_segment"), (meal, "meal")])
 
 
 def _scratch(spark: SparkSession, tag: str) -> str:

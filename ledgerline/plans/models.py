@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import fixed_values as fv
 from ledgerline.operators import metrics, ml
+from ledgerline.operators.sequence import materialize
 from ledgerline.sources.tables import load
 
 FEATURES = ["n_chars", "n_lines", "n_words"]
@@ -58,6 +59,12 @@ def split_frame(spark, sf) -> DataFrame:
     return feature_frame(spark, sf).join(split_keys(spark, sf).drop("label"), "doc_id")
 
 
+def staged_split_frame(spark, sf) -> DataFrame:
+    """``split_frame`` written once as narrow rows: jobs that read their input
+    several times (fit, training rows, scoring) read each text once."""
+    return materialize(split_frame(spark, sf), "features")
+
+
 def stratified_split(spark, sf):
     return split_keys(spark, sf).select("doc_id", "label", "split")
 
@@ -68,7 +75,7 @@ def balanced_weights(spark, sf):
 
 
 def _standardized(spark, sf) -> DataFrame:
-    s = split_frame(spark, sf)
+    s = staged_split_frame(spark, sf)
     stats = ml.fit_standardizer(s.filter(F.col("split") == "train"), FEATURES)
     return ml.standardize(s, stats, FEATURES)
 
@@ -84,7 +91,7 @@ def linear_score(spark, sf):
 
 
 def one_hot_lang(spark, sf):
-    f = ml.one_hot_drop_first(feature_frame(spark, sf), "lang", ["en", "es", "fr"])
+    f = ml.one_hot_drop_first(feature_frame(spark, sf), "lang", LANGS)
     return f.drop("label", "quality", "lang", "source", *FEATURES)
 
 
@@ -99,7 +106,8 @@ def value_band(spark, sf):
 
 
 def compare_to_safe_mean(spark, sf):
-    f = ml.compare_to_baseline(feature_frame(spark, sf), "label", FEATURES, 0)
+    f = materialize(feature_frame(spark, sf), "features")
+    f = ml.compare_to_baseline(f, "label", FEATURES, 0)
     return f.select("doc_id", *["delta_" + c for c in FEATURES])
 
 
@@ -109,16 +117,19 @@ def class_balance(spark, sf):
 
 # --- trainers (rows-only checks) ----------------------------------------------
 
-def _weighted_train_test(spark, sf):
-    z = _standardized(spark, sf)
-    train = ml.balanced_weights(z.filter(F.col("split") == "train"), "label")
-    test = z.filter(F.col("split") == "test")
+LANGS = ["en", "es", "fr"]  # levels of lang with a 0/1 column
+LANG_FEATURES = ["lang_" + v for v in LANGS]
+
+
+def _weighted_train_test(rows):
+    train = ml.balanced_weights(rows.filter(F.col("split") == "train"), "label")
+    test = rows.filter(F.col("split") == "test")
     return train, test
 
 
 def logistic_regression(spark, sf):
     from pyspark.ml.classification import LogisticRegression
-    train, test = _weighted_train_test(spark, sf)
+    train, test = _weighted_train_test(_standardized(spark, sf))
 
     def estimator(persisted):
         # sklearn's C=1 with an averaged loss: regParam = 1 / sum(weights)
@@ -132,7 +143,7 @@ def logistic_regression(spark, sf):
 
 def decision_tree(spark, sf):
     from pyspark.ml.classification import DecisionTreeClassifier
-    train, test = _weighted_train_test(spark, sf)
+    train, test = _weighted_train_test(staged_split_frame(spark, sf))
     est = DecisionTreeClassifier(maxDepth=3, weightCol="weight", seed=42)
     return ml.train_predict(train, test, est, FEATURES, "label", ["doc_id", "label"],
                             weight="weight")
@@ -140,23 +151,24 @@ def decision_tree(spark, sf):
 
 def random_forest(spark, sf):
     from pyspark.ml.classification import RandomForestClassifier
-    train, test = _weighted_train_test(spark, sf)
+    rows = ml.one_hot_drop_first(staged_split_frame(spark, sf), "lang", LANGS)
+    train, test = _weighted_train_test(rows)
     est = RandomForestClassifier(numTrees=100, maxDepth=30,  # Spark's limit
                                  weightCol="weight", seed=42)
-    return ml.train_predict(train, test, est, FEATURES, "label", ["doc_id", "label"],
+    return ml.train_predict(train, test, est, FEATURES + LANG_FEATURES, "label", ["doc_id", "label"],
                             weight="weight")
 
 
 def mlp(spark, sf):
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    z = _standardized(spark, sf)
+    z = ml.one_hot_drop_first(_standardized(spark, sf), "lang", LANGS)
+    features = ["z_" + c for c in FEATURES] + LANG_FEATURES
     copies = ml.upsample_minority(split_keys(spark, sf).filter(F.col("split") == "train")
                                   .select("doc_id", "label"), "label", "doc_id")
     train = copies.select("doc_id", "copy_no").join(z.drop("split"), "doc_id")
     test = z.filter(F.col("split") == "test")
-    est = MultilayerPerceptronClassifier(layers=[len(FEATURES), 16, 2], maxIter=1000, seed=42)
-    return ml.train_predict(train, test, est, ["z_" + c for c in FEATURES], "label",
-                            ["doc_id", "label"])
+    est = MultilayerPerceptronClassifier(layers=[len(features), 16, 2], maxIter=1000, seed=42)
+    return ml.train_predict(train, test, est, features, "label", ["doc_id", "label"])
 
 
 # --- metrics -----------------------------------------------------------------
