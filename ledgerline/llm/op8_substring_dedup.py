@@ -14,10 +14,11 @@ counted. Levels of growing length leave fewer and fewer candidates:
    among those with the same anchor.
 
 With no candidate left, a level is empty and nothing further happens. Each
-occurrence is a row, keyed by the hash of its window; a level's rows of a key
-are counted by a window function, which streams them from a sort and holds no
-group in memory. Hashes have 64 bits, and windows of length ``size`` are only
-compared within an anchor: 128 bits.
+occurrence is a row, keyed by the hash of its window. A level's keys are
+counted by sums that begin before the shuffle; the repeated ones are staged and
+find their rows by a join of two plain shuffles, in which Spark splits a key
+that very many rows have. Hashes have 64 bits, and windows of length ``size``
+are only compared within an anchor: 128 bits.
 
 Documents are staged once, compressed, under a row number of that table.
 Texts return to the places found by a join on the row number.
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import arrow_limits, documents, stage
@@ -124,10 +125,30 @@ def first_level(texts: DataFrame, size: int, k: int) -> DataFrame:
     return texts.select("doc", "body").mapInArrow(run, "gram long, ahead long, behind long, doc long, place int")
 
 
+def anchor_counts(texts: DataFrame, size: int, k: int) -> DataFrame:
+    """(gram, n): how often each gram is an anchor, summed within each batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.empty(0, _U)]
+            for _, _, words in _word_hashes(_bodies(b.column(0))):
+                grams = window_hashes(words, k)
+                found.append(grams[anchors(grams, size, k)[0]])
+            grams, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))],
+                                             names=["gram", "n"])
+
+    return texts.select("body").mapInArrow(run, "gram long, n long")
+
+
+def of_repeated(rows: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose key occurs more than once by ``counts`` (keys, n)."""
+    more = stage(counts.groupBy(*keys).agg(F.sum("n").alias("n")).filter("n > 1").select(*keys), "windows-repeated")
+    return rows.join(more, list(keys), "left_semi")
+
+
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows whose key another row has, too."""
-    alike = Window.partitionBy(*keys)
-    return rows.withColumn("_n", F.count(F.lit(1)).over(alike)).filter("_n > 1").drop("_n")
+    return of_repeated(rows, rows.select(*keys, F.lit(1).cast("long").alias("n")), *keys)
 
 
 def second_level(first: DataFrame) -> DataFrame:
@@ -175,12 +196,10 @@ def last_level(texts: DataFrame, found: DataFrame, size: int, k: int) -> DataFra
 def repeated_starts(texts: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc, starts): starts of the windows of each document that are repeated."""
     k = -(-size // 4)
-    first = repeated(first_level(texts, size, k), "gram")
-    # all three levels are partitioned for the next by hash, never collected
+    first = stage(of_repeated(first_level(texts, size, k), anchor_counts(texts, size, k), "gram"), "windows-anchors")
     found = stage(second_level(first), "windows-doubled")
-    last = last_level(texts, found, size, k)
-    # rows of an anchor meet as one; their windows come apart only there
-    windows = last.repartition("gram").select("gram", "doc", F.posexplode("hashes").alias("i", "window"), "start") \
+    last = stage(last_level(texts, found, size, k), "windows-whole")
+    windows = last.select("gram", "doc", F.posexplode("hashes").alias("i", "window"), "start") \
                   .select("gram", "window", "doc", (F.col("start") + F.col("i")).alias("start"))
     return repeated(windows, "gram", "window").groupBy("doc").agg(F.collect_list("start").alias("starts"))
 
