@@ -44,19 +44,12 @@ def nth(df: DataFrame, by, order, n: int, name: str = "rnk",
 
 
 def tiers(df: DataFrame, value: str, key: str, labels: Sequence[str],
-          name: str = "tier", distributed: bool = True,
-          descending: bool = True) -> DataFrame:
-    """NTILE(len(labels)) by ``value`` (ties broken by ``key``), labelled.
-
-    ``distributed`` uses the exact range-partitioned NTILE instead of a
-    single-partition window.
-    """
+          name: str = "tier", descending: bool = True) -> DataFrame:
+    """NTILE(len(labels)) by ``value`` (ties broken by ``key``), labelled; by
+    the exact range-partitioned NTILE, not a single-partition window."""
     v = F.col(value).desc_nulls_first() if descending else F.col(value).asc_nulls_last()
     order = [v, F.col(key).asc()]
-    if distributed:
-        tiled = ntile_exact(df, order, len(labels), "_tier_no")
-    else:
-        tiled = df.withColumn("_tier_no", F.ntile(len(labels)).over(Window.orderBy(*order)))
+    tiled = ntile_exact(df, order, len(labels), "_tier_no")
     label = None
     for i, lab in enumerate(labels, start=1):
         cond = F.col("_tier_no") == i

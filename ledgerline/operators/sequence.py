@@ -19,7 +19,7 @@ gives the same exact numbering with all work spread over range partitions:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import uuid
@@ -27,19 +27,53 @@ import uuid
 from ledgerline.session import ensure_checkpoint_dir
 
 _POS_BITS = 33  # monotonically_increasing_id = partition << 33 | position
+PARTITION_BYTES = 256 << 20
+MAX_PARTITIONS = 1 << 15  # rows of the broadcast offsets
+_UNKNOWN_SIZE = 1 << 60   # the planner's default for an input without statistics is larger
 
 
 def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` as parquet under the session's checkpoint directory (the
     shared, reliable folder on a cluster) and return a scan of it."""
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/ledgerline-stage/{tag}-{uuid.uuid4().hex}"
+    path = f"{staging_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._ledgerline_path = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing reads them any
+    more (what was made of them has been written, too)."""
+    for df in staged:
+        _delete(df.sparkSession, df._ledgerline_path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table that this application has staged, at its end."""
+    _delete(spark, staging_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def staging_folder(spark: SparkSession) -> str:
+    """The application's own folder of staged tables."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/ledgerline-stage/{spark.conf.get('spark.app.id', 'shared')}"
 
 
 def _default_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    """Range partitions of about ``PARTITION_BYTES`` of the scanned tables,
+    ``spark.sql.shuffle.partitions`` at least. Inputs of unknown size count
+    as empty."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < _UNKNOWN_SIZE)
+    return max(least, min(MAX_PARTITIONS, -(-known // PARTITION_BYTES)))
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_no",
@@ -48,9 +82,8 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_no",
     total order; add a unique tie-break). The numbered rows are a scan of
     the materialised table.
 
-    ``partitions`` (default ``spark.sql.shuffle.partitions``) is the number
-    of range partitions; AQE does not coalesce an explicit count, so size it
-    for ~128-256 MB per partition at the target scale."""
+    ``partitions`` is the number of range partitions, which AQE does not
+    change; the default follows the size of the scanned tables."""
     n = partitions or _default_partitions(df)
     tagged = materialize(df.repartitionByRange(n, *order)
                            .sortWithinPartitions(*order)

@@ -57,18 +57,12 @@ def growth(df: DataFrame, value: str, order, prev_name: str = "prev_value",
 
 
 def gap(df: DataFrame, key: str, ts: str, tiebreak: str, prev_name: str = "prev_ts",
-        gap_name: str = "gap_seconds", skew_safe: bool = True) -> DataFrame:
+        gap_name: str = "gap_seconds") -> DataFrame:
     """Previous event time per key and the gap in seconds (first event: NULL).
-
-    ``skew_safe`` numbers rows globally and joins each row to its
-    predecessor, so a key with a third of all events is not one task.
-    """
+    Rows are numbered globally and joined to their predecessors, so a key with
+    a third of all events is not one task."""
     order = [F.col(ts).asc_nulls_first(), F.col(tiebreak).asc_nulls_first()]
-    if skew_safe:
-        out = lag_exact(df, [key], order, {prev_name: ts})
-    else:
-        w = Window.partitionBy(key).orderBy(*order)
-        out = df.withColumn(prev_name, F.lag(ts).over(w))
+    out = lag_exact(df, [key], order, {prev_name: ts})
     return out.withColumn(gap_name, seconds_between(ts, prev_name))
 
 

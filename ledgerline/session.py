@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared, reliable folder and
     is used as is. Only when it is unset under a local master (tests) a private
-    scratch folder is created; elsewhere that is an error. ``DataFrame.checkpoint()`` is enabled for the
+    scratch folder is created, which goes when Python ends; elsewhere that is an error. ``DataFrame.checkpoint()`` is enabled for the
     same folder where the session exposes its ``SparkContext``.
     """
     try:
@@ -70,6 +72,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if "ckpt" not in _LOCAL_DIRS:
             _LOCAL_DIRS["ckpt"] = tempfile.mkdtemp(prefix="ledgerline-ckpt-",
                                                    dir=os.environ.get("TMPDIR", "/tmp"))
+            atexit.register(shutil.rmtree, _LOCAL_DIRS["ckpt"], ignore_errors=True)
         configured = _LOCAL_DIRS["ckpt"]
     if sc is not None:
         sc.setCheckpointDir(configured)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators import sequence
 from ledgerline.operators.sequence import global_row_number, lag_exact, ntile_exact
 
 
@@ -52,3 +53,23 @@ def test_expand_range_chunks_equal_explode(spark):
     assert got.count() == 1003
     assert got.select("k", "i").exceptAll(ref.select("k", "i")).count() == 0
     assert got.rdd.getNumPartitions() == 5
+
+
+def test_range_partitions_follow_the_scanned_bytes(spark, tmp_path, monkeypatch):
+    spark.range(20000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert sequence._default_partitions(df) == 8              # small: the session's number
+    monkeypatch.setattr(sequence, "PARTITION_BYTES", 1000)
+    assert sequence._default_partitions(df) > 8
+    assert sequence._default_partitions(spark.createDataFrame([(1,)], "a int")) == 8  # unknown size
+
+
+def test_staged_tables_have_an_owner_and_go(spark):
+    import os
+    folder = sequence.staging_folder(spark)
+    a, b = (sequence.materialize(spark.range(3), t) for t in ("a", "b"))
+    at = [x._ledgerline_path.removeprefix("file:") for x in (a, b)]
+    assert all(x._ledgerline_path.startswith(folder) for x in (a, b))
+    assert spark.sparkContext.applicationId in folder and a.count() == 3
+    sequence.discard(a)
+    assert [os.path.exists(x) for x in at] == [False, True] and b.count() == 3

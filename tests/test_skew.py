@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.dates import seconds_between
 from ledgerline.operators import clean, commerce, timeseries
 from tests.conftest import rows
 
@@ -32,8 +33,9 @@ def test_dedup_first_matches_row_number(spark, hot):
 
 
 def test_gap_skew_safe_equals_window(spark, hot):
-    a = timeseries.gap(hot, "k", "t", "id", "p", "g", skew_safe=True).select("id", "p", "g")
-    b = timeseries.gap(hot, "k", "t", "id", "p", "g", skew_safe=False).select("id", "p", "g")
+    a = timeseries.gap(hot, "k", "t", "id", "p", "g").select("id", "p", "g")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    b = hot.withColumn("p", F.lag("t").over(w)).withColumn("g", seconds_between("t", "p")).select("id", "p", "g")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
@@ -46,6 +48,44 @@ def test_fill_from_group_matches_window_reference(spark, hot):
     assert rows(got) == rows(ref)
 
 
+@pytest.fixture
+def split_early(spark):
+    """Sort-merge joins only, and partitions that count as skewed when small."""
+    wanted = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+              "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+              "spark.sql.adaptive.coalescePartitions.enabled": "false",
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+              "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _hot_wide(spark):
+    """Half the rows on one key, in several map tasks, which a split needs."""
+    k = F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 997).cast("long")
+    return spark.range(0, 60000, 1, 8).select(
+        "id", k.alias("k"), F.when(F.col("id") % 5 > 0, F.sha2(F.col("id").cast("string"), 256)).alias("v"),
+        (F.col("id") % 101).cast("decimal(18,2)").alias("amount"),
+        F.when(F.col("id") % 3 == 0, "F").otherwise("O").alias("status"))
+
+
+@pytest.mark.parametrize("case", ["fill", "preview", "average", "discount"])
+def test_hot_key_is_split(spark, split_early, case):
+    df = _hot_wide(spark)
+    out = {"fill": lambda: clean.fill_from_group(df, "k", "v", "id", blank_is_null=False),
+           "preview": lambda: clean.donor_preview(df, "k", "v", "id", show=["id"], blank_is_null=False),
+           "average": lambda: commerce.above_group_average(df, "amount", ["k"]),
+           "discount": lambda: commerce.discount(df.select("id", "k", "amount"), df.select("k", "status"),
+                                                 "k", "amount", F.col("status") == "F")}[case]()
+    out.collect()
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_streaks_chunked_equals_unchunked(spark, hot):
     a = timeseries.streaks(hot, "k", "t", 2, chunk_rows=7)
     b = timeseries.streaks(hot, "k", "t", 2, chunk_rows=1 << 20)
