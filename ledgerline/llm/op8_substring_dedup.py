@@ -32,7 +32,7 @@ through; an empty table gives no row; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import arrow_limits, documents, stage
 from ledgerline.llm.words import Words, chunks, window_hashes
+from ledgerline.operators.sequence import discard
 
 SIZE = 35
 _U = np.uint64
@@ -140,27 +141,28 @@ def anchor_counts(texts: DataFrame, size: int, k: int) -> DataFrame:
     return texts.select("body").mapInArrow(run, "gram long, n long")
 
 
-def of_repeated(rows: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
-    """The rows whose key occurs more than once by ``counts`` (keys, n)."""
+def stage_repeated(rows: DataFrame, keys: list[str], tag: str, counts: DataFrame | None = None,
+                   shape: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
+    """The rows whose key another row has, too, in the form ``shape`` gives
+    them, staged. ``counts`` (keys, n) may be given where they come cheaper."""
+    if counts is None:
+        counts = rows.select(*keys, F.lit(1).cast("long").alias("n"))
     more = stage(counts.groupBy(*keys).agg(F.sum("n").alias("n")).filter("n > 1").select(*keys), "windows-repeated")
-    return rows.join(more, list(keys), "left_semi")
-
-
-def repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows whose key another row has, too."""
-    return of_repeated(rows, rows.select(*keys, F.lit(1).cast("long").alias("n")), *keys)
+    out = stage(shape(rows.join(more, keys, "left_semi")), tag)
+    discard(more)
+    return out
 
 
 def second_level(first: DataFrame) -> DataFrame:
-    """(doc, places, sides): anchors of each document one of whose extensions
-    is repeated; side 1: to the right, 2: to the left."""
+    """(doc, found): anchors of each document one of whose extensions is
+    repeated, as (place, side); side 1: to the right, 2: to the left."""
     sides = F.filter(F.array(F.struct(F.lit(1).alias("side"), F.col("ahead").alias("double")),
                              F.struct(F.lit(2).alias("side"), F.col("behind").alias("double"))),
                      lambda x: x["double"] != 0)
     rows = first.select("doc", "place", F.explode(sides).alias("x")) \
                 .select("doc", "place", F.col("x.side").alias("side"), F.col("x.double").alias("double"))
-    return repeated(rows, "side", "double").groupBy("doc").agg(
-        F.collect_list(F.struct("place", "side")).alias("found"))
+    return stage_repeated(rows, ["side", "double"], "windows-doubled", shape=lambda found: found.groupBy("doc").agg(
+        F.collect_list(F.struct("place", "side")).alias("found")))
 
 
 def last_level(texts: DataFrame, found: DataFrame, size: int, k: int) -> DataFrame:
@@ -194,14 +196,20 @@ def last_level(texts: DataFrame, found: DataFrame, size: int, k: int) -> DataFra
 
 
 def repeated_starts(texts: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc, starts): starts of the windows of each document that are repeated."""
+    """(doc, starts): starts of the windows of each document that are repeated,
+    staged. A level's table goes when the next one is written."""
     k = -(-size // 4)
-    first = stage(of_repeated(first_level(texts, size, k), anchor_counts(texts, size, k), "gram"), "windows-anchors")
-    found = stage(second_level(first), "windows-doubled")
+    first = stage_repeated(first_level(texts, size, k), ["gram"], "windows-anchors", anchor_counts(texts, size, k))
+    found = second_level(first)
+    discard(first)
     last = stage(last_level(texts, found, size, k), "windows-whole")
+    discard(found)
     windows = last.select("gram", "doc", F.posexplode("hashes").alias("i", "window"), "start") \
                   .select("gram", "window", "doc", (F.col("start") + F.col("i")).alias("start"))
-    return repeated(windows, "gram", "window").groupBy("doc").agg(F.collect_list("start").alias("starts"))
+    starts = stage_repeated(windows, ["gram", "window"], "windows-starts", shape=lambda found: found.groupBy("doc").agg(
+        F.collect_list("start").alias("starts")))
+    discard(last)
+    return starts
 
 
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -211,7 +219,7 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("windows of at least 4 words")
     arrow_limits(docs.sparkSession)
     texts = staged_documents(docs, id_col, text_col)
-    starts = stage(repeated_starts(texts, size), "windows-starts")
+    starts = repeated_starts(texts, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
