@@ -3,10 +3,13 @@
 Lines are parsed as in a log-template tree of fixed depth: the first level is
 the number of words, the next ``DEPTH`` levels are the leading words, where a
 word with a digit is the variable ``<*>``. The lines of a leaf share one
-template: at each place the word that most documents have there, or ``<*>``
-where it has no majority. A line that agrees with the template at
-``SIMILAR`` of its places or more belongs to it; any other line is a template
-of its own, with its words with digits as ``<*>``. A template that recurs in
+template: at each place the word that most documents have there, or nothing
+where it has no majority. The leading words, equal by construction, say
+nothing about likeness, nor does a ``<*>`` that line and template have at the
+same place; of the other places, a line that agrees with the template at
+``SIMILAR`` or more belongs to it, provided that most places after the leading
+words have a majority word. Any other line is a template of its own, with its
+words with digits as ``<*>``. A template that recurs in
 ``MIN_DOCS`` documents or more is boilerplate: all of its lines go, but for
 the first (smallest id, then line), so that no content is lost altogether.
 
@@ -73,17 +76,21 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 .agg(F.count(F.lit(1)).alias("docs"))
     words = there.groupBy("leaf", "line").agg(F.any_value("words").alias("words"))
     lines_once = stage(held.join(words, ["leaf", "line"]), "template-distinct")
-    votes = lines_once.select("leaf", "docs", F.posexplode("words").alias("place", "word")) \
+    after = F.slice("words", depth + 1, F.size("words"))  # the leading words agree in any case
+    votes = lines_once.select("leaf", "docs", F.posexplode(after).alias("place", "word")) \
                       .groupBy("leaf", "place", "word").agg(F.sum("docs").alias("votes"))
     # the word of most votes, then the least word: least of (-votes, word)
     leading = votes.groupBy("leaf", "place").agg(
         F.min(F.struct((-F.col("votes")).alias("less"), "word")).alias("lead"), F.sum("votes").alias("all"))
     template = leading.withColumn("word", F.when(-2 * F.col("lead.less") > F.col("all"), F.col("lead.word"))) \
                       .groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("t"))
-    agree = F.aggregate(F.zip_with("words", "t", lambda w, t: F.when(w == t["word"], 1).otherwise(0)),
-                        F.lit(0), lambda n, x: n + x)
-    of_leaf = agree >= similar * F.size("words")
-    named = stage(lines_once.join(template, "leaf").select(
+    known = F.size(F.filter("t", lambda t: t["word"] != ANY))
+    places = F.filter(F.zip_with(after, "t", lambda w, t: F.struct(w.alias("w"), t["word"].alias("t"))),
+                      lambda p: ~((p["w"] == ANY) & p["t"].eqNullSafe(ANY)))
+    agree = F.size(F.filter(places, lambda p: (p["w"] == p["t"]) & (p["t"] != ANY)))
+    of_leaf = (2 * known > F.size("t")) & (agree >= similar * F.size(places))
+    # lines of leading words only have no template but their own
+    named = stage(lines_once.join(template, "leaf", "left").select(
         "leaf", "line", F.when(of_leaf, F.lit(0)).otherwise(F.col("line")).alias("own")), "template-names")
     rows = there.join(named, ["leaf", "line"]).select("leaf", "own", "doc", "doc_id", "line_no")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc", "line_no")

@@ -83,6 +83,24 @@ def test_lines_below_the_threshold_and_unlike_lines_stay(spark):
     assert all(r.lines_gone == 0 for r in op3.drop_lines(docs).collect())
 
 
+def test_short_unlike_lines_with_equal_leading_words_stay(spark):
+    lines = [f"was that so. {' '.join(chr(97 + i) * (j + 2) for j in range(n))}" for n in (1, 2, 3) for i in range(12)]
+    # a variable is no sign of likeness either
+    lines += [f"was that so. {i} {chr(97 + i) * 2} {i + 1}" for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.text for r in op3.drop_lines(docs).collect()} == set(lines)
+    # repeats of one of them go, but for the first, and the others stay
+    more = list(enumerate(lines)) + [(100 + i, lines[0]) for i in range(40)]
+    got = {r.doc_id: r.lines_gone for r in op3.drop_lines(spark.createDataFrame(more, "doc_id long, text string")).collect()}
+    assert all(got[i] == (i >= 100) for i, _ in more)
+
+
+def test_lines_with_a_place_that_varies_go(spark):
+    lines = [f"you are user {i} of our site {chr(97 + i) * 3} since today" for i in range(9)]
+    got = op3.drop_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert all(r.lines_gone == (r.doc_id > 0) for r in got)
+
+
 def test_lines_edges(spark, docs, nothing):
     got = op3.drop_lines(docs)
     assert got.columns == docs.columns + ["lines_gone"] and got.count() == docs.count()
