@@ -13,8 +13,15 @@ words with digits as ``<*>``. A template that recurs in
 ``MIN_DOCS`` documents or more is boilerplate: all of its lines go, but for
 the first (smallest id, then line), so that no content is lost altogether.
 
-Lines of fewer than ``MIN_WORDS`` words and lines in leaves with fewer than
-``MIN_DOCS`` documents are never looked at further. Documents are counted
+Lines of fewer than ``MIN_WORDS`` words are parsed in the same tree, but each
+masked line is a template of its own, so only exact repeats go; a short line
+without a word to tell it by keeps its digits. As short prose recurs by
+chance, the more so the shorter it is, a short line of ``n`` words has to be in
+``SHORT_DOCS`` documents and in ``SHORT_SHARE ** n`` of the rows with a text:
+a tenth for one word, a hundredth for two, a thousandth for three.
+
+Lines in leaves with fewer than ``MIN_DOCS`` documents, short lines below their
+own bound and lines without a word are never looked at further. Documents are counted
 after removing repeats within a task, so a line that a third of all documents
 hold is one row per task; only lines of frequent leaves, and of these each
 different line once, are split into words. Everything is DataFrame functions.
@@ -36,39 +43,58 @@ from ledgerline.llm.common import documents, stage
 DEPTH = 3
 MIN_WORDS = 4
 MIN_DOCS = 5
+SHORT_DOCS = 20
+SHORT_SHARE = 0.1  # for each word of a short line
 SIMILAR = 0.6
 OTHER_SPACE = r"[\x09-\x0D]"  # white space but for the space itself
 ANY = "<*>"
 
 
-def _words(line: Column) -> Column:
-    """Words of a line, those with a digit as the variable."""
+def _split(line: Column) -> Column:
     # splitting at one plain character is far cheaper than at a pattern
     spaced = F.when(line.rlike(OTHER_SPACE), F.regexp_replace(line, OTHER_SPACE, " ")).otherwise(line)
-    words = F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def _words(line: Column) -> Column:
+    """Words of a line, those with a digit as the variable."""
+    words = _split(line)
     return F.when(line.rlike("[0-9]"), F.transform(words, lambda w: F.when(w.rlike("[0-9]"), ANY).otherwise(w))) \
             .otherwise(words)
 
 
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_words: int) -> DataFrame:
-    """(doc, doc_id, line_no, words, leaf) of the lines that are long enough;
-    ``doc`` stands for id and text together."""
+    """(doc, doc_id, line_no, words, leaf, short) of the lines with words;
+    ``doc`` stands for id and text together, ``short`` is the number of words
+    of a line with fewer than ``min_words``, else 0."""
     me = F.xxhash64(F.col(id_col), F.col(text_col))
     lines = docs.filter(F.col(text_col).isNotNull()) \
                 .select(me.alias("doc"), F.col(id_col).alias("doc_id"),
                         F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    words = lines.select("doc", "doc_id", "line_no", _words(F.col("line")).alias("words")) \
-                 .filter(F.size("words") >= min_words)
-    leaf = F.xxhash64(F.size("words"), F.slice("words", 1, depth))
-    return words.select("doc", "doc_id", "line_no", "words", leaf.alias("leaf"))
+    words = lines.select("doc", "doc_id", "line_no", "line", _words(F.col("line")).alias("words")) \
+                 .filter(F.size("words") > 0)
+    size = F.size("words")
+    short = F.when(size < min_words, size).otherwise(0)
+    # a short line of variables only keeps its digits
+    bare = (short > 0) & F.forall("words", lambda w: w == ANY)
+    words = words.select("doc", "doc_id", "line_no", short.alias("short"),
+                         F.when(bare, _split(F.col("line"))).otherwise(F.col("words")).alias("words"))
+    # all words of a short line lead: its leaf is the line
+    leaf = F.xxhash64(F.size("words"), F.when(F.col("short") > 0, F.col("words"))
+                      .otherwise(F.slice("words", 1, depth)))
+    return words.select("doc", "doc_id", "line_no", "words", leaf.alias("leaf"), "short")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
-                  min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
+                  min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, similar: float = SIMILAR,
+                  short_docs: int = SHORT_DOCS, short_share: float = SHORT_SHARE) -> DataFrame:
     """(doc, gone): numbers of the lines, from 0, that go from a document."""
     lines = parsed_lines(docs, id_col, text_col, depth, min_words)
-    frequent = stage(lines.select("leaf", "doc").distinct().groupBy("leaf").count()
-                     .filter(F.col("count") >= min_docs).select("leaf"), "template-leaves")
+    texts = docs.filter(F.col(text_col).isNotNull()).count()
+    enough = F.when(F.col("short") == 0, min_docs) \
+              .otherwise(F.greatest(F.lit(short_docs), texts * F.pow(F.lit(short_share), F.col("short"))))
+    frequent = stage(lines.select("leaf", "short", "doc").distinct().groupBy("leaf", "short").count()
+                     .filter(F.col("count") >= enough).select("leaf"), "template-leaves")
     there = stage(lines.join(frequent, "leaf").select(
         "leaf", F.xxhash64("words").alias("line"), "doc", "doc_id", "line_no", "words"), "template-lines")
     # each different line of a leaf once, with the number of its documents

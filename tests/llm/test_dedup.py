@@ -101,6 +101,21 @@ def test_lines_with_a_place_that_varies_go(spark):
     assert all(r.lines_gone == (r.doc_id > 0) for r in got)
 
 
+def test_short_lines_that_recur_go(spark):
+    def text(i):
+        lines = [f"{chr(97 + i % 26)}{chr(97 + i // 26)} is a line of its own here", f"prose{chr(97 + i % 26)}"]
+        lines += ["All rights reserved.", f"Page {i}", str(i)] if i % 3 == 0 else []
+        return "\n".join(lines + ["And then."] * (i < 19) + ["Yes."] * (i % 13 == 0) + ["Menu"] * (i % 4 == 0))
+    texts = {i: text(i) for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in op3.drop_lines(docs).collect()}
+    # "Yes." is in 24 documents of 300, too few for one word, "And then." in
+    # fewer than SHORT_DOCS; numbers of their own are no repeats
+    gone = re.compile("All rights reserved[.]|Page [0-9]+|Menu")
+    for i, t in texts.items():
+        assert got[i] == "\n".join(x for x in t.split("\n") if i == 0 or not gone.fullmatch(x))
+
+
 def test_lines_edges(spark, docs, nothing):
     got = op3.drop_lines(docs)
     assert got.columns == docs.columns + ["lines_gone"] and got.count() == docs.count()
