@@ -3,8 +3,9 @@
 Every run of ``k`` code points of the text gets a hash; of each ``w``
 consecutive hashes the smallest is chosen, the rightmost of equal ones. The
 chosen hashes with their positions are the fingerprint. Two texts that share a
-passage of ``w + k - 1`` code points share a chosen hash, and none is chosen
-because of passages shorter than ``k``. A text with fewer than ``k`` code
+passage of ``w + k - 1`` code points (25 as set) share a chosen hash, and none
+is chosen because of passages shorter than ``k``. An edited text, as below,
+shares its first half, so a hash is shared from 49 code points on. A text with fewer than ``k`` code
 points has one hash, of the whole text; with fewer than ``w`` hashes, the
 smallest is chosen. An empty or null text has an empty fingerprint.
 
@@ -33,8 +34,8 @@ from pyspark.sql import types as T
 from ledgerline.llm.common import arrow_limits, documents
 from ledgerline.llm.words import mix, window_hashes
 
-K = 20
-W = 81
+K = 10
+W = 16
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 _HIGH = _U(0xFFFFFFFF00000000)

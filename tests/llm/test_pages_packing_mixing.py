@@ -198,6 +198,14 @@ def test_shared_passages_are_found():
         assert len(np.intersect1d(a, b))
 
 
+def test_short_texts_are_nearer_to_their_edit_than_to_the_next(spark):
+    rng = np.random.default_rng(1)
+    texts = ["".join(chr(97 + x) for x in rng.integers(0, 26, n)) for n in range(50, 201)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = op10.edited_fingerprints(docs).collect()
+    assert len(got) == len(texts) and all(r.near_edited > r.near_next for r in got)
+
+
 def test_fingerprints_and_neighbours(spark, docs, nothing):
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, round(r.near_edited, 9), round(r.near_next, 9))
