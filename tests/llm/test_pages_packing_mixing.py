@@ -166,6 +166,16 @@ def test_mixing_edges(spark, docs, nothing):
     assert op9.replicate(nothing).count() == 0
 
 
+def test_packing_takes_added_tokens_as_tokenizers_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = op6.Encoder()
+    for text in ("<|endoftext|>", "one<|endoftext|> two", "<|endoftext", "x " * 60_000 + "<|endoftext|>y"):
+        assert encoder.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert 50256 in encoder.ids("one<|endoftext|> two")
+
+
 # -- fingerprints -----------------------------------------------------------
 def _naive(text, k, w):
     points = np.array([ord(c) for c in text], np.uint64)
