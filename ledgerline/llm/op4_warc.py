@@ -50,13 +50,13 @@ RECORDS = ("record_id string, type string, concurrent_to array<string>, refers_t
 
 
 def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, refers_to) of the pages that are written as revisits."""
+    """(page_id, digest, refers_to) of the pages that are written as revisits."""
     sums = pages.select("page_id", F.sha2("payload", 256).alias("digest")) \
                 .filter((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull())
     shared = stage(sums.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"))
                    .filter("least < refers_to"), "warc-shared")
     return stage(sums.join(shared, "digest").filter("page_id < refers_to")
-                 .select("page_id", "refers_to").distinct(), "warc-revisits")
+                 .select("page_id", "digest", "refers_to").distinct(), "warc-revisits")
 
 
 def _record(kind: str, record_id: Column, uri: Column, content: Column, more: list[Column]) -> Column:
@@ -79,7 +79,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     files = max(1, -(-total // FILE_BYTES))
     known = revisits(rows, min_bytes)
     # pages are spread by their content and id, so archives are of like size
-    rows = rows.join(known, "page_id", "left") \
+    rows = rows.withColumn("digest", F.sha2("payload", 256)) \
+               .join(known, ["page_id", "digest"], "left").drop("digest") \
                .repartition(files, F.xxhash64("page_id", "uri", F.octet_length("payload"))) \
                .withColumn("no", F.monotonically_increasing_id().cast("string"))
     stem = uuid.uuid4().hex

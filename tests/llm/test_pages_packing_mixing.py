@@ -36,6 +36,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert {bytes(r.response.payload) for r in rows if r.page_id == 5} == {long.encode()}
 
 
+def test_warc_page_under_two_payloads(spark, tmp_path):
+    one, two = "a" * 2000, "b" * 1500
+    frame = spark.createDataFrame([(1, "u", one), (1, "u", two), (5, "v", one)], "page_id long, url string, html string")
+    op4.write_archives(frame, str(tmp_path / "w"))
+    got = op4.captures_by_page(op4.transactions(op4.read_archives(spark, str(tmp_path / "w")))).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == [
+        (1, 1500, "response", 0), (1, 2000, "revisit", 5), (5, 2000, "response", 0)]
+
+
 def test_warc_links_in_either_direction(spark, tmp_path):
     def record(kind, name, more, body=b""):
         head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\n{more}Content-Length: {len(body)}\r\n\r\n"
