@@ -70,10 +70,15 @@ def _default_partitions(df: DataFrame) -> int:
     ``spark.sql.shuffle.partitions`` at least. Inputs of unknown size count
     as empty."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(least, min(MAX_PARTITIONS, -(-scanned_bytes(df) // PARTITION_BYTES)))
+
+
+def scanned_bytes(df: DataFrame) -> int:
+    """Size of the tables that ``df`` scans, by the planner's statistics;
+    inputs of unknown size count as empty."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    known = sum(x for x in sizes if x < _UNKNOWN_SIZE)
-    return max(least, min(MAX_PARTITIONS, -(-known // PARTITION_BYTES)))
+    return sum(x for x in sizes if x < _UNKNOWN_SIZE)
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_no",
