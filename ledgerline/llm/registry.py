@@ -12,6 +12,7 @@ from ledgerline.llm.op6_packing import op6_packing
 from ledgerline.llm.op7_parity_join import op7_parity_join
 from ledgerline.llm.op8_substring_dedup import op8_substring_dedup
 from ledgerline.llm.op10_winnowing import op10_winnowing
+from ledgerline.llm.op13_arrow_tokens import op13_arrow_tokens
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9.op9_mixing,
     "op10_winnowing": op10_winnowing,
+    "op13_arrow_tokens": op13_arrow_tokens,
 }
 
 SQL: dict[str, str] = {
