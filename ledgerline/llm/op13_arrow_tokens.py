@@ -6,7 +6,7 @@ Arrow's file form, whose footer lists the batches: ``input_ids`` and
 ``attention_mask`` are fixed-size lists without nulls, so that each batch is two
 plain buffers and any sequence a slice of them, read without copying from a
 memory-mapped file (``SequenceFile``). Ids are 16 bits wide where the vocabulary
-allows. A file ends with a document, and only its last sequence is padded (mask 0).
+allows, masks one bit. A file ends with a document, and only its last sequence is padded (mask 0).
 
 Beside ``x.arrow`` stands ``x.docs.arrow``: (doc_id, first, n_tokens), where each
 document's ids begin in the file and how many there are. The end id also occurs
@@ -53,12 +53,21 @@ BATCH = 64                 # sequences of a record batch
 FILE_TOKENS = 1 << 24      # a file takes no further document from here on
 TASK_BYTES = 64 << 20      # scanned bytes for each task
 SLICE = 1 << 20            # bytes of text encoded at a time
-CACHE = 400_000            # words whose ids a task keeps
+CACHE = 600_000            # words whose ids a task keeps
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-_PRINTABLE = re.compile(rb"[!-~]+")
-# pieces of a lower-cased printable ASCII word, as the tokenizer's file splits it
-_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# words of printable ASCII and the letters of Latin-1: no normal form or mark changes them
+_PLAIN = re.compile("[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+# pieces of such a word in lower case, as the tokenizer's file splits it
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+
+
+def byte_characters() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: visible
+    ones of Latin-1 for themselves, the others from U+0100 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
 
 
 def tokenizer_path() -> str:
@@ -66,42 +75,48 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Words(dict):
+    """Ids of words as packed bytes, found as they are asked for. Plain words go
+    straight to the library's BPE model, piece by piece; all others through its
+    whole encoder."""
+
+    def __init__(self, tokenizer, code: str, limit: int):
+        self.tokenizer, self.model, self.code, self.limit = tokenizer, tokenizer.model, code, limit
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.characters = byte_characters()
+        self.pieces: dict[str, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text) and not any(a in text for a in self.added):
+            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECE.findall(text.lower())])
+        else:
+            ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join([self.characters[b] for b in piece.encode()])
+        ids = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        if len(self.pieces) >= self.limit:
+            self.pieces.clear()
+        self.pieces[piece] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of texts by a word-level BPE of the tokenizers library, as packed
-    little-endian bytes. Words of printable ASCII go straight to the library's
-    BPE model, piece by piece; all others through its whole encoder."""
+    little-endian bytes."""
 
     def __init__(self, path: str | None = None, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
-        self.model = self.tokenizer.model
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        tokenizer = Tokenizer.from_file(path or tokenizer_path())
+        self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.cache = cache
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
-
-    def _piece(self, piece: bytes) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = array(self.code, [t.id for t in self.model.tokenize(piece.decode())]).tobytes()
-            self.pieces[piece] = ids
-        return ids
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.pieces) > self.cache:
-            self.pieces.clear()
-        other = []
-        for w in new:
-            if _PRINTABLE.fullmatch(w) and not any(a in w for a in self.added):
-                self.words[w] = b"".join(map(self._piece, _PIECE.findall(w.lower())))
-            else:
-                other.append(w)
-        got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
-        for w, e in zip(other, got):
-            self.words[w] = array(self.code, e.ids).tobytes()
+        self.words = Words(tokenizer, self.code, cache)
 
     def ids(self, text: bytes) -> Iterator[bytes]:
         """The ids of a whole text, slice by slice."""
@@ -109,14 +124,7 @@ class WordEncoder:
         while at < len(text):
             gap = _SPACE.search(text, at + SLICE) if len(text) - at > SLICE else None
             end = gap.start() if gap else len(text)
-            words = text[at:end].split()  # of bytes: at ASCII spaces only
-            new = set(words).difference(self.words)
-            if new:
-                if len(self.words) + len(new) > self.cache:
-                    self.words.clear()
-                    new = set(words)
-                self._learn(new)
-            yield b"".join(map(self.words.__getitem__, words))
+            yield b"".join(map(self.words.__getitem__, text[at:end].split()))  # of bytes: at ASCII spaces only
             at = end
 
 
@@ -124,7 +132,7 @@ def file_schema(length: int, width: int) -> pa.Schema:
     ids = pa.uint16() if width == 2 else pa.uint32()
     fixed = lambda kind: pa.list_(pa.field("item", kind, nullable=False), length)
     return pa.schema([pa.field("input_ids", fixed(ids), nullable=False),
-                      pa.field("attention_mask", fixed(pa.uint8()), nullable=False)],
+                      pa.field("attention_mask", fixed(pa.bool_()), nullable=False)],
                      metadata={"sequence_length": str(length), "batch_sequences": str(BATCH)})
 
 
@@ -171,8 +179,7 @@ class SequenceWriter:
         for at in range(0, whole, step):
             part = ids[at:min(whole, at + step)]
             pad = -len(part) % self.length
-            mask = np.ones(len(part) + pad, np.uint8)
-            mask[len(part):] = 0
+            mask = np.arange(len(part) + pad) < len(part)
             part = np.concatenate((part, np.zeros(pad, self.dtype)))
             self.file.write_batch(pa.record_batch(
                 [pa.FixedSizeListArray.from_arrays(pa.array(v), type=f.type)
@@ -207,14 +214,16 @@ class SequenceFile:
         self.length = self.file.schema.field(0).type.list_size
         self.per_batch = int(self.file.schema.metadata[b"batch_sequences"])
 
-    def batch(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and masks of batch ``n``, a row per sequence."""
+    def batch(self, n: int) -> tuple[np.ndarray, pa.Array]:
+        """Ids of batch ``n``, a row per sequence, and their masks (Arrow keeps
+        bits, which numpy can't view)."""
         b = self.file.get_batch(n)
-        return tuple(b.column(i).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length) for i in (0, 1))
+        return b.column(0).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length), b.column(1)
 
-    def sequence(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, n: int) -> tuple[np.ndarray, pa.BooleanArray]:
         ids, mask = self.batch(n // self.per_batch)
-        return ids[n % self.per_batch], mask[n % self.per_batch]
+        at = n % self.per_batch
+        return ids[at], mask.flatten().slice(at * self.length, self.length)
 
     def tokens(self, first: int, count: int) -> Iterator[np.ndarray]:
         """``count`` ids from place ``first`` on, batch by batch."""
