@@ -7,6 +7,7 @@ from ledgerline.llm import op3_line_templates as op3
 from ledgerline.llm import op4_warc as op4
 from ledgerline.llm import op9_mixing as op9
 from ledgerline.llm import op11_cover_tree as op11
+from ledgerline.llm import op12_itemset_counting as op12
 from ledgerline.llm.op1_language_id import op1_language_id
 from ledgerline.llm.op5_quality import op5_quality
 from ledgerline.llm.op6_packing import op6_packing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_mixing": op9.op9_mixing,
     "op10_winnowing": op10_winnowing,
     "op11_cover_tree": op11.op11_cover_tree,
+    "op12_itemset_counting": op12.op12_itemset_counting,
     "op13_arrow_tokens": op13_arrow_tokens,
 }
 
@@ -36,4 +38,5 @@ SQL: dict[str, str] = {
     "op4_warc": op4.SQL,
     "op9_mixing": op9.SQL,
     "op11_cover_tree": op11.SQL,
+    "op12_itemset_counting": op12.SQL,
 }
