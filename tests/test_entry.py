@@ -2,6 +2,10 @@
 DuckDB oracle on the smallest driver tables."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -22,6 +26,21 @@ def test_oracle_keys_subset_of_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_plain_queries_load_without_the_optional_folders(tmp_path, with_pipeline):
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(os.path.join(here, "ledgerline"), tmp_path / "ledgerline",
+                    ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for f in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * with_pipeline:
+        if os.path.exists(os.path.join(here, f)):
+            shutil.copy(os.path.join(here, f), tmp_path)
+    from ledgerline.plans import catalog
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
+                         env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert out.stdout.split() == [str(len(catalog.queries())), str(len(catalog.oracle_sql()))], out.stderr
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
