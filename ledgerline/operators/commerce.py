@@ -23,22 +23,34 @@ def reconcile_amounts(left: DataFrame, right: DataFrame, key: str, left_value: s
 
 
 def pair_counts(df: DataFrame, basket: str, item: str, names=("item_1", "item_2"),
-                out: str = "pair_count") -> DataFrame:
+                out: str = "pair_count", block_items: int = 1000) -> DataFrame:
     """How often two different items share a basket, counted over line
     pairs (a basket with 2 lines of a and 3 of b adds 6 to (a, b)).
 
-    Lines are first collapsed to (basket, item, n); pairs are then formed
-    between distinct items of a basket with the product of their counts, so
-    duplicate lines never multiply the join. Baskets with a single distinct
-    item emit nothing. Both join sides share one shuffle on ``basket``; a
-    very large basket is split by AQE's skew join.
+    Lines are first collapsed to (basket, item, n), so duplicate lines never
+    multiply the join; pairs are formed between distinct items of a basket with
+    the product of their counts. The items of a basket with more than
+    ``block_items`` are dealt into blocks by a hash, and each pair of blocks is
+    a join key of its own: whatever share of the lines a basket holds, a key
+    has at most about ``block_items ** 2`` pairs, which are counted before the
+    next shuffle. Baskets with a single distinct item emit nothing; rows without
+    a basket or item have no pair.
     """
-    lines = df.groupBy(basket, item).agg(F.count(F.lit(1)).alias("_n"))
-    a = lines.select(F.col(basket), F.col(item).alias(names[0]), F.col("_n").alias("_na"))
-    b = lines.select(F.col(basket), F.col(item).alias(names[1]), F.col("_n").alias("_nb"))
-    pairs = a.join(b, (a[basket] == b[basket]) & (F.col(names[0]) < F.col(names[1])))
-    return pairs.groupBy(names[0], names[1]).agg(
-        F.sum(F.col("_na") * F.col("_nb")).alias(out))
+    lines = materialize(df.filter(F.col(basket).isNotNull() & F.col(item).isNotNull())
+                          .groupBy(F.col(basket).alias("_bk"), F.col(item).alias("_it"))
+                          .agg(F.count(F.lit(1)).alias("_n")), "basket-lines")
+    large = materialize(lines.groupBy("_bk").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > block_items)
+                             .select("_bk", F.ceil(F.col("_m") / block_items).cast("int").alias("_k")), "baskets-large")
+    cut = lines.join(large, "_bk", "left").withColumn("_k", F.coalesce("_k", F.lit(1))) \
+               .withColumn("_b", F.pmod(F.xxhash64("_it"), F.col("_k")).cast("int"))
+    # the pair of blocks (i, j), i <= j: block i on the left, block j on the right
+    left = cut.select("_bk", F.col("_b").alias("_i"), F.explode(F.sequence(F.col("_b"), F.col("_k") - 1)).alias("_j"),
+                      F.col("_it").alias("_x"), F.col("_n").alias("_nx"))
+    right = cut.select("_bk", F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"),
+                       F.col("_it").alias("_y"), F.col("_n").alias("_ny"))
+    pairs = left.join(right, ["_bk", "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("_x") < F.col("_y")))
+    return pairs.groupBy(F.least("_x", "_y").alias(names[0]), F.greatest("_x", "_y").alias(names[1])).agg(
+        F.sum(F.col("_nx") * F.col("_ny")).alias(out))
 
 
 def in_a_not_b(df: DataFrame, key: str, is_a: Column, is_b: Column) -> DataFrame:
@@ -52,16 +64,23 @@ def in_a_not_b(df: DataFrame, key: str, is_a: Column, is_b: Column) -> DataFrame
 
 
 def above_group_average(df: DataFrame, value: str, by: Sequence[str],
-                        avg_name: str = "group_avg") -> DataFrame:
+                        avg_name: str = "group_avg", digits: int | None = None) -> DataFrame:
     """Rows whose ``value`` is strictly above the average of their group.
     The average is an aggregate joined back, NULL being a group as in a
     window. It is staged: both join sides are then plain shuffles, which is
-    what AQE needs to split a hot group."""
-    avgs = materialize(df.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(
-        (F.sum(value).cast("double") / F.count(value)).alias(avg_name)), "group-avg")
+    what AQE needs to split a hot group.
+
+    Rows are compared by ``value * count > sum``, so exact values are compared
+    exactly; ``digits`` rounds the reported average half up."""
+    sums = materialize(df.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(
+        F.sum(value).alias("_sum"), F.count(value).alias("_cnt")), "group-avg")
     same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
-    return df.join(avgs, same).filter(F.col(value) > F.col(avg_name)) \
-             .drop(*[f"_by{i}" for i in range(len(by))])
+    avg = F.col("_sum").cast("double") / F.col("_cnt")
+    if digits is not None:  # in whole units of the last digit where the sum is exact
+        scale = 10 ** digits
+        avg = F.floor((F.col("_sum") * (2 * scale) + F.col("_cnt")) / (F.col("_cnt") * 2)) / scale
+    return df.join(sums, same).filter(F.col(value) * F.col("_cnt") > F.col("_sum")) \
+             .withColumn(avg_name, avg).drop("_sum", "_cnt", *[f"_by{i}" for i in range(len(by))])
 
 
 def late_events(df: DataFrame, actual: str, expected: str,

@@ -154,6 +154,70 @@ def lag_exact(df: DataFrame, keys: list[str], order: list[Column],
     return joined.drop(*drop)
 
 
+def running_sums(df: DataFrame, values: dict[str, str], order: list[str], by: list[str] = (),
+                 partitions: int | None = None) -> DataFrame:
+    """``SUM(v) OVER (PARTITION BY by ORDER BY order)`` with the default RANGE
+    frame (peers share the total, NULLs are a group and come first) for every
+    ``name: v`` of ``values``, for groups of any size.
+
+    Two-level prefix sums: peers are summed first (combining before the
+    shuffle), the sums are dealt to range partitions by (by, order), so that a
+    group with a third of the rows is spread over many of them, and staged.
+    Each partition forms its own prefix sums; what a group has in the
+    partitions before is added from a table with at most one row per
+    partition, since only its first group can have begun earlier."""
+    keys = [f"_rs{i}" for i in range(len(by) + len(order))]
+    group, sort = keys[:len(by)], keys[len(by):]
+    kinds = df.agg(*[F.sum(v).alias(n) for n, v in values.items()]).schema
+    n = partitions or _default_partitions(df)
+    peers = df.groupBy(*[F.col(c).alias(k) for c, k in zip([*by, *order], keys)]) \
+              .agg(*[F.sum(v).alias(f"_rs_{i}") for i, v in enumerate(values.values())])
+    order_by = [F.col(k).asc_nulls_first() for k in keys]
+    peers = materialize(peers.repartitionByRange(n, *order_by).withColumn("_rs_part", F.spark_partition_id()),
+                        "running")
+    names = [f"_rs_{i}" for i in range(len(values))]
+    inside = Window.partitionBy("_rs_part", *group).orderBy(*order_by[len(by):]) \
+                   .rowsBetween(Window.unboundedPreceding, 0)
+    local = peers.select(*keys, "_rs_part", *[F.sum(c).over(inside).alias(c) for c in names])
+    # one row per group and partition; rows of a group: as many as partitions
+    sums = peers.groupBy("_rs_part", *group).agg(*[F.sum(c).alias(c) for c in names])
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_rs_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy("_rs_part"))
+    before = sums.select(F.col("_rs_part").alias("_rs_p"), *[F.col(g).alias(f"{g}b") for g in group],
+                         first.alias("_rs_first"), *[F.sum(c).over(earlier).alias(f"{c}b") for c in names]) \
+                 .filter("_rs_first > 1").drop("_rs_first")
+    same = F.col("_rs_part") == F.col("_rs_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}b"))
+    both = [F.when(F.col(c).isNotNull() | F.col(f"{c}b").isNotNull(),
+                   F.coalesce(c, F.lit(0)) + F.coalesce(f"{c}b", F.lit(0))).cast(kinds[name].dataType).alias(name)
+            for c, name in zip(names, values)]
+    totals = materialize(local.join(F.broadcast(before), same, "left").select(*keys, *both), "running-totals")
+    match = None
+    for c, k in zip([*by, *order], keys):
+        cond = F.col(c).eqNullSafe(F.col(k))
+        match = cond if match is None else match & cond
+    return df.drop(*values).join(totals, match).drop(*keys)
+
+
+def sliding(df: DataFrame, order: list[Column], before: int, columns, block_rows: int = 1 << 16) -> DataFrame:
+    """Columns over a row and the ``before`` rows ahead of it in ``order`` (a
+    total order), without a single-task window. Rows are numbered exactly and
+    cut into blocks of ``block_rows``; the last ``before`` rows of a block are
+    also given to the next one. ``columns(window)`` maps names to columns over
+    the window of a block."""
+    if not 0 <= before < block_rows:
+        raise ValueError("a row's neighbours must fit into one block")
+    at = F.col("_sl_rn") - 1
+    own = F.floor(at / block_rows)
+    numbered = global_row_number(df, order, "_sl_rn")
+    spread = numbered.withColumn("_sl_block", F.explode(
+        F.when(at % block_rows >= block_rows - before, F.array(own, own + 1)).otherwise(F.array(own))))
+    window = Window.partitionBy("_sl_block").orderBy("_sl_rn")
+    out = spread.select("*", *[c.alias(n) for n, c in columns(window).items()])
+    return out.filter(F.col("_sl_block") == own).drop("_sl_rn", "_sl_block")
+
+
 def expand_range(df: DataFrame, lo: Column, hi: Column, name: str,
                  chunk_rows: int = 1 << 16, partitions: int | None = None) -> DataFrame:
     """One output row per integer ``i`` in ``[lo, hi]`` for every input row

@@ -1,9 +1,10 @@
 """Running totals, growth, moving averages, gaps, roll-ups and streaks
 (W1-W7, A12, F13-F15, Q9, Q18, Q22, Q25, Q34-Q36, Q38).
 
-Windows without a partition (growth, moving average, share of total) are
-meant for calendar-grain series (one row per day/month), whose length is
-bounded by the calendar, not by the data volume.
+Running totals, moving averages and growth take rows of any number: prefix
+sums and windows over numbered blocks. For calendar-grain series (one row per
+day/month, bounded by the calendar, not by the data volume) ``series=True``
+plans a plain window instead.
 """
 
 from __future__ import annotations
@@ -12,46 +13,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import day_start, month_start, seconds_between, week_start
-from ledgerline.operators.sequence import expand_range, lag_exact
+from ledgerline.operators.sequence import (expand_range, lag_exact, running_sums,
+                                            sliding)
 
 
 def _cols(xs) -> list:
     return [xs] if isinstance(xs, (str, Column)) else list(xs)
 
 
-def running_total(df: DataFrame, value: str, order, by=(), name: str = "running_total") -> DataFrame:
+def _sorted(xs) -> list[Column]:
+    return [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in _cols(xs)]
+
+
+def running_total(df: DataFrame, value: str, order, by=(), name: str = "running_total",
+                  series: bool = False) -> DataFrame:
     """``SUM(value) OVER (PARTITION BY by ORDER BY order)`` with the default
-    RANGE frame: rows with equal order values (peers) share the total."""
+    RANGE frame: rows with equal order values (peers) share the total.
+
+    Rows of any number and groups of any size: two-level prefix sums
+    (``sequence.running_sums``). ``series=True`` is for input that has one row
+    per calendar period and group, for which a plain window will do; ``order``
+    may then be an expression, too."""
+    if not series:
+        return running_sums(df, {name: value}, _cols(order), _cols(by))
     w = Window.partitionBy(*_cols(by)).orderBy(*_cols(order)) if by else \
         Window.orderBy(*_cols(order))
     return df.withColumn(name, F.sum(value).over(w))
 
 
 def share_of_total(df: DataFrame, value: str, order, name: str = "running_total",
-                   pct_name: str = "grand_total_percentage", digits: int = 2) -> DataFrame:
+                   pct_name: str = "grand_total_percentage", digits: int = 2,
+                   series: bool = False) -> DataFrame:
     """Running total plus its percentage of the grand total (a scalar
     subquery)."""
     grand = df.agg(F.sum(value)).scalar()
-    out = running_total(df, value, order, name=name)
+    out = running_total(df, value, order, name=name, series=series)
     pct = F.col(name).cast("double") / grand.cast("double") * 100
     return out.withColumn(pct_name, F.round(pct, digits))
 
 
 def moving_average(df: DataFrame, value: str, order, rows: int = 7,
-                   name: str = "moving_avg", digits: int | None = 2) -> DataFrame:
+                   name: str = "moving_avg", digits: int | None = 2, series: bool = False) -> DataFrame:
     """Mean of the current and ``rows - 1`` preceding rows (a row frame:
-    missing days are not filled, the first rows average fewer values)."""
-    w = Window.orderBy(*_cols(order)).rowsBetween(-(rows - 1), 0)
-    avg = F.avg(value).over(w)
-    return df.withColumn(name, F.round(avg, digits) if digits is not None else avg)
+    missing days are not filled, the first rows average fewer values).
+    ``order`` should be total. ``series=True``: one row per calendar period."""
+    def columns(w):
+        avg = F.avg(value).over(w.rowsBetween(-(rows - 1), 0))
+        return {name: F.round(avg, digits) if digits is not None else avg}
+
+    if series:
+        return df.withColumns(columns(Window.orderBy(*_cols(order))))
+    return sliding(df, _sorted(order), rows - 1, columns)
 
 
 def growth(df: DataFrame, value: str, order, prev_name: str = "prev_value",
-           name: str = "growth_pct", digits: int = 2) -> DataFrame:
+           name: str = "growth_pct", digits: int = 2, series: bool = False) -> DataFrame:
     """Previous row's value and the change in percent. The previous row is
-    the previous *existing* period; gaps are not filled."""
-    w = Window.orderBy(*_cols(order))
-    out = df.withColumn(prev_name, F.lag(value).over(w))
+    the previous *existing* period; gaps are not filled. ``order`` should be
+    total. ``series=True``: one row per calendar period."""
+    def columns(w):
+        return {prev_name: F.lag(value).over(w)}
+
+    out = df.withColumns(columns(Window.orderBy(*_cols(order)))) if series else \
+        sliding(df, _sorted(order), 1, columns)
     pct = F.try_divide(F.col(value) - F.col(prev_name), F.col(prev_name)) * 100
     return out.withColumn(name, F.round(pct, digits))
 

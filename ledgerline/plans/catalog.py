@@ -37,6 +37,8 @@ def queries() -> dict[str, Query]:
         "order_gaps": shop.order_gaps,
         "top_sellers_per_state": shop.top_sellers_per_state,
         "running_revenue_pct": shop.running_revenue_pct,
+        "running_line_revenue": shop.running_line_revenue,
+        "moving_order_value": shop.moving_order_value,
         "dynamic_discount": shop.dynamic_discount,
         "sales_cube": shop.sales_cube,
         "clv_percentiles": shop.clv_percentiles,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline import fixed_values as fv
-from ledgerline.operators import metrics, ml
+from ledgerline.operators import glm, metrics, ml, trees
 from ledgerline.operators.sequence import materialize
 from ledgerline.sources.tables import load
 
@@ -25,6 +25,7 @@ TEST_FRACTION = Decimal(fv.TEST_FRACTION)
 SCORE_INTERCEPT = -2.0
 SCORE_WEIGHTS = {"n_chars": 0.0001, "n_lines": 0.01, "n_words": 0.001}
 BAND_CUTS = fv.BAND_CUTS
+TREE_DEPTH = 3
 
 
 def feature_frame(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,7 +199,63 @@ def fpr_by_band(spark, sf):
     return metrics.group_fpr(s, "label", "prediction", "band")
 
 
+# --- models as tables and expressions -------------------------------------------
+
+def _fitted_tree(spark, sf):
+    rows = staged_split_frame(spark, sf)
+    train = rows.filter(F.col("split") == "train")
+    return rows, train, trees.fit(train, FEATURES, "label", TREE_DEPTH)
+
+
+def decision_tree_rules(spark, sf):
+    """The tree's rules with their support among the training rows."""
+    _, train, tree = _fitted_tree(spark, sf)
+    return trees.rules(train, tree, "label")
+
+
+def decision_tree_scored(spark, sf):
+    """The test rows scored by the tree as one CASE expression."""
+    rows, _, tree = _fitted_tree(spark, sf)
+    number = trees.expression(tree, lambda leaf, n: n)
+    return rows.filter(F.col("split") == "test").select(
+        "doc_id", "label", trees.expression(tree).alias("prediction"), number.alias("rule_no"))
+
+
+def decision_tree_metrics(spark, sf):
+    return metrics.report(decision_tree_scored(spark, sf), "label", "prediction")
+
+
+def _fitted_logistic(spark, sf):
+    z = _standardized(spark, sf)
+    train, test = _weighted_train_test(z)
+    return glm.fit_logistic(train, ["z_" + c for c in FEATURES], "label", "weight"), test
+
+
+def logistic_coefficients(spark, sf):
+    fitted, _ = _fitted_logistic(spark, sf)
+    return glm.coefficients(spark, fitted)
+
+
+def logistic_scored(spark, sf):
+    """The test rows scored with the fitted coefficients."""
+    fitted, test = _fitted_logistic(spark, sf)
+    weights = {k: v for k, v in fitted.items() if k != glm.INTERCEPT}
+    out = ml.linear_score(test, fitted[glm.INTERCEPT], weights)
+    return out.select("doc_id", "label", F.round("score", 6).alias("score"),
+                      (F.col("score") > 0.5).cast("int").alias("prediction"))
+
+
+def logistic_metrics(spark, sf):
+    return metrics.report(logistic_scored(spark, sf), "label", "prediction")
+
+
 QUERIES = {
+    "decision_tree_rules": decision_tree_rules,
+    "decision_tree_scored": decision_tree_scored,
+    "decision_tree_metrics": decision_tree_metrics,
+    "logistic_coefficients": logistic_coefficients,
+    "logistic_scored": logistic_scored,
+    "logistic_metrics": logistic_metrics,
     "feature_frame": feature_frame,
     "stratified_split": stratified_split,
     "balanced_weights": balanced_weights,
@@ -323,3 +380,140 @@ SELECT round((r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0), 9) AS auc FROM a"""),
 "group_fpr": _w(", g AS (SELECT * FROM sc)" + _fpr("lang")),
 "fpr_by_band": _w(f", g AS (SELECT *, {_BAND} AS band FROM sc)" + _fpr("band")),
 }
+
+
+def _report_of(table: str) -> str:
+    """The classification report over (label, prediction) of ``table``."""
+    return f"""
+, per AS (
+  SELECT CAST(c AS VARCHAR) AS class, count_if(label = c AND prediction = c) AS hit,
+         count_if(prediction = c) AS said, count_if(label = c) AS support
+  FROM {table}, (SELECT unnest([0, 1]) AS c) GROUP BY c),
+rates AS (SELECT *, coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / nullif(support, 0), 0) AS r FROM per),
+scores AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM rates),
+alls AS (
+  SELECT class, p, r, f, support FROM scores
+  UNION ALL SELECT 'accuracy', NULL, NULL, sum(hit) / sum(support), sum(support) FROM scores
+  UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), sum(support) FROM scores
+  UNION ALL SELECT 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support),
+                   sum(f * support) / sum(support), sum(support) FROM scores)
+SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1_score,
+       CAST(support AS BIGINT) AS support FROM alls"""
+
+
+def _tree_sql(depth: int) -> str:
+    """CTEs ``node0`` to ``node<depth>``: the training rows' nodes (the root is 1,
+    below node k are 2 k and 2 k + 1), and ``split<i>``, the splits of level i."""
+    feats = " UNION ALL ".join(
+        f"SELECT node, {i} AS f, CAST({c} AS DOUBLE) AS v, label FROM node{{d}}" for i, c in enumerate(FEATURES))
+    chosen = "CASE s.f " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(FEATURES)) + " END"
+    out = f"""
+, cw AS (SELECT count(*) / (2 * nullif(count_if(label = 0), 0)) AS w0, count(*) / (2 * nullif(count_if(label = 1), 0)) AS w1
+         FROM sp WHERE split = 'train'),
+node0 AS (SELECT doc_id, label, {', '.join(FEATURES)}, 1 AS node FROM sp WHERE split = 'train')"""
+    for d in range(depth):
+        out += f""",
+long{d} AS ({feats.format(d=d)}),
+vals{d} AS (SELECT node, f, v, count_if(label = 0) AS c0, count_if(label = 1) AS c1 FROM long{d} GROUP BY node, f, v),
+cum{d} AS (
+  SELECT node, f, v, sum(c0) OVER w AS l0, sum(c1) OVER w AS l1, sum(c0) OVER (PARTITION BY node, f) AS n0,
+         sum(c1) OVER (PARTITION BY node, f) AS n1, lead(v) OVER (PARTITION BY node, f ORDER BY v) AS nxt
+  FROM vals{d} WINDOW w AS (PARTITION BY node, f ORDER BY v)),
+imp{d} AS (
+  SELECT node, f, v, nxt, l0 * w0 AS a, l1 * w1 AS b, (n0 - l0) * w0 AS x, (n1 - l1) * w1 AS y
+  FROM cum{d}, cw WHERE nxt IS NOT NULL AND n0 > 0 AND n1 > 0),
+split{d} AS (
+  SELECT node, f, (v + nxt) / 2 AS t FROM imp{d}
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY (a * a + b * b) / (a + b) + (x * x + y * y) / (x + y) DESC, f, v) = 1),
+node{d + 1} AS (
+  SELECT r.doc_id, r.label, {', '.join('r.' + c for c in FEATURES)}, 2 * r.node + (CASE WHEN {chosen} <= s.t THEN 0 ELSE 1 END) AS node
+  FROM node{d} r JOIN split{d} s ON r.node = s.node)"""
+    splits = " UNION ALL ".join(f"SELECT * FROM split{d}" for d in range(depth))
+    ends = " UNION ALL ".join(
+        f"SELECT node, label FROM node{d}" + (f" WHERE node NOT IN (SELECT node FROM split{d})" if d < depth else "")
+        for d in range(depth + 1))
+    names = "CASE f " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(FEATURES)) + " END"
+    text = "CAST(CAST(t AS DECIMAL(20, 4)) AS VARCHAR)"
+    return out + f""",
+splits AS ({splits}),
+leaf AS (
+  SELECT node, count_if(label = 0) AS c0, count_if(label = 1) AS c1 FROM ({ends}) GROUP BY node),
+steps AS (
+  SELECT leaf.node, k, s.node AS above, (leaf.node >> k) % 2 AS side, {names} AS name, t, {text} AS said
+  FROM leaf, range(0, {depth}) g(k), splits s WHERE (leaf.node >> (k + 1)) = s.node),
+paths AS (
+  SELECT node, string_agg(name || CASE WHEN side = 0 THEN ' <= ' ELSE ' > ' END || said, ' AND ' ORDER BY k DESC) AS rule,
+         string_agg(CAST(side AS VARCHAR), '' ORDER BY k DESC) AS turns
+  FROM steps GROUP BY node),
+ruled AS (
+  SELECT CAST(row_number() OVER (ORDER BY turns) AS INTEGER) AS rule_no, coalesce(rule, 'true') AS rule,
+         CASE WHEN c1 * w1 > c0 * w0 THEN 1 ELSE 0 END AS class, c0 + c1 AS support,
+         CASE WHEN c1 * w1 > c0 * w0 THEN c1 ELSE c0 END AS hits, leaf.node
+  FROM leaf LEFT JOIN paths USING (node), cw)"""
+
+
+def _tree_scored(depth: int) -> str:
+    """Test rows walked down the splits."""
+    chosen = "CASE s.f " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(FEATURES)) + " END"
+    out = ",\ntest0 AS (SELECT *, 1 AS node FROM sp WHERE split = 'test')"
+    for d in range(depth):
+        out += f""",
+test{d + 1} AS (
+  SELECT r.* EXCLUDE (node), CASE WHEN s.node IS NULL THEN r.node WHEN {chosen} <= s.t THEN 2 * r.node ELSE 2 * r.node + 1 END AS node
+  FROM test{d} r LEFT JOIN splits s ON r.node = s.node)"""
+    return out + f""",
+told AS (SELECT doc_id, label, class AS prediction, rule_no FROM test{depth} JOIN ruled USING (node))"""
+
+
+def _newton_sql(steps: int) -> str:
+    """CTEs ``b0`` to ``b<steps>``: coefficients after so many Newton steps, each
+    from sums over the weighted training rows and Gaussian elimination."""
+    d = len(FEATURES) + 1
+    z = ["1.0"] + [f"x{i}" for i in range(1, d)]
+    out = """
+, st AS (SELECT """ + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(FEATURES, 1)) + """
+         FROM sp WHERE split = 'train'),
+nc AS (SELECT label, count(*) AS n FROM sp WHERE split = 'train' GROUP BY label),
+zs AS (SELECT sp.doc_id, sp.label, sp.split, (SELECT sum(n) FROM nc) / ((SELECT count(*) FROM nc) * nc.n) AS w, """ +         ", ".join(f"({c} - m{i}) / nullif(s{i}, 0) AS x{i}" for i, c in enumerate(FEATURES, 1)) + """
+       FROM sp JOIN nc USING (label), st),
+tr AS MATERIALIZED (SELECT * FROM zs WHERE split = 'train'),
+b0 AS (SELECT """ + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(d)) + ")"
+    for s in range(steps):
+        line = " + ".join(["b0"] + [f"b{i} * x{i}" for i in range(1, d)])
+        sums = [f"sum(w * p * (1 - p) * {z[i]} * {z[j]}) + {int(i == j and i > 0)} AS a{i}{j}" for i in range(d) for j in range(i, d)]
+        sums += [f"sum(w * (label - p) * {z[i]}) - {int(i > 0)} * any_value(b{i}) AS g{i}" for i in range(d)]
+        out += f""",
+p{s} AS (SELECT *, 1 / (1 + exp(-({line}))) AS p FROM tr, b{s}),
+e{s}_0 AS (SELECT {', '.join(sums)}, {', '.join(f'any_value(b{i}) AS b{i}' for i in range(d))} FROM p{s})"""
+        for k in range(d - 1):  # row k out of the rows below it
+            cols = [f"a{i}{j}" for i in range(k + 1) for j in range(i, d)] + [f"g{i}" for i in range(k + 1)]
+            cols += [f"a{i}{j} - a{k}{i} * a{k}{j} / a{k}{k} AS a{i}{j}" for i in range(k + 1, d) for j in range(i, d)]
+            cols += [f"g{i} - a{k}{i} * g{k} / a{k}{k} AS g{i}" for i in range(k + 1, d)]
+            out += f",\ne{s}_{k + 1} AS (SELECT {', '.join(cols + [f'b{i}' for i in range(d)])} FROM e{s}_{k})"
+        back = []
+        for i in reversed(range(d)):
+            rest = "".join(f" - a{i}{j} * d{j}" for j in range(i + 1, d))
+            back.append(f"(g{i}{rest}) / a{i}{i} AS d{i}")
+        out += f""",
+b{s + 1} AS (SELECT {', '.join(f'b{i} + d{i} AS b{i}' for i in range(d))} FROM (SELECT *, {', '.join(back)} FROM e{s}_{d - 1}))"""
+    return out
+
+
+_NEWTON = 12
+_LOGIT = " + ".join(["b0"] + [f"b{i} * x{i}" for i in range(1, len(FEATURES) + 1)])
+_SCORED = f""",
+told AS (SELECT doc_id, label, 1 / (1 + exp(-({_LOGIT}))) AS score, CAST(1 / (1 + exp(-({_LOGIT}))) > 0.5 AS INTEGER) AS prediction
+         FROM zs, b{_NEWTON} WHERE split = 'test')"""
+
+SQL.update({
+    "decision_tree_rules": _w(_tree_sql(TREE_DEPTH) + "\nSELECT rule_no, rule, class, CAST(support AS BIGINT) AS support, CAST(hits AS BIGINT) AS hits FROM ruled"),
+    "decision_tree_scored": _w(_tree_sql(TREE_DEPTH) + _tree_scored(TREE_DEPTH) +
+                               "\nSELECT doc_id, label, prediction, rule_no FROM told"),
+    "decision_tree_metrics": _w(_tree_sql(TREE_DEPTH) + _tree_scored(TREE_DEPTH) + _report_of("told")),
+    "logistic_coefficients": _w(_newton_sql(_NEWTON) + f"""
+SELECT term, round(b, 4) AS coefficient, round(exp(b), 4) AS odds_ratio
+FROM (SELECT unnest(['intercept', {', '.join(f"'z_{c}'" for c in FEATURES)}]) AS term,
+             unnest([{', '.join(f'b{i}' for i in range(len(FEATURES) + 1))}]) AS b FROM b{_NEWTON})"""),
+    "logistic_scored": _w(_newton_sql(_NEWTON) + _SCORED + "\nSELECT doc_id, label, round(score, 6) AS score, prediction FROM told"),
+    "logistic_metrics": _w(_newton_sql(_NEWTON) + _SCORED + _report_of("told")),
+})

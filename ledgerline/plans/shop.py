@@ -67,7 +67,7 @@ def monthly_delivered_revenue(spark, sf) -> DataFrame:
 def mom_growth(spark, sf) -> DataFrame:
     m = monthly_delivered_revenue(spark, sf)
     return timeseries.growth(m, "revenue", "month", prev_name="prev_month_rev",
-                             name="mom_growth", digits=2)
+                             name="mom_growth", digits=2, series=True)
 
 
 def _product_revenue(spark, sf) -> DataFrame:
@@ -217,19 +217,9 @@ def late_deliveries(spark, sf) -> DataFrame:
 
 
 def above_state_average(spark, sf) -> DataFrame:
-    spend = customer_spend(spark, sf)
-    # sum and count per state carried as exact values; the comparison uses
-    # the unrounded average, the report rounds it half-up to cents
-    cents = (F.col("clv") * 100).cast("long")
-    spend = spend.withColumn("_cents", cents)
-    # NULL is a state of its own; staged, so that AQE can split a large state
-    st = materialize(spend.groupBy(F.col("customer_state").alias("_st")).agg(
-        F.sum("_cents").alias("_sc"), F.count(F.lit(1)).alias("_n")), "state-avg")
-    j = spend.join(st, F.col("customer_state").eqNullSafe(F.col("_st")))
-    above = j.filter(F.col("_cents") * F.col("_n") > F.col("_sc"))
-    state_avg = F.floor((F.col("_sc") * 2 + F.col("_n")) / (F.col("_n") * 2)) / 100
-    return above.select("customer_id", "customer_state", _dbl("clv").alias("total_spent"),
-                        state_avg.alias("state_avg"))
+    out = commerce.above_group_average(customer_spend(spark, sf), "clv", ["customer_state"], "state_avg", digits=2)
+    return out.select("customer_id", "customer_state", _dbl("clv").alias("total_spent"),
+                      _dbl("state_avg").alias("state_avg"))
 
 
 def consecutive_month_streaks(spark, sf, distinct_months: bool = False) -> DataFrame:
@@ -243,7 +233,7 @@ def moving_average_7(spark, sf) -> DataFrame:
     daily = o.groupBy(day_start("o_orderdate").alias("order_date")).agg(
         F.count(F.lit(1)).alias("total_orders"))
     return timeseries.moving_average(daily, "total_orders", "order_date", 7,
-                                     "weekly_moving_avg", 2)
+                                     "weekly_moving_avg", 2, series=True)
 
 
 def order_gaps(spark, sf) -> DataFrame:
@@ -270,11 +260,31 @@ def running_revenue_pct(spark, sf) -> DataFrame:
     daily = li.join(o, o.o_orderkey == li.l_orderkey).groupBy(
         day_start("o_orderdate").alias("order_date")).agg(
         F.sum(money("l_extendedprice")).alias("revenue"))
-    out = timeseries.share_of_total(daily, "revenue", "order_date")
+    out = timeseries.share_of_total(daily, "revenue", "order_date", series=True)
     return out.select("order_date", _dbl("revenue").alias("revenue"),
                       _dbl("running_total").alias("running_total"), "grand_total_percentage")
 
 
+def running_line_revenue(spark, sf) -> DataFrame:
+    """Running revenue by shipping date over the raw lines of each return
+    flag; a flag holds half of all lines."""
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate",
+                                            money("l_extendedprice").alias("revenue"))
+    out = timeseries.running_total(li, "revenue", "l_shipdate", by=["l_returnflag"])
+    return out.select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate",
+                      _dbl("running_total").alias("running_total"))
+
+
+def moving_order_value(spark, sf) -> DataFrame:
+    """Mean value of an order and the six before it, and the growth over the
+    previous one, over all orders."""
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderdate", money("o_totalprice").alias("value"))
+    order = ["o_orderdate", "o_orderkey"]
+    out = timeseries.moving_average(o, "value", order, 7, "moving_avg", 2)
+    out = timeseries.growth(out.withColumn("value", _dbl("value")), "value", order, "prev_value", "growth_pct", 2)
+    return out.select("o_orderkey", *[_dbl(c).alias(c) for c in ("value", "moving_avg", "prev_value", "growth_pct")])
+
+
 def dynamic_discount(spark, sf) -> DataFrame:
     """Every order is a discount request: value = total / 1000
     (kept exact as DECIMAL)."""
