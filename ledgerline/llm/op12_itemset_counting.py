@@ -11,12 +11,14 @@ with as many, so each is activated, at the latest by the step after their cycles
 A word is the 64-bit hash of its language and bytes, a phrase the row of its words' hashes,
 ``w1`` to ``w4`` (0: none). Words come with their text; should two have one
 hash, which is tested over all words, everything is counted again with other hashes.
-A scan counts runs of words task by task in numpy and lets through what a bit
-filter of the reached phrases allows (one bit per phrase; its size follows the input, ``FILTER_BITS`` at
-most). The filter never drops an active phrase; what it lets through by
-mistake goes in a join with the reached phrases. That side is broadcast up to
-``BROADCAST_ROWS`` rows and shuffled beyond. A step's counts are added to those of
-the active phrases by one aggregation, which begins before the shuffle, and staged.
+A scan counts runs of words task by task in numpy. Which phrases are active it knows
+from a table of steps per length: at a place found from its hashes, the first step in which a
+phrase of that place reached ``least``. Two phrases may share a place, and a phrase then becomes
+active earlier than it had to, but never before its subphrases. It is still counted in one full cycle,
+beginning where the table says, for entries never change: clashes cost time, not exactness, and the table's size,
+which follows the input up to ``PLACES``, doesn't matter to the result.
+A step's counts are added to those of the active phrases by one aggregation, which begins before
+the shuffle, and staged.
 
 Scores, cuts and containment are joins on the counted phrases, in decimals.
 
@@ -45,13 +47,14 @@ from ledgerline.operators.sequence import discard, scanned_bytes, staging_folder
 LEAST = 30
 TOP = 2000
 LONGEST = 4
-SHARDS = 4
+SHARDS = 3
 SLICE = 1 << 18            # bytes parsed at a time
 GROUP_WORDS = 1 << 20      # words counted at a time
-FILTER_BITS = 1 << 30
-BROADCAST_ROWS = 2_000_000
+PLACES = 1 << 28
+UNSEEN = 255               # steps are fewer: LONGEST times SHARDS
 WORDS = ["w1", "w2", "w3", "w4"]
 NEVER = 1 << 30
+ROW = "w1 long, w2 long, w3 long, w4 long, lang string, word string, n long, act int"
 _U = np.uint64
 _BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _KIND = np.zeros(256, np.uint8)  # 0 word, 1 blank, 2 end of a piece
@@ -128,23 +131,19 @@ class Run:
         return tuple(np.concatenate(c) for c in zip(*self.parts))
 
 
-def slots(rows: list[np.ndarray], bits: int) -> np.ndarray:
-    """A phrase's place in the filter."""
+def slots(rows: list[np.ndarray], places: int) -> np.ndarray:
+    """A phrase's place in the table of its length."""
     out = rows[0].copy()
     for i, r in enumerate(rows[1:], 1):
         out ^= r >> _U(20 * i)
-    return out & _U(bits - 1)
+    return out & _U(places - 1)
 
 
-def slot_column(bits: int) -> Column:
+def slot_column(places: int) -> Column:
     out = F.col("w1")
     for i, w in enumerate(WORDS[1:3], 1):
         out = out.bitwiseXOR(F.shiftrightunsigned(w, 20 * i))
-    return out.bitwiseAND(F.lit(bits - 1))
-
-
-def _set(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (bitmap[slot >> _U(3)] >> (slot & _U(7)).astype(np.uint8)) & 1 > 0
+    return out.bitwiseAND(F.lit(places - 1))
 
 
 def _tally(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,56 +162,58 @@ def _tally(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[at], np.diff(np.append(at, len(order)))
 
 
-def counted(run: Run, words: bool, known: list, recent: list, bits: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the run's words, if asked, and of its phrases whose subphrases are
-    both among ``known`` and one among ``recent`` (bitmaps by length)."""
+def counted(run: Run, step: int, shards: int, tables: list) -> Iterator[pa.RecordBatch]:
+    """Counts of the run's words, in the first cycle, and of its phrases that are
+    active in ``step``. ``tables``: by length, the step in which a place was reached."""
     arrays = run.arrays()
     if not arrays:
         return
     h, together, lang, start, end, data = arrays
-    if words:
+    if step < shards:
         first, n = _tally([h])
         raw, names = data.tobytes(), list(run.langs)
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first].tolist(), end[first].tolist())]
-        yield _batch([h[first]], n, [names[c] for c in lang[first].tolist()], texts)
-    reached = fresh = None
+        yield _batch([h[first]], n, np.zeros(len(n), np.int32), [names[c] for c in lang[first].tolist()], texts)
+    since = None  # step in which the phrase of k - 1 words from a place on was reached
     for k in range(2, LONGEST + 1):
-        shorter = [h[i:len(h) - k + 2 + i] for i in range(k - 1)]  # all runs of k - 1 words
-        if known[k - 2] is None or len(h) < k:
+        if tables[k - 2] is None or len(h) < k:
             return
-        slot = slots(shorter, bits)
-        before = _set(known[k - 2], slot)
-        if k > 2:  # its own subphrases must have been reached
-            before &= reached[:-1] & reached[1:] & together[:len(before)]
-            if k > 3:
-                before &= together[1:len(before) + 1]
-        reached, fresh = before, _set(recent[k - 2], slot)
-        use = reached[:-1] & reached[1:] & (fresh[:-1] | fresh[1:]) & together[k - 2:len(h) - 1]
+        shorter = [h[i:len(h) - k + 2 + i] for i in range(k - 1)]  # all runs of k - 1 words
+        reached = tables[k - 2][slots(shorter, len(tables[k - 2]))]
+        if k > 2:  # not before its own subphrases, whatever shares its place
+            reached = np.maximum(reached, np.maximum(since[:-1], since[1:]))
+            reached[~together[k - 3:len(h) - 1]] = UNSEEN
+        since = reached
+        latest = np.maximum(since[:-1], since[1:])
+        use = (latest < step) & (latest.astype(np.int16) >= step - shards) & together[k - 2:len(h) - 1]
         if k > 2:
             use &= together[:len(use)]
         at = np.flatnonzero(use)
         if len(at):
             rows = [h[at + i] for i in range(k)]
             first, n = _tally(rows)
-            yield _batch([r[first] for r in rows], n)
+            yield _batch([r[first] for r in rows], n, latest[at[first]].astype(np.int32) + 1)
 
 
-def _batch(rows: list[np.ndarray], n: np.ndarray, langs: list | None = None, texts: list | None = None) -> pa.RecordBatch:
+def _batch(rows: list[np.ndarray], n: np.ndarray, act: np.ndarray, langs: list | None = None,
+           texts: list | None = None) -> pa.RecordBatch:
     none = np.zeros(len(n), np.int64)
     rows = [r.view(np.int64) for r in rows] + [none] * (LONGEST - len(rows))
     text = lambda v: pa.array(v, pa.string()) if v is not None else pa.nulls(len(n), pa.string())
-    return pa.record_batch([*map(pa.array, rows), text(langs), text(texts), pa.array(n, pa.int64())],
-                           names=[*WORDS, "lang", "word", "n"])
+    return pa.record_batch([*map(pa.array, rows), text(langs), text(texts), pa.array(n, pa.int64()), pa.array(act)],
+                           names=[*WORDS, "lang", "word", "n", "act"])
 
 
 class Counter:
     """The cyclic scans over the staged shards."""
 
-    def __init__(self, docs: DataFrame, lang_col: str, text_col: str, least: int, shards: int, seed: int):
+    def __init__(self, docs: DataFrame, lang_col: str, text_col: str, least: int, shards: int, seed: int,
+                 places: int | None = None):
         self.spark, self.least, self.shards, self.seed = docs.sparkSession, least, shards, seed
+        if LONGEST * shards >= UNSEEN:
+            raise ValueError("too many shards")
         arrow_limits(self.spark)
-        size = scanned_bytes(docs)
-        self.bits = min(FILTER_BITS, max(1 << 20, 1 << max(0, size // 16).bit_length()))
+        self.places = places or min(PLACES, max(1 << 16, 1 << (scanned_bytes(docs) // 64).bit_length()))
         self.path = f"{staging_folder(self.spark)}/llm-phrase-shards-{uuid.uuid4().hex}"
         # dealt by place, so that copies don't meet in one shard
         docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
@@ -220,95 +221,63 @@ class Counter:
                     F.pmod(F.monotonically_increasing_id(), F.lit(shards)).alias("shard")) \
             .write.partitionBy("shard").parquet(self.path)
         self.shard_rows = self.spark.read.schema("lang string, text binary, shard int").parquet(self.path)
-        self.known: list = [None] * (LONGEST - 1)
-        self.recent: list[list] = [[] for _ in range(LONGEST - 1)]
-        self.reached: list[DataFrame] = []
-        self.n_reached = 0
+        self.tables: list = [None] * (LONGEST - 1)
         self.found: list[DataFrame] = []
         self.totals: DataFrame | None = None
 
     def _scan(self, t: int) -> DataFrame:
-        words, bits, seed = t < self.shards, self.bits, self.seed
-        known = self.known
-        recent = [self._any(r[-self.shards:]) for r in self.recent]
+        shards, seed, tables = self.shards, self.seed, self.tables
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = Run(seed)
             for b in batches:
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                     if run.add(lang, text.as_py() or b""):
-                        yield from counted(run, words, known, recent, bits)
+                        yield from counted(run, t, shards, tables)
                         run.clear()
-            yield from counted(run, words, known, recent, bits)
-
-        rows = self.shard_rows.filter(F.col("shard") == t % self.shards).select("lang", "text")
-        return rows.mapInArrow(scan, "w1 long, w2 long, w3 long, w4 long, lang string, word string, n long")
-
-    def _any(self, bitmaps: list) -> np.ndarray:
-        out = np.zeros(self.bits >> 3, np.uint8)
-        for b in bitmaps:
-            if b is not None:
-                out |= b
-        return out
-
-    def _active(self, rows: DataFrame, t: int) -> DataFrame:
-        """Words, and the phrases that are active in step ``t``, with ``act``."""
-        if not self.reached:
-            return rows.withColumn("act", F.lit(0))
-        table = self.reached[0]
-        for r in self.reached[1:]:
-            table = table.unionByName(r)
-        if self.n_reached <= BROADCAST_ROWS:
-            table = F.broadcast(table)
-        single = F.col("w2") == 0
-        side = lambda s: table.select(*[F.col(w).alias(f"{s}{i}") for i, w in enumerate(WORDS[:3])], F.col("step").alias(f"{s}_step"))
-        # all but the last word; all but the first (a single word: any key, spread)
-        front = [F.col("w1"), F.when(F.col("w3") != 0, F.col("w2")).otherwise(0), F.when(F.col("w4") != 0, F.col("w3")).otherwise(0)]
-        back = [F.when(single, F.col("w1")).otherwise(F.col("w2")), *[F.when(single, F.col("w1")).otherwise(F.col(w)) for w in WORDS[2:]]]
-        for s, key in (("p", front), ("q", back)):
-            rows = rows.select("*", *[k.alias(f"{s}k{i}") for i, k in enumerate(key)])
-            rows = rows.join(side(s), [F.col(f"{s}k{i}") == F.col(f"{s}{i}") for i in range(3)], "left")
-        act = F.greatest("p_step", "q_step") + 1
-        both = F.col("p_step").isNotNull() & F.col("q_step").isNotNull() & (act <= t) & (act > t - self.shards)
-        return rows.filter(single | both).select(*WORDS, "lang", "word", "n", F.when(single, 0).otherwise(act).alias("act"))
-
-    def _learn(self, new: DataFrame, t: int) -> None:
-        """Add the phrases reached in step ``t`` to the filters."""
+            yield from counted(run, t, shards, tables)
+
+        rows = self.shard_rows.filter(F.col("shard") == t % shards).select("lang", "text")
+        return rows.mapInArrow(scan, ROW)
+
+    def _learn(self, state: DataFrame, t: int) -> bool:
+        """Enter the phrases reached in step ``t``; whether there are any. What
+        comes to the driver is bounded by the size of the tables."""
+        new = state.filter((F.col("reached") == t) & (F.col("w4") == 0))
         length = F.when(F.col("w2") == 0, 0).when(F.col("w3") == 0, 1).otherwise(2)
-        slot = slot_column(self.bits) + 1  # Spark counts these from 1
+        slot = slot_column(self.places) + 1  # Spark counts these from 1
         got = new.select(length.alias("k"), slot.alias("slot")).groupBy("k", F.bitmap_bucket_number("slot").alias("at")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"), F.count(F.lit(1)).alias("n")).collect()
-        fresh: list = [None] * (LONGEST - 1)
+            F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+        tables = list(self.tables)
         for r in got:
-            self.n_reached += r.n
-            if fresh[r.k] is None:
-                fresh[r.k] = np.zeros(self.bits >> 3, np.uint8)
-            fresh[r.k][(r["at"] - 1) * len(r.bits):r["at"] * len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
-        for k, b in enumerate(fresh):
-            self.recent[k].append(b)
-            if b is not None:
-                self.known[k] = b if self.known[k] is None else self.known[k] | b
-        if got:
-            self.reached.append(new)
+            if tables[r.k] is None or tables[r.k] is self.tables[r.k]:
+                tables[r.k] = np.full(self.places, UNSEEN, np.uint8) if tables[r.k] is None else tables[r.k].copy()
+            begin = (r["at"] - 1) * 8 * len(r.bits)
+            part = tables[r.k][begin:begin + 8 * len(r.bits)]
+            hit = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")[:len(part)] > 0
+            part[hit & (part == UNSEEN)] = t
+        self.tables = tables
+        return bool(got)
 
     def run(self) -> Counter:
-        state, t = None, 0
-        while t < self.shards or any(b is not None for r in self.recent for b in r[-self.shards:]):
-            rows = self._active(self._scan(t), t).withColumn("reached", F.lit(NEVER))
+        state, t, latest = None, 0, 0
+        # a phrase reached in step s activates others for the steps up to s + shards
+        while t < self.shards or t <= latest + self.shards:
+            rows = self._scan(t).withColumn("reached", F.lit(NEVER))
             if state is not None:
                 rows = rows.unionByName(state.filter(F.col("act") > t - self.shards))
             sums = rows.groupBy(*WORDS, "lang", "word").agg(
                 F.sum("n").alias("n"), F.min("act").alias("act"), F.min("reached").alias("reached"))
             sums = sums.withColumn("reached", F.when((F.col("n") >= self.least) & (F.col("reached") == NEVER), t)
-                                   .otherwise(F.col("reached")).cast("int")).withColumn("act", F.col("act").cast("int"))
+                                   .otherwise(F.col("reached")).cast("int"))
             state, old = stage(sums, "phrase-counts"), state
             if old is not None:
                 discard(old)
-            self._learn(stage(state.filter((F.col("reached") == t) & (F.col("w4") == 0))
-                              .select(*WORDS[:3], F.lit(t).alias("step")), "phrase-reached"), t)
+            if self._learn(state, t):
+                latest = t
             if t >= self.shards - 1:
-                done = state.filter(F.col("act") == t - self.shards + 1)
-                self.found.append(stage(done.filter(F.col("n") >= self.least).drop("act", "reached"), "phrase-found"))
+                done = state.filter((F.col("act") == t - self.shards + 1) & (F.col("n") >= self.least))
+                self.found.append(stage(done.drop("act", "reached"), "phrase-found"))
             if t == self.shards - 1:
                 words = state.filter(F.col("w2") == 0)
                 if words.groupBy("w1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
@@ -320,7 +289,7 @@ class Counter:
 
 
 def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST,
-             shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+             shards: int = SHARDS, places: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(``w1`` to ``w4``, ``lang``, ``word``, ``n``) of all phrases with ``least``
     occurrences in their language (texts on single words), and (lang, total)."""
     spark = docs.sparkSession
@@ -329,7 +298,7 @@ def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", le
     try:
         for seed in range(1, 99):
             try:
-                c = Counter(docs, lang_col, text_col, least, shards, seed).run()
+                c = Counter(docs, lang_col, text_col, least, shards, seed, places).run()
                 break
             except HashClash:
                 continue
@@ -341,7 +310,7 @@ def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", le
     out = c.found[0]
     for f in c.found[1:]:
         out = out.unionByName(f)
-    return out, c.totals
+    return stage(out, "phrase-all"), c.totals
 
 
 def _key(words: Column) -> list[Column]:
