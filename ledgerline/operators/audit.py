@@ -140,3 +140,24 @@ def group_centroid(df: DataFrame, key: Column | str, means: Mapping[str, str],
     aggs = [(F.sum(src).cast("double") / F.count(src)).alias(dst) for dst, src in means.items()]
     aggs += [F.max(src).alias(dst) for dst, src in maxes.items()]
     return df.groupBy(k).agg(*aggs)
+
+
+class Observed:
+    """Counts taken while a job runs anyway (C8, C17): rows, and rows without a
+    value per column, of any point of a plan. They are there once the plan has
+    been written; no scan of their own is made. A stage that Spark runs again
+    after losing its output is counted again."""
+
+    def __init__(self, df: DataFrame, cols: Sequence[str] = ()):
+        from pyspark.sql import Observation
+        self.cols, self._seen = tuple(cols), Observation()
+        self.df = df.observe(self._seen, F.count(F.lit(1)).alias("rows"),
+                             *[F.count_if(F.col(c).isNull()).alias(f"missing {c}") for c in cols])
+
+    @property
+    def rows(self) -> int:
+        return self._seen.get["rows"]
+
+    @property
+    def missing(self) -> dict[str, int]:
+        return {c: self._seen.get[f"missing {c}"] for c in self.cols}

@@ -57,6 +57,32 @@ def dedup_exact(df: DataFrame, cols: Sequence[str] | None = None,
     return g.select("_row.*")
 
 
+CI_AI = "UNICODE_CI_AI"  # neither case nor accents matter
+
+
+def collated(c: Column | str, collation: str = CI_AI) -> Column:
+    """A text column whose comparisons, groups and joins follow ``collation``."""
+    return F.collate(F.col(c) if isinstance(c, str) else c, collation)
+
+
+def dedup_collated(df: DataFrame, cols: Sequence[str], collation: str = CI_AI) -> DataFrame:
+    """One row per group of rows whose ``cols`` are equal under the collation (NULLs
+    are equal): the least of them as plain bytes, other columns included. Groups
+    are Spark's own string collation, so nothing is folded beforehand."""
+    kinds = dict(df.dtypes)
+    keys = [(collated(c, collation) if kinds[c] == "string" else F.col(c)).alias(f"_ck_{c}") for c in cols]
+    g = df.select(*keys, F.struct(*df.columns).alias("_row")).groupBy(*[f"_ck_{c}" for c in cols]) \
+          .agg(F.min("_row").alias("_row"))
+    return g.select("_row.*")
+
+
+def join_collated(left: DataFrame, right: DataFrame, left_col: str, right_col: str, how: str = "inner",
+                  collation: str = CI_AI) -> DataFrame:
+    """Join on text that is equal under the collation. ``LIKE`` takes no such
+    text: prefixes are compared folded (``functions.text.fold_key``)."""
+    return left.join(right, collated(left[left_col], collation) == collated(right[right_col], collation), how)
+
+
 def dedup(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str],
           keep: str = "first") -> DataFrame:
     """One row per key: the first (smallest ``order_by``) or last (greatest).

@@ -9,7 +9,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.plans import (audits, cleaning, epidemic, hotel_io, models, oracle_audits,
-                              oracle_cleaning, oracle_epidemic, oracle_shop, shop, staging)
+                              oracle_cleaning, oracle_epidemic, oracle_shop, reports, shop, staging,
+                              warehouse)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,8 @@ def queries() -> dict[str, Query]:
         "sales_rollup": shop.sales_rollup,
         "seasonal_top_categories": shop.seasonal_top_categories,
         "customer_360": shop.customer_360,
+        "customer_360_two_reviews": partial(shop.customer_360, second_review=True),
+        "customer_360_deduped": partial(shop.customer_360, second_review=True, dedupe=True),
         "bought_a_not_b": shop.bought_a_not_b,
         "best_seller_per_seller_category": shop.best_seller_per_seller_category,
         "bought_together": shop.bought_together,
@@ -50,6 +53,8 @@ def queries() -> dict[str, Query]:
     q.update(staging.QUERIES)
     q.update(hotel_io.QUERIES)
     q.update(models.QUERIES)
+    q.update(warehouse.QUERIES)
+    q.update({name: reports.presented(name, q[name]) for name in reports.ORDER})
     return q
 
 
@@ -62,4 +67,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(staging.SQL)
     out.update(hotel_io.SQL)
     out.update(models.SQL)
+    out.update(warehouse.SQL)
     return out

@@ -127,9 +127,10 @@ def seasonal_top_categories(spark, sf) -> DataFrame:
     return out.withColumn("revenue", _dbl("revenue"))
 
 
-def customer_360(spark, sf, dedupe: bool = False) -> DataFrame:
+def customer_360(spark, sf, dedupe: bool = False, second_review: bool = False) -> DataFrame:
     """Six-table view. One review per order (score = leading digit of the
-    order priority); as in the recipe, item-level aggregates are computed
+    order priority), or with ``second_review`` another one, of score 1, for delivered
+    orders; as in the recipe, item-level aggregates are computed
     over the joined rows (``dedupe=True`` aggregates per order first)."""
     c = load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = load(spark, sf, "nation").select("n_nationkey", "n_name")
@@ -142,6 +143,9 @@ def customer_360(spark, sf, dedupe: bool = False) -> DataFrame:
                       F.col("o_orderdate").alias("purchased_at"))
     reviews = o.select(F.col("o_orderkey").alias("order_id"),
                        F.substring("o_orderpriority", 1, 1).cast("int").alias("review_score"))
+    if second_review:
+        reviews = reviews.unionByName(o.filter(delivered()).select(
+            F.col("o_orderkey").alias("order_id"), F.lit(1).alias("review_score")))
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
                                             "l_extendedprice", "l_quantity")
     p = load(spark, sf, "part").select("p_partkey")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerline.operators.sequence import discard, materialize
+
 
 CSV = {"multiLine": True, "quote": '"', "escape": '"'}  # as RFC 4180, both ways
 
@@ -69,3 +73,36 @@ def write_extract(df: DataFrame, path: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
+
+
+def update_rows(spark: SparkSession, path: str, partition_by: Sequence[str], where: Column,
+                values: Mapping[str, Column]) -> int:
+    """``UPDATE t SET ... WHERE ...`` on a partitioned Parquet table, rewriting
+    only the partitions that hold a row to change; the number of them.
+
+    The partitions are found from the columns that ``where`` reads, then read,
+    changed and staged, and put in place by a dynamic partition overwrite:
+    files of all other partitions stay as they are. The staged copy means that
+    a job that fails while writing can be run again from it. The list of
+    touched partitions comes to the driver (it lists the folders, too).
+    Partition columns can't be changed."""
+    if clash := set(values) & set(partition_by):
+        raise ValueError(f"partition columns can't be updated: {sorted(clash)}")
+    table = spark.read.parquet(path)
+    touched = [tuple(r) for r in table.filter(where).select(*partition_by).distinct().collect()]
+    if not touched:
+        return 0
+    keep = F.lit(False)
+    for t in touched:
+        here = F.lit(True)
+        for c, v in zip(partition_by, t):
+            here = here & (F.col(c).isNull() if v is None else F.col(c) == F.lit(v))
+        keep = keep | here
+    changed = table.filter(keep).select(*[
+        F.when(where, values[c]).otherwise(F.col(c)).cast(table.schema[c].dataType).alias(c) if c in values else F.col(c)
+        for c in table.columns])
+    staged = materialize(changed, "partitions")
+    staged.repartition(*partition_by, F.pmod(F.monotonically_increasing_id(), F.lit(8))) \
+          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    discard(staged)
+    return len(touched)
