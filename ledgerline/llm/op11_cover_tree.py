@@ -197,7 +197,7 @@ def prepared(rows: DataFrame, id_col: str, label: Column, vector: Column) -> Dat
     bad = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), v.alias("v"), bad.alias("bad")) \
                .filter("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND NOT bad") \
-               .select("vec_id", "label", F.transform("v", lambda c: F.floor(c)).alias("x")).dropDuplicates()
+               .select("vec_id", "label", F.transform("v", lambda c: F.floor(c)).alias("x"))
 
 
 class Index:
@@ -206,7 +206,7 @@ class Index:
     def __init__(self, vectors: DataFrame):
         self.spark = vectors.sparkSession
         arrow_limits(self.spark)
-        rows = stage(vectors, "negatives-rows")
+        rows = stage(vectors.dropDuplicates(), "negatives-rows")
         square = F.aggregate("x", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
         top = F.coalesce(F.array_max(F.transform("x", lambda c: F.abs(c))), F.lit(0))
         self.n, m2, size, most = rows.agg(F.count(F.lit(1)), F.max(square), F.max(F.size("x")), F.max(top)).first()

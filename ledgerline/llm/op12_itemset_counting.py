@@ -318,9 +318,10 @@ def _key(words: Column) -> list[Column]:
 
 
 def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP,
-            shards: int = SHARDS) -> DataFrame:
-    """The first ``top`` phrases of each language."""
-    found, totals = frequent(docs, lang_col, text_col, least, shards)
+            shards: int = SHARDS, places: int | None = None) -> DataFrame:
+    """The first ``top`` phrases of each language. ``places``: size of the tables
+    of steps, a power of two."""
+    found, totals = frequent(docs, lang_col, text_col, least, shards, places)
     wide = lambda c: c.cast("decimal(28,0)")
     words = F.filter(F.array(*WORDS), lambda w: w != 0)
     counts = found.filter("w4 = 0").select(*[F.col(w).alias(f"key{i}") for i, w in enumerate(WORDS[:3])], F.col("n").alias("count"))
