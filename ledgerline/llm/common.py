@@ -34,3 +34,15 @@ def fold(doc_id: Column) -> Column:
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
+
+
+def spare(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores as keep it apart from ``columns``
+    (compared as Spark does, without case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out

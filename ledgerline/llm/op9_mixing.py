@@ -17,7 +17,8 @@ one row per source. The planner broadcasts it only if it is small; otherwise
 its join splits a large source between tasks.
 
 Defined results: null is a source of its own; a source without a given weight
-gets none of the corpus, and so no copy; weights are scaled to sum to one;
+gets none of the corpus, and so no copy, nor does any where the weights sum to zero or
+match no source; weights are scaled to sum to one;
 rows with a null id draw by their text; repeated rows get equal numbers of
 copies; an empty table stays empty; other columns pass through, a column named
 like the added ``copy_no`` is replaced.
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import documents, stage
+from ledgerline.llm.common import documents, spare, stage
 
 SEED = "mix-1"
 TEMPER = 0.5
@@ -56,7 +57,8 @@ def rates(docs: DataFrame, weights: dict | None = None, source_col: str = "sourc
             .select(F.col("s").alias("mix_source"), "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     sizes = stage(sizes, "mix-sizes")
     total = sizes.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weights"))
-    rate = F.col("weight") / F.col("weights") * F.col("rows") / F.col("n")
+    # no weight that matches a source: no copies
+    rate = F.try_divide(F.col("weight"), F.col("weights")) * F.col("rows") / F.col("n")
     # one row of totals beside one row per source
     return sizes.join(F.broadcast(total)) \
                 .select("mix_source", F.round(F.coalesce(rate, F.lit(0.0)), 6).alias("rate"))
@@ -83,17 +85,18 @@ def replicate(docs: DataFrame, weights: dict | None = None, seed: str = SEED, id
     1, in shuffled order."""
     docs = docs.drop("copy_no") if "copy_no" in docs.columns else docs
     columns = docs.columns
+    source, parts, below, number, place = spare(columns, "mix_source", "mix_parts", "mix_below", "mix_copies", "mix_place")
     wanted = stage(with_distribution(rates(docs, weights, source_col, temper)), "mix-rates")
-    wanted = wanted.select(F.col("mix_source"), F.col("parts").alias("mix_parts"), F.col("below").alias("mix_below"))
-    drawn = docs.join(wanted, F.col(source_col).eqNullSafe(F.col("mix_source")))
+    wanted = wanted.select(F.col("mix_source").alias(source), F.col("parts").alias(parts), F.col("below").alias(below))
+    drawn = docs.join(wanted, F.col(source_col).eqNullSafe(F.col(source)))
     me = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text_col, F.lit("")))))
     copies = F.aggregate(
-        F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0),
-        lambda n, part: n + F.size(F.filter("mix_below", lambda c: c <= uniform(F.lit(seed), me, part))))
-    many = drawn.withColumn("mix_copies", copies).filter("mix_copies > 0") \
-                .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    place = F.xxhash64(F.lit(seed), me, F.col("copy_no"))
-    return many.withColumn("mix_place", place).repartition("mix_place").sortWithinPartitions("mix_place") \
+        F.sequence(F.lit(1), F.col(parts)), F.lit(0),
+        lambda n, part: n + F.size(F.filter(below, lambda c: c <= uniform(F.lit(seed), me, part))))
+    many = drawn.withColumn(number, copies).filter(F.col(number) > 0) \
+                .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col(number))))
+    order = F.xxhash64(F.lit(seed), me, F.col("copy_no"))
+    return many.withColumn(place, order).repartition(place).sortWithinPartitions(place) \
                .select(*columns, "copy_no")
 
 
