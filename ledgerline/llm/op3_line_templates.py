@@ -11,11 +11,13 @@ same place; of the other places, a line that agrees with the template at
 words have a majority word. Any other line is a template of its own, with its
 words with digits as ``<*>``. A template that recurs in
 ``MIN_DOCS`` documents or more is boilerplate: all of its lines go, but for
-the first (smallest id, then line), so that no content is lost altogether.
+the first (smallest id, then line), so that no content is lost altogether. Unlike
+lines of a template agree by chance in a large corpus: with ``n`` fixed words it
+has to be in ``SHORT_SHARE ** n`` of the rows with a text, too, as short lines have.
 
 Lines of fewer than ``MIN_WORDS`` words are parsed in the same tree, but each
-masked line is a template of its own, so only exact repeats go; a short line
-without a word to tell it by keeps its digits. As short prose recurs by
+masked line is a template of its own, so only repeats that are equal but for words with
+digits go (``Page 1``, ``Page 2``); a short line without another word keeps its digits. As short prose recurs by
 chance, the more so the shorter it is, a short line of ``n`` words has to be in
 ``SHORT_DOCS`` documents and in ``SHORT_SHARE ** n`` of the rows with a text:
 a tenth for one word, a hundredth for two, a thousandth for three.
@@ -38,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import documents, stage
+from ledgerline.llm.common import documents, spare, stage
 
 DEPTH = 3
 MIN_WORDS = 4
@@ -108,21 +110,25 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the word of most votes, then the least word: least of (-votes, word)
     leading = votes.groupBy("leaf", "place").agg(
         F.min(F.struct((-F.col("votes")).alias("less"), "word")).alias("lead"), F.sum("votes").alias("all"))
-    template = leading.withColumn("word", F.when(-2 * F.col("lead.less") > F.col("all"), F.col("lead.word"))) \
-                      .groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("t"))
+    # staged, so that Spark can split a leaf with very many lines in the join
+    template = stage(leading.withColumn("word", F.when(-2 * F.col("lead.less") > F.col("all"), F.col("lead.word")))
+                     .groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("t")), "template-words")
     known = F.size(F.filter("t", lambda t: t["word"] != ANY))
     places = F.filter(F.zip_with(after, "t", lambda w, t: F.struct(w.alias("w"), t["word"].alias("t"))),
                       lambda p: ~((p["w"] == ANY) & p["t"].eqNullSafe(ANY)))
     agree = F.size(F.filter(places, lambda p: (p["w"] == p["t"]) & (p["t"] != ANY)))
     of_leaf = (2 * known > F.size("t")) & (agree >= similar * F.size(places))
     # lines of leading words only have no template but their own
+    fixed = known + F.size(F.filter(F.slice("words", 1, depth), lambda w: w != ANY))
     named = stage(lines_once.join(template, "leaf", "left").select(
-        "leaf", "line", F.when(of_leaf, F.lit(0)).otherwise(F.col("line")).alias("own")), "template-names")
-    rows = there.join(named, ["leaf", "line"]).select("leaf", "own", "doc", "doc_id", "line_no")
+        "leaf", "line", F.when(of_leaf, F.lit(0)).otherwise(F.col("line")).alias("own"),
+        F.when(of_leaf, fixed).alias("fixed")), "template-names")
+    rows = there.join(named, ["leaf", "line"]).select("leaf", "own", "fixed", "doc", "doc_id", "line_no")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc", "line_no")
-    per_doc = rows.groupBy("leaf", "own", "doc").agg(F.min(order).alias("first"))
-    recurring = stage(per_doc.groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"))
-                      .filter(F.col("docs") >= min_docs).select("leaf", "own", "first"), "template-recurring")
+    per_doc = rows.groupBy("leaf", "own", "fixed", "doc").agg(F.min(order).alias("first"))
+    many = F.greatest(F.lit(min_docs), F.coalesce(texts * F.pow(F.lit(short_share), F.col("fixed")), F.lit(0)))
+    recurring = stage(per_doc.groupBy("leaf", "own", "fixed").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"))
+                      .filter(F.col("docs") >= many).select("leaf", "own", "first"), "template-recurring")
     gone = rows.join(recurring, ["leaf", "own"]) \
                .filter((F.col("doc") != F.col("first.doc")) | (F.col("line_no") != F.col("first.line_no")))
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
@@ -132,19 +138,19 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the lines of recurring templates taken out, plus
     ``lines_gone``, their number."""
     docs = docs.drop("lines_gone") if "lines_gone" in docs.columns else docs
+    doc, gone_lines, mine, left = spare(docs.columns, "template_doc", "template_gone", "template_me", "template_text")
     gone = stage(dropped_lines(docs, id_col, text_col, **how), "template-gone") \
-        .select(F.col("doc").alias("template_doc"), F.col("gone").alias("template_gone"))
+        .select(F.col("doc").alias(doc), F.col("gone").alias(gone_lines))
     me = F.xxhash64(F.col(id_col), F.col(text_col))
     # `gone` grows with the documents: never broadcast
-    marked = docs.withColumn("template_me", me) \
-                 .join(gone.hint("merge"), F.col("template_me") == F.col("template_doc"), "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"),
-                                 lambda line, i: ~F.array_contains("template_gone", i)), "\n")
-    marked = marked.withColumn("template_text", F.when(F.col("template_gone").isNull(), F.col(text_col)).otherwise(left))
-    columns = [F.col("template_text").alias(c) if c == text_col else
-               F.when(F.col("template_gone").isNull(), F.col(c)).otherwise(F.length("template_text")).alias(c)
+    marked = docs.withColumn(mine, me).join(gone.hint("merge"), F.col(mine) == F.col(doc), "left")
+    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"),
+                                 lambda line, i: ~F.array_contains(gone_lines, i)), "\n")
+    marked = marked.withColumn(left, F.when(F.col(gone_lines).isNull(), F.col(text_col)).otherwise(rest))
+    columns = [F.col(left).alias(c) if c == text_col else
+               F.when(F.col(gone_lines).isNull(), F.col(c)).otherwise(F.length(left)).alias(c)
                if c == "n_chars" else F.col(c) for c in docs.columns]
-    return marked.select(*columns, F.coalesce(F.size("template_gone"), F.lit(0)).alias("lines_gone"))
+    return marked.select(*columns, F.coalesce(F.size(gone_lines), F.lit(0)).alias("lines_gone"))
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,31 +167,50 @@ WITH split_lines AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
   FROM documents WHERE text IS NOT NULL),
 worded AS (
-  SELECT doc_id, text, line_no,
-         [CASE WHEN regexp_matches(w, '[0-9]') THEN '{ANY}' ELSE w END FOR w IN string_split_regex(line, '[\x20\x09-\x0D]+') IF w <> ''] AS words
+  SELECT doc_id, text, line_no, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS plain
   FROM split_lines),
+masked AS (
+  SELECT *, list_transform(plain, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{ANY}' ELSE w END) AS hidden,
+         len(plain) AS n, len(plain) < {MIN_WORDS} AS short
+  FROM worded WHERE len(plain) > 0),
 parsed AS (
-  SELECT *, len(words) AS n, words[1:{DEPTH}] AS lead FROM worded WHERE len(words) >= {MIN_WORDS}),
+  SELECT doc_id, text, line_no, n, short,
+         CASE WHEN short AND len(list_filter(hidden, lambda w: w <> '{ANY}')) = 0 THEN plain ELSE hidden END AS words
+  FROM masked),
+leaved AS (SELECT *, CASE WHEN short THEN words ELSE words[1:{DEPTH}] END AS lead FROM parsed),
+corpus AS (SELECT count(*) AS texts FROM documents WHERE text IS NOT NULL),
 frequent AS (
-  SELECT n, lead FROM parsed GROUP BY n, lead HAVING count(DISTINCT (doc_id, text)) >= {MIN_DOCS}),
-there AS (SELECT p.* FROM parsed p JOIN frequent USING (n, lead)),
+  SELECT n, lead FROM leaved, corpus GROUP BY n, lead, short, texts
+  HAVING count(DISTINCT (doc_id, text)) >= CASE WHEN short THEN greatest({SHORT_DOCS}, texts * pow({SHORT_SHARE}, n)) ELSE {MIN_DOCS} END),
+there AS (SELECT p.* FROM leaved p JOIN frequent USING (n, lead)),
 once AS (SELECT n, lead, words, count(DISTINCT (doc_id, text)) AS docs FROM there GROUP BY n, lead, words),
-placed AS (SELECT n, lead, docs, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM once),
+placed AS (
+  SELECT n, lead, docs, unnest(words[{DEPTH + 1}:]) AS word, generate_subscripts(words[{DEPTH + 1}:], 1) AS place FROM once WHERE n > {DEPTH}),
 votes AS (SELECT n, lead, place, word, sum(docs) AS votes FROM placed GROUP BY n, lead, place, word),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY n, lead, place ORDER BY votes DESC, word) AS r,
          sum(votes) OVER (PARTITION BY n, lead, place) AS total FROM votes),
 template AS (
   SELECT n, lead, list(CASE WHEN 2 * votes > total THEN word END ORDER BY place) AS t FROM ranked WHERE r = 1 GROUP BY n, lead),
+compared AS (
+  SELECT o.n, o.lead, o.words, t.t,
+         len(list_filter(t.t, lambda w: w <> '{ANY}')) AS known,
+         len([1 FOR i IN range(1, len(t.t) + 1) IF NOT (o.words[{DEPTH} + i] = '{ANY}' AND coalesce(t.t[i] = '{ANY}', false))]) AS places,
+         len([1 FOR i IN range(1, len(t.t) + 1) IF coalesce(o.words[{DEPTH} + i] = t.t[i] AND t.t[i] <> '{ANY}', false)]) AS agree
+  FROM once o LEFT JOIN template t USING (n, lead)),
 named AS (
-  SELECT o.n, o.lead, o.words,
-         CASE WHEN len([1 FOR i IN range(1, o.n + 1) IF o.words[i] = t.t[i]]) >= {SIMILAR} * o.n THEN NULL ELSE o.words END AS own
-  FROM once o JOIN template t USING (n, lead)),
-rows AS (SELECT t.doc_id, t.text, t.line_no, t.n, t.lead, m.own FROM there t JOIN named m USING (n, lead, words)),
+  SELECT n, lead, words, coalesce(2 * known > len(t) AND agree >= {SIMILAR} * places, false) AS of_leaf,
+         known + len(list_filter(lead, lambda w: w <> '{ANY}')) AS fixed
+  FROM compared),
+owned AS (
+  SELECT t.doc_id, t.text, t.line_no, t.n, t.lead, CASE WHEN NOT of_leaf THEN m.words END AS own,
+         CASE WHEN of_leaf THEN fixed END AS fixed
+  FROM there t JOIN named m USING (n, lead, words)),
 seen AS (
-  SELECT *, rank() OVER (PARTITION BY n, lead, own ORDER BY doc_id, line_no) AS r FROM rows),
+  SELECT *, rank() OVER (PARTITION BY n, lead, own ORDER BY doc_id, line_no) AS r FROM owned),
 recurring AS (
-  SELECT n, lead, own FROM rows GROUP BY n, lead, own HAVING count(DISTINCT (doc_id, text)) >= {MIN_DOCS}),
+  SELECT n, lead, own FROM owned, corpus GROUP BY n, lead, own, fixed, texts
+  HAVING count(DISTINCT (doc_id, text)) >= greatest({MIN_DOCS}, coalesce(texts * pow({SHORT_SHARE}, fixed), 0))),
 gone AS (
   SELECT DISTINCT s.doc_id, s.line_no FROM seen s JOIN recurring c
     ON s.n = c.n AND s.lead = c.lead AND s.own IS NOT DISTINCT FROM c.own WHERE s.r > 1),
