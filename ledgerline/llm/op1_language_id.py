@@ -12,7 +12,7 @@ Features: the lower-cased text with everything but letters as one space,
 trigrams of its UTF-8 bytes hashed to ``BUCKETS``, square roots of their
 shares. Runs of spaces count as one feature that is dropped.
 
-The classifiers are fitted on a bounded sample: about ``SAMPLE`` documents,
+The classifiers are fitted on a bounded sample: about ``SAMPLE`` documents (``LEAST`` a language),
 an equal bound for every language, chosen by a hash of the id from rows that
 aren't held out and have a language. Only n-gram counts of that sample reach
 the driver. Prediction reads whole texts and nothing but texts.
@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import arrow_limits, documents, fold, held_out
 
 BUCKETS = 4096
-SAMPLE = 2400       # labelled documents fitted on, over all languages
-LANGUAGES = 256     # languages learnt, the most frequent first
+SAMPLE = 2400       # labelled documents fitted on, over all languages, but
+LEAST = 25          # at least so many of each language
+LANGUAGES = 1024    # more are refused: what is fitted on has to fit the driver
 MARGIN = 0.1        # loss difference below which a decision is ambiguous
 ROUNDS = 120
 UNDETERMINED = "und"
@@ -102,12 +103,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.col(lang_col).cast("string").alias("lang")) \
                .filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} values; all of them would have to be learnt")
     names = sorted(r["lang"] for r in sizes)
     if not names:
         return {"names": [], "code": codewords(0), "weights": None}
-    share = {r["lang"]: sample / len(names) / r["count"] for r in sizes}
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
+    share = {r["lang"]: max(LEAST, sample / len(names)) / r["count"] for r in sizes}
+    # repeated rows are drawn together, and count once
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(1 << 20)) / (1 << 20)
     keep = F.create_map(*[F.lit(v) for p in share.items() for v in p])
     chosen = rows.filter(draw < keep[F.col("lang")]).select("lang", "text")
 
@@ -122,7 +126,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  pa.array([v[u].astype("<f4").tobytes() for (_, v), u in zip(found, used)],
                           pa.binary())], names=["lang", "bucket", "value"])
 
-    got = chosen.mapInArrow(counts, "lang string, bucket binary, value binary").collect()
+    got = chosen.mapInArrow(counts, "lang string, bucket binary, value binary").distinct().collect()
     got.sort(key=lambda r: (r["lang"], r["bucket"], r["value"]))
     names = sorted({r["lang"] for r in got})
     x = np.zeros((len(got), BUCKETS), np.float32)

@@ -37,6 +37,7 @@ from ledgerline.llm.common import stage
 from ledgerline.session import ensure_checkpoint_dir
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
+EVER = "36500d"  # files added later may have any age
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -67,7 +68,7 @@ def arrivals(spark: SparkSession, path: str, work: str, id_col: str = "doc_id",
              files_per_batch: int | None = None) -> DataFrame:
     """Append (doc_id, file, row, text_sha256, key) of new files to a table."""
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema)
+    source = spark.readStream.schema(schema).option("maxFileAge", EVER)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
     digest = F.sha2(F.col("body"), 256)
@@ -94,7 +95,7 @@ def keyed_state(spark: SparkSession, seen: DataFrame, work: str) -> DataFrame:
     for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
-        rows = spark.readStream.schema(seen.schema).parquet(f"{work}/arrivals")
+        rows = spark.readStream.schema(seen.schema).option("maxFileAge", EVER).parquet(f"{work}/arrivals")
         state = rows.groupBy("key").agg(F.min(_first()).alias("first"),
                                         F.count(F.lit(1)).alias("group_size"))
         _run(state.writeStream.format("noop").outputMode("update")

@@ -30,6 +30,7 @@ columns other than id, address and payload are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -107,6 +108,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
 
 
+def _number(value: str | None) -> int | None:
+    """A header's number; None if it holds none, or one beyond 64 bits."""
+    if value is None or not re.fullmatch(r"[+-]?[0-9]{1,19}", value):
+        return None
+    number = int(value)
+    return number if -(1 << 63) <= number < 1 << 63 else None
+
+
 def _parse(data: bytes) -> Iterator[tuple]:
     """The records of one archive, compressed or not."""
     if data[:2] == b"\x1f\x8b":
@@ -123,7 +132,7 @@ def _parse(data: bytes) -> Iterator[tuple]:
             key, _, value = row.partition(":")
             fields.setdefault(key.strip().lower(), []).append(value.strip())
         get = lambda key, fields=fields: fields.get(key, [None])[0]
-        size = int(get("content-length") or 0)
+        size = _number(get("content-length")) or 0
         content = data[end + 4:end + 4 + size]
         at = end + 4 + size
         while data[at:at + 2] == b"\r\n":
@@ -134,7 +143,7 @@ def _parse(data: bytes) -> Iterator[tuple]:
             head = head.decode("utf-8", "replace")
         page = get("x-page-id")
         yield (get("warc-record-id"), get("warc-type"), fields.get("warc-concurrent-to", []), get("warc-refers-to"),
-               get("warc-target-uri"), page and int(page),
+               get("warc-target-uri"), _number(page),
                (get("warc-payload-digest") or "").removeprefix("sha1:") or None, head, len(content),
                hashlib.sha1(content).hexdigest(), content)
 
