@@ -133,15 +133,22 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 def one_hot_drop_first(df: DataFrame, col: str, levels: Sequence | None = None,
-                       prefix: str | None = None) -> DataFrame:
+                       prefix: str | None = None, base=None) -> DataFrame:
     """``get_dummies(drop_first=True)``: the alphabetically first level is the
     one without a column, NULL has zeros.
 
     With ``levels`` (those that get a column), one 0/1 column for each, in one
-    projection. Without, a sparse vector ``<prefix>vec`` of any length."""
+    projection; with ``base``, the level without one, any further level is an
+    error, for it could not be told from the base. Without ``levels``, a sparse
+    vector ``<prefix>vec`` of any length."""
     prefix = prefix or col + "_"
     if levels is not None:
-        return df.select("*", *[F.coalesce(F.col(col) == F.lit(v), F.lit(False)).cast("int")
+        value = F.col(col)
+        if base is not None:
+            known = value.isNull() | value.isin(*levels, base)
+            value = F.when(known, value).otherwise(F.raise_error(F.concat(
+                F.lit(f"{col} has a level without a column: "), value.cast("string"))))
+        return df.select("*", *[F.coalesce(value == F.lit(v), F.lit(False)).cast("int")
                                 .alias(prefix + str(v)) for v in levels])
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
     idx = StringIndexer(inputCol=col, outputCol="_idx", stringOrderType="alphabetDesc",

@@ -91,7 +91,7 @@ def linear_score(spark, sf):
 
 
 def one_hot_lang(spark, sf):
-    f = ml.one_hot_drop_first(feature_frame(spark, sf), "lang", LANGS)
+    f = ml.one_hot_drop_first(feature_frame(spark, sf), "lang", LANGS, base=BASE_LANG)
     return f.drop("label", "quality", "lang", "source", *FEATURES)
 
 
@@ -117,7 +117,7 @@ def class_balance(spark, sf):
 
 # --- trainers (rows-only checks) ----------------------------------------------
 
-LANGS = ["en", "es", "fr"]  # levels of lang with a 0/1 column
+LANGS, BASE_LANG = ["en", "es", "fr"], "de"  # levels of lang with a 0/1 column, and without
 LANG_FEATURES = ["lang_" + v for v in LANGS]
 
 
@@ -151,7 +151,7 @@ def decision_tree(spark, sf):
 
 def random_forest(spark, sf):
     from pyspark.ml.classification import RandomForestClassifier
-    rows = ml.one_hot_drop_first(staged_split_frame(spark, sf), "lang", LANGS)
+    rows = ml.one_hot_drop_first(staged_split_frame(spark, sf), "lang", LANGS, base=BASE_LANG)
     train, test = _weighted_train_test(rows)
     est = RandomForestClassifier(numTrees=100, maxDepth=30,  # Spark's limit
                                  weightCol="weight", seed=42)
@@ -161,7 +161,7 @@ def random_forest(spark, sf):
 
 def mlp(spark, sf):
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    z = ml.one_hot_drop_first(_standardized(spark, sf), "lang", LANGS)
+    z = ml.one_hot_drop_first(_standardized(spark, sf), "lang", LANGS, base=BASE_LANG)
     features = ["z_" + c for c in FEATURES] + LANG_FEATURES
     copies = ml.upsample_minority(split_keys(spark, sf).filter(F.col("split") == "train")
                                   .select("doc_id", "label"), "label", "doc_id")
