@@ -36,6 +36,8 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` as parquet under the session's checkpoint directory (the
     shared, reliable folder on a cluster) and return a scan of it."""
     path = f"{staging_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
     df.write.mode("overwrite").parquet(path)
     out = df.sparkSession.read.parquet(path)
     out._ledgerline_path = path
@@ -49,6 +51,37 @@ def discard(*staged: DataFrame) -> None:
         _delete(df.sparkSession, df._ledgerline_path)
 
 
+_scopes: list[list[str]] = []
+
+
+class staged_within:
+    """Deletes what was staged in its block, once that has been used up, but for the
+    tables in ``keep``::
+
+        with staged_within(spark) as block:
+            out = materialize(job(df))
+            block.keep(out)
+
+    Nothing that reads the other tables may be left when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], set()
+
+    def keep(self, *staged: DataFrame) -> None:
+        self.kept.update(df._ledgerline_path for df in staged)
+
+    def __enter__(self) -> staged_within:
+        _scopes.append(self.made)
+        return self
+
+    def __exit__(self, failed, *_) -> None:
+        _scopes[:] = [m for m in _scopes if m is not self.made]
+        if failed is None:
+            for path in self.made:
+                if path not in self.kept:
+                    _delete(self.spark, path)
+
+
 def discard_all(spark: SparkSession) -> None:
     """Delete every table that this application has staged, at its end."""
     _delete(spark, staging_folder(spark))

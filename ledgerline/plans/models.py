@@ -163,8 +163,7 @@ def mlp(spark, sf):
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     z = ml.one_hot_drop_first(_standardized(spark, sf), "lang", LANGS, base=BASE_LANG)
     features = ["z_" + c for c in FEATURES] + LANG_FEATURES
-    copies = ml.upsample_minority(split_keys(spark, sf).filter(F.col("split") == "train")
-                                  .select("doc_id", "label"), "label", "doc_id")
+    copies = ml.upsample_minority(z.filter(F.col("split") == "train").select("doc_id", "label"), "label", "doc_id")
     train = copies.select("doc_id", "copy_no").join(z.drop("split"), "doc_id")
     test = z.filter(F.col("split") == "test")
     est = MultilayerPerceptronClassifier(layers=[len(features), 16, 2], maxIter=1000, seed=42)

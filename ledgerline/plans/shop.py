@@ -20,7 +20,6 @@ from ledgerline.fixed_values import TIER_LABELS
 from ledgerline.functions.dates import day_start, month_start
 from ledgerline.functions.numeric import money
 from ledgerline.operators import commerce, ordering, ranking, timeseries
-from ledgerline.operators.sequence import materialize
 from ledgerline.sources.tables import load
 
 def delivered():

@@ -11,22 +11,29 @@ from pyspark.sql.types import StructType
 from ledgerline.operators.sequence import discard, materialize
 
 
-CSV = {"multiLine": True, "quote": '"', "escape": '"'}  # as RFC 4180, both ways
+CSV = {"quote": '"', "escape": '"'}  # as RFC 4180, both ways
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_typed_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = True) -> DataFrame:
     """CSV with a header, read with a declared schema (never inferred).
 
     Columns are found by their name in the header, whatever their order, after
     trimming (``"UniqueID "`` is ``UniqueID``); a missing one is an error, and
-    so is a cell that doesn't parse. Quoted cells may hold line ends."""
+    so is a cell that doesn't parse, in ANSI mode or not. Quoted cells may hold line
+    ends; a file is then read by one task. ``multi_line=False`` is for files
+    without such cells: these are split like any text, however large."""
     text = spark.read.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-                              **CSV).csv(path)
+                              multiLine=multi_line, **CSV).csv(path)
     at = {c.strip(): c for c in text.columns}
     if missing := [f.name for f in schema.fields if f.name not in at]:
         raise ValueError(f"{path} has no column {missing}")
-    return text.select(*[F.col("`" + at[f.name].replace("`", "``") + "`").cast(f.dataType).alias(f.name)
-                         for f in schema.fields])
+
+    def typed(f):
+        cell = F.col("`" + at[f.name].replace("`", "``") + "`")
+        value = cell.try_cast(f.dataType)
+        bad = F.raise_error(F.concat(F.lit(f"CAST_INVALID_INPUT in column {f.name}: "), cell))
+        return F.when(cell.isNull() | value.isNotNull(), value).otherwise(bad).alias(f.name)
+    return text.select(*[typed(f) for f in schema.fields])
 
 
 def empty_clone(df: DataFrame) -> DataFrame:
@@ -69,7 +76,7 @@ def write_extract(df: DataFrame, path: str, fmt: str = "parquet",
     w = out.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-                      **{k: v for k, v in CSV.items() if k != "multiLine"})
+                      **CSV)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import metrics, ml
@@ -90,3 +91,12 @@ def test_null_label_is_a_class(spark):
     assert ml.balanced_weights(df, "y").filter("weight is null").count() == 0
     assert {r["y"]: r["count"] for r in ml.upsample_minority(df, "y", "id").groupBy("y").count().collect()} \
         == {None: 16, 0: 16, 1: 16}
+
+
+def test_one_hot_refuses_a_level_that_is_neither_listed_nor_the_base(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, c string")
+    got = ml.one_hot_drop_first(df, "c", ["b"], base="a")
+    assert sorted((r.id, r.c_b) for r in got.collect()) == [(1, 0), (2, 1), (3, 0)]
+    more = df.unionByName(spark.createDataFrame([(4, "z")], "id int, c string"))
+    with pytest.raises(Exception, match="without a column: z"):
+        ml.one_hot_drop_first(more, "c", ["b"], base="a").collect()

@@ -111,6 +111,23 @@ def test_typed_csv_and_catalog(spark):
         fh.write("p3,notanumber\n")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         files.read_typed_csv(spark, other, schema).collect()
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            files.read_typed_csv(spark, other, schema).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    # without line ends in cells a file is split between tasks
+    big = tempfile.mkdtemp(prefix="ledgerline-csv-")
+    with open(os.path.join(big, "h.csv"), "w") as fh:
+        fh.write("UniqueID,ParcelID\n" + "".join(f"{i},p{i}\n" for i in range(20000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        whole, split = (files.read_typed_csv(spark, big, schema, multi_line=m) for m in (True, False))
+        assert whole.rdd.getNumPartitions() == 1 < split.rdd.getNumPartitions()
+        assert whole.exceptAll(split).count() == 0 and split.count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     cat = rows(files.schema_catalog(df), "ordinal", "column_name", "data_type")
     assert cat == [(1, "UniqueID", "int"), (2, "ParcelID", "string")]
     conformed = files.conform(spark.createDataFrame([("1", "x")], "a string, b string"), schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import sequence
 from ledgerline.operators.sequence import global_row_number, lag_exact, ntile_exact
+from tests.conftest import rows
 
 
 def _skewed(spark, n=3000, seed=7):
@@ -73,3 +74,16 @@ def test_staged_tables_have_an_owner_and_go(spark):
     assert spark.sparkContext.applicationId in folder and a.count() == 3
     sequence.discard(a)
     assert [os.path.exists(x) for x in at] == [False, True] and b.count() == 3
+
+
+def test_tables_staged_within_a_block_go_with_it(spark):
+    import os
+    before = sequence.materialize(spark.range(2), "before")
+    with sequence.staged_within(spark) as block:
+        inner = sequence.materialize(spark.range(3), "inner")
+        out = sequence.materialize(inner.selectExpr("id * 2 AS id"), "out")
+        block.keep(out)
+    there = lambda df: os.path.exists(df._ledgerline_path.removeprefix("file:"))
+    assert (there(before), there(inner), there(out)) == (True, False, True)
+    assert rows(out) == [(0,), (2,), (4,)] and sequence._scopes == []
+    sequence.discard(before, out)
