@@ -27,6 +27,7 @@ from ledgerline.llm.op3_line_templates import drop_boilerplate
 from ledgerline.llm.op6_packing import pack
 from ledgerline.llm.op7_parity_join import keep_one_of_each
 from ledgerline.llm.op9_mixing import mix_sources
+from ledgerline.operators.sequence import discard, staged_within
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The stages in turn; what a stage has staged goes when its result is written."""
+    docs = before = documents(spark, sf_dir)
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with staged_within(spark) as block:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            block.keep(docs)
+        if name != STAGES[0][0]:
+            discard(before)
+        before = docs
     return docs
 
 
