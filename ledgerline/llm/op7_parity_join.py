@@ -401,3 +401,29 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.withColumn("parity_row", F.xxhash64("doc_id", "text")) \
                .join(kept.hint("merge"), F.col("parity_row") == F.col("parity_key"), "left_semi") \
                .dropDuplicates(["parity_row"]).select(*docs.columns)
+
+
+SQL = rf"""
+WITH RECURSIVE lists AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {WORDS} THEN [array_to_string(ws, ' ')]
+                      ELSE list_distinct([array_to_string(ws[i:i + {WORDS - 1}], ' ') FOR i IN range(1, len(ws) - {WORDS - 2})]) END AS tokens
+  FROM lists),
+-- documents of one set are one class
+named AS (SELECT doc_id, len(tokens) AS n, md5(array_to_string(list_sort(tokens), chr(10))) AS class, tokens FROM sets),
+classes AS (SELECT class, any_value(n) AS n, any_value(tokens) AS tokens FROM named WHERE n > 0 GROUP BY class),
+spread AS (SELECT class, n, unnest(tokens) AS token FROM classes),
+links AS (
+  SELECT a.class AS a, b.class AS b
+  FROM spread a JOIN spread b ON a.token = b.token AND a.class <> b.class AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+reach AS (
+  SELECT class AS a, class AS b FROM classes
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least_id AS (SELECT class, min(doc_id) AS id FROM named WHERE n > 0 GROUP BY class),
+components AS (SELECT r.a AS class, min(i.id) AS id FROM reach r JOIN least_id i ON i.class = r.b GROUP BY r.a)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE c.id END AS component_id
+FROM named LEFT JOIN components c USING (class)
+"""

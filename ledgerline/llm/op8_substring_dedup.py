@@ -251,3 +251,21 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_words(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = rf"""
+WITH lists AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, s, md5(array_to_string(ws[s:s + {SIZE - 1}], ' ')) AS h
+  FROM lists, LATERAL unnest(range(1, len(ws) - {SIZE - 2})) AS g(s)),
+repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, s + step AS place FROM windows JOIN repeated USING (h), range({SIZE}) AS r(step)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM lists),
+told AS (
+  SELECT w.doc_id, count(g.place) AS n_removed, coalesce(string_agg(w.word, ' ' ORDER BY w.place) FILTER (WHERE g.place IS NULL), '') AS kept
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.place = w.place GROUP BY w.doc_id)
+SELECT l.doc_id, len(l.ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM lists l LEFT JOIN told USING (doc_id)
+"""
