@@ -14,10 +14,12 @@ is the unit of a retry.
 
 *Assembly.* Requests and metadata are joined to the response they are
 concurrent to, in whichever of the two records the identifier stands; metadata
-may also name the request. Revisits take length and digest from the record
-that ``WARC-Refers-To`` names. One nested row per capture comes out. All joins
-are on unique record ids, apart from the join of revisits with what they refer
-to, where length and digest stand for the payload.
+may also name the request. Revisits take page and length from the record whose
+id ``WARC-Refers-To`` names, in whatever archive it is; a revisit of a record
+that isn't there has neither. One nested row per capture comes out. Record ids are
+unique, but for rows repeated in full that others refer to: their ids come from
+page and digest, so that a revisit can be written without reading the other, and
+their records are equal.
 
 Defined results: a null payload is empty; equal payloads are told by SHA-256;
 rows with equal ids and equal payloads, if that id is the largest, are all
@@ -51,13 +53,13 @@ RECORDS = ("record_id string, type string, concurrent_to array<string>, refers_t
 
 
 def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, digest, refers_to) of the pages that are written as revisits."""
+    """(page_id, digest, last) of the pages whose payload others have, too;
+    ``last`` is the page that has it in full."""
     sums = pages.select("page_id", F.sha2("payload", 256).alias("digest")) \
                 .filter((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull())
-    shared = stage(sums.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"))
-                   .filter("least < refers_to"), "warc-shared")
-    return stage(sums.join(shared, "digest").filter("page_id < refers_to")
-                 .select("page_id", "digest", "refers_to").distinct(), "warc-revisits")
+    shared = stage(sums.groupBy("digest").agg(F.max("page_id").alias("last"), F.min("page_id").alias("least"))
+                   .filter("least < last").drop("least"), "warc-shared")
+    return stage(sums.join(shared, "digest").select("page_id", "digest", "last").distinct(), "warc-revisits")
 
 
 def _record(kind: str, record_id: Column, uri: Column, content: Column, more: list[Column]) -> Column:
@@ -81,11 +83,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     known = revisits(rows, min_bytes)
     # pages are spread by their content and id, so archives are of like size
     rows = rows.withColumn("digest", F.sha2("payload", 256)) \
-               .join(known, ["page_id", "digest"], "left").drop("digest") \
+               .join(known, ["page_id", "digest"], "left") \
                .repartition(files, F.xxhash64("page_id", "uri", F.octet_length("payload"))) \
                .withColumn("no", F.monotonically_increasing_id().cast("string"))
     stem = uuid.uuid4().hex
-    name = lambda what: F.concat(F.lit(f"<urn:x-capture:{stem}:{what}:"), F.col("no"), F.lit(">"))
+    named = lambda what, key: F.concat(F.lit(f"<urn:x-capture:{stem}:{what}:"), key, F.lit(">"))
+    by_page = lambda page: F.concat(F.lit("page:"), page.cast("string"), F.lit(":"), F.col("digest"))
+    key = F.when(F.col("page_id") == F.col("last"), by_page(F.col("page_id"))).otherwise(F.concat(F.lit("row:"), "no"))
+    name = lambda what: named(what, key)
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
     page = F.coalesce(line("X-Page-ID", F.col("page_id").cast("string")), F.lit(""))
     digest = line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.sha1("payload")))
@@ -94,16 +99,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     message = F.lit("Content-Type: application/http; msgtype=response\r\n")
     response = _record("response", name("response"), F.col("uri"), F.concat(http, F.col("payload")),
                        [page, digest, message])
-    # a revisit names its page, for the record id of the other isn't known here
     revisit = _record("revisit", name("response"), F.col("uri"), http,
-                      [page, digest, message, line("WARC-Refers-To", F.concat(F.lit("<urn:x-page:"), F.col("refers_to").cast("string"), F.lit(">"))),
+                      [page, digest, message, line("WARC-Refers-To", named("response", by_page(F.col("last")))),
                        F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")])
     near = line("WARC-Concurrent-To", name("response"))
     request = _record("request", name("request"), F.col("uri"), F.lit("GET / HTTP/1.1\r\n\r\n"),
                       [near, F.lit("Content-Type: application/http; msgtype=request\r\n")])
     metadata = _record("metadata", name("metadata"), F.col("uri"), F.lit("fetchTimeMs: 0\r\n"),
                        [near, F.lit("Content-Type: application/warc-fields\r\n")])
-    main = F.when(F.col("refers_to").isNull(), response).otherwise(revisit)
+    main = F.when(F.col("page_id") < F.col("last"), revisit).otherwise(response)
     rows.select(F.explode(F.array(request, main, metadata)).alias("value")) \
         .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
 
@@ -192,8 +196,8 @@ def transactions(records: DataFrame) -> DataFrame:
     forward = records.filter(~main).select(
         "record_id", "type", F.explode("concurrent_to").alias("other"), *said)
     backward = records.filter(main).select(F.col("record_id").alias("capture_id"),
-                                           F.explode("concurrent_to").alias("record_id"))
-    direct = forward.join(captures.select(F.col("capture_id").alias("other")), "other") \
+                                           F.explode("concurrent_to").alias("record_id")).distinct()
+    direct = forward.join(captures.select(F.col("capture_id").alias("other")).distinct(), "other") \
                     .select(F.col("other").alias("capture_id"), "record_id", "type", *said)
     named_there = records.filter(~main).join(backward, "record_id") \
                          .select("capture_id", "record_id", "type", *said)
@@ -212,21 +216,18 @@ def transactions(records: DataFrame) -> DataFrame:
 
 def captures_by_page(captures: DataFrame) -> DataFrame:
     """The contract's columns, with revisits resolved."""
-    flat = captures.select(
-        "page_id", F.col("response.type").alias("record_type"),
+    flat = stage(captures.select(
+        "capture_id", "page_id", F.col("response.type").alias("record_type"),
         F.col("response.payload_bytes").alias("own_bytes"),
         F.col("response.payload_digest").alias("noted_digest"),
         F.when(F.col("response.type") == "response", F.col("response.payload_sha1")).alias("own_digest"),
-        F.regexp_extract("response.refers_to", r"<urn:x-page:(-?\d+)>", 1).alias("to"),
-        F.col("request.record_id").alias("request_id"), F.size("metadata").alias("n_metadata"))
-    flat = stage(flat.withColumn("refers_to", F.when(F.col("to") != "", F.col("to")).cast("long")).drop("to"),
-                 "warc-captures")
-    whole = flat.filter("record_type = 'response'").groupBy(
-        F.col("page_id").alias("refers_to"), F.col("own_digest").alias("noted_digest")) \
-        .agg(F.max("own_bytes").alias("there_bytes"))
-    return flat.join(stage(whole, "warc-responses"), ["refers_to", "noted_digest"], "left").select(
+        F.when(F.col("response.type") == "revisit", F.col("response.refers_to")).alias("to"),
+        F.col("request.record_id").alias("request_id"), F.size("metadata").alias("n_metadata")), "warc-captures")
+    whole = flat.filter("record_type = 'response'").groupBy(F.col("capture_id").alias("to")).agg(
+        F.max("page_id").alias("refers_to"), F.max("own_bytes").alias("there_bytes"), F.max("own_digest").alias("there_digest"))
+    return flat.join(stage(whole, "warc-responses"), "to", "left").select(
         "page_id", F.coalesce("there_bytes", "own_bytes").alias("payload_bytes"),
-        F.coalesce("own_digest", "noted_digest").alias("payload_digest"), "record_type", "refers_to",
+        F.coalesce("own_digest", "there_digest", "noted_digest").alias("payload_digest"), "record_type", "refers_to",
         "request_id", "n_metadata")
 
 

@@ -177,3 +177,27 @@ def test_a_leaf_with_very_many_lines_is_split(spark):
     docs = spark.createDataFrame([(i, f"the page was seen by {chr(97 + i % 26)}{i % 7} people today") for i in range(60)],
                                  "doc_id long, text string")
     assert op3.dropped_lines(docs).agg(F.sum(F.size("gone"))).first()[0] == 59
+
+
+def test_revisits_of_other_archives_go_by_record_id(spark, tmp_path):
+    def record(kind, name, page, body, more=""):
+        head = f"HTTP/1.1 200 OK\r\n\r\n{body}"
+        return (f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{name}>\r\nX-Page-ID: {page}\r\n{more}"
+                f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(head)}\r\n\r\n{head}\r\n\r\n")
+    (tmp_path / "part-0").write_text(record("revisit", "b", 2, "", "WARC-Refers-To: <urn:a>\r\n") +
+                                     record("revisit", "c", 3, "", "WARC-Refers-To: <urn:nowhere>\r\n"), newline="")
+    (tmp_path / "part-1").write_text(record("response", "a", 7, "x" * 20), newline="")
+    got = op4.captures_by_page(op4.transactions(op4.read_archives(spark, str(tmp_path)))).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got if r.page_id != 3) == [
+        (2, 20, "revisit", 7), (7, 20, "response", None)]
+    assert [(r.refers_to, r.payload_bytes) for r in got if r.page_id == 3] == [(None, 0)]
+
+
+def test_repeated_rows_that_others_revisit(spark, tmp_path):
+    body = "y" * 1200
+    pages = spark.createDataFrame([(9, "u", body)] * 30 + [(i, "u", body) for i in range(5)], "page_id long, url string, html string")
+    op4.write_archives(pages, str(tmp_path / "w"))
+    captures = op4.transactions(op4.read_archives(spark, str(tmp_path / "w"))).cache()
+    assert captures.count() == 35 and captures.filter(F.size("metadata") != 1).count() == 0
+    got = op4.captures_by_page(captures).collect()
+    assert sorted((r.page_id, r.refers_to or 0, r.payload_bytes) for r in got) == [(i, 9, 1200) for i in range(5)] + [(9, 0, 1200)] * 30
