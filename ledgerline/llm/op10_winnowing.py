@@ -18,6 +18,12 @@ neighbour is found without a global sort: rows go to ranges of ``doc_id``
 (bounds from approximate percentiles), each range is sorted on its own, and
 the first row of a range is also sent to the range before it. Rows of equal
 ``doc_id`` are ordered by text, null ids come last.
+
+Defined results: null and empty texts have empty fingerprints and a length of 0; ids
+must be numbers; rows of one id, repeated rows included, are documents of their
+own, one after the other; a single document is its own successor; a very long text
+is hashed as a whole in its task; an empty table
+gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ the driver. Prediction reads whole texts and nothing but texts.
 Defined results: null text, or text without a letter: ``und``, score 0,
 ambiguous. No labelled row: everything is ``und``. One language: it is
 predicted with score 1. Null ids are never learnt from and not held out.
-Repeated rows get equal results. An empty table gives no row. Columns of other
+Repeated rows get equal results and are learnt from once. Very long texts are
+counted as a whole in their task. An empty table gives no row. Columns of other
 names pass through ``with_language`` unchanged.
 """
 

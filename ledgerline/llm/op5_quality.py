@@ -15,8 +15,9 @@ all documents of a batch through all trees at once, one level per step.
 Defined results: null and empty texts have all-zero statistics and get the
 score the trees give for that; labels of a repeated id are averaged and
 rounded up at one half; null labels and ids are never learnt from; without any
-label, every score is 0.5; an empty table gives no row; other columns are
-ignored.
+label, every score is 0.5; repeated rows get equal scores; very long texts are
+measured as a whole in their task; an empty table gives no row; other columns
+are ignored.
 """
 
 from __future__ import annotations

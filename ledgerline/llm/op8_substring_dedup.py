@@ -26,7 +26,8 @@ Texts return to the places found by a join on the row number.
 Defined results: null and empty texts have no words; a document shorter than
 ``size`` loses nothing; copies of a document lose everything (each window also
 starts in the other copy); kept words are joined by one space; null ids pass
-through; an empty table gives no row; other columns are ignored.
+through; a very long text is hashed as a whole in its task; an empty table gives
+no row; other columns are ignored.
 """
 
 from __future__ import annotations
