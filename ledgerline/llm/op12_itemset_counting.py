@@ -118,7 +118,8 @@ class Run:
             h[h == 0] = 1  # 0 is no word
             piece = np.cumsum(kind == 2, dtype=np.int64)[start]
             together = np.append(piece[1:] == piece[:-1], False)
-            self.parts.append((h, together, lang, start + self.base, end + self.base, data))
+            place = [(x + self.base).astype(np.int32 if self.base + len(data) < 1 << 31 else np.int64) for x in (start, end)]
+            self.parts.append((h, together, lang.astype(np.int32), *place, data))
             self.n += len(start)
             self.base += len(data)
         self.waiting, self.size = [], 0
@@ -128,7 +129,11 @@ class Run:
             self._parse()
         if not self.parts:
             return ()
-        return tuple(np.concatenate(c) for c in zip(*self.parts))
+        columns, self.parts = list(zip(*self.parts)), []
+        out = []
+        while columns:  # one after the other: what has been joined goes
+            out.append(np.concatenate(columns.pop(0)))
+        return tuple(out)
 
 
 def slots(rows: list[np.ndarray], places: int) -> np.ndarray:
@@ -169,11 +174,14 @@ def counted(run: Run, step: int, shards: int, tables: list) -> Iterator[pa.Recor
     if not arrays:
         return
     h, together, lang, start, end, data = arrays
+    del arrays
     if step < shards:
         first, n = _tally([h])
         raw, names = data.tobytes(), list(run.langs)
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first].tolist(), end[first].tolist())]
         yield _batch([h[first]], n, np.zeros(len(n), np.int32), [names[c] for c in lang[first].tolist()], texts)
+        del first, n, raw, texts
+    del lang, start, end, data
     since = None  # step in which the phrase of k - 1 words from a place on was reached
     for k in range(2, LONGEST + 1):
         if tables[k - 2] is None or len(h) < k:
