@@ -160,7 +160,8 @@ def one_hot_drop_first(df: DataFrame, col: str, levels: Sequence | None = None,
 
 
 def train_predict(train: DataFrame, test: DataFrame, estimator, features: Sequence[str],
-                  label: str, keep: Sequence[str], weight: str | None = None) -> DataFrame:
+                  label: str, keep: Sequence[str], weight: str | None = None,
+                  partition_rows: int | None = None) -> DataFrame:
     """Fit ``estimator`` on ``train`` and score ``test``: keep columns, the
     predicted class and P(class 1).
 
@@ -168,14 +169,22 @@ def train_predict(train: DataFrame, test: DataFrame, estimator, features: Sequen
     assembled training rows are persisted (memory, spilling to disk) for
     the duration of ``fit``; a lost executor's blocks are rebuilt from the
     lineage. ``estimator`` may be a callable receiving the persisted frame
-    (for parameters that depend on the data, such as a total weight)."""
+    (for parameters that depend on the data, such as a total weight).
+
+    With ``partition_rows``, the training rows are staged and dealt evenly to
+    partitions of about so many rows: an iteration is a job of its own, and for
+    a few rows a task its time is that of starting the tasks."""
     from pyspark import StorageLevel
     from pyspark.ml.functions import vector_to_array
     if weight is None and hasattr(estimator, "isSet") and estimator.hasParam("weightCol") \
             and estimator.isSet("weightCol"):
         weight = estimator.getWeightCol()
     cols = list(dict.fromkeys([label, *features] + ([weight] if weight else [])))
-    tr = assemble(train.select(*cols), features).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = train.select(*cols)
+    if partition_rows:
+        rows = materialize(rows, "training-rows")
+        rows = rows.repartition(max(1, -(-rows.count() // partition_rows)))
+    tr = assemble(rows, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         est = estimator(tr) if callable(estimator) and not hasattr(estimator, "fit") else estimator
         model = est.setFeaturesCol("features").setLabelCol(label).fit(tr)

@@ -119,6 +119,7 @@ def class_balance(spark, sf):
 
 LANGS, BASE_LANG = ["en", "es", "fr"], "de"  # levels of lang with a 0/1 column, and without
 LANG_FEATURES = ["lang_" + v for v in LANGS]
+NETWORK_ROWS = 1 << 15  # training rows of the network in a partition
 
 
 def _weighted_train_test(rows):
@@ -167,7 +168,8 @@ def mlp(spark, sf):
     train = copies.select("doc_id", "copy_no").join(z.drop("split"), "doc_id")
     test = z.filter(F.col("split") == "test")
     est = MultilayerPerceptronClassifier(layers=[len(features), 16, 2], maxIter=1000, seed=42)
-    return ml.train_predict(train, test, est, features, "label", ["doc_id", "label"])
+    return ml.train_predict(train, test, est, features, "label", ["doc_id", "label"],
+                            partition_rows=NETWORK_ROWS)
 
 
 # --- metrics -----------------------------------------------------------------

@@ -100,3 +100,26 @@ def test_one_hot_refuses_a_level_that_is_neither_listed_nor_the_base(spark):
     more = df.unionByName(spark.createDataFrame([(4, "z")], "id int, c string"))
     with pytest.raises(Exception, match="without a column: z"):
         ml.one_hot_drop_first(more, "c", ["b"], base="a").collect()
+
+
+def test_training_rows_are_dealt_to_partitions_of_the_asked_size(spark):
+    """An iteration is a job: a few rows in many partitions take the time of their tasks."""
+    from pyspark.ml.classification import LogisticRegression
+    df = _labelled(spark, 300, 700).repartition(40)
+    seen = []
+
+    def estimator(persisted):
+        seen.append((persisted.rdd.getNumPartitions(), persisted.count()))
+        return LogisticRegression(maxIter=2)
+    for size in (4000, 300):
+        out = ml.train_predict(df, df, estimator, ["x1", "x2"], "y", ["id"], partition_rows=size)
+        assert out.count() == 1000
+    assert seen == [(1, 1000), (4, 1000)]
+
+
+def test_the_network_trains_on_sized_partitions(spark, monkeypatch):
+    from ledgerline.plans import models
+    sizes = []
+    monkeypatch.setattr(models.ml, "train_predict", lambda *a, **k: sizes.append(k["partition_rows"]))
+    models.mlp(spark, "/root/testdata/sf0.001")
+    assert sizes == [models.NETWORK_ROWS]
