@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, CalendarIntervalType, DataType, MapType, StructType, VariantType
 
 
 def key(c: Column | str, descending: bool = False, nulls: str = "postgres") -> Column:
@@ -25,5 +26,18 @@ def key(c: Column | str, descending: bool = False, nulls: str = "postgres") -> C
 
 
 def present(df: DataFrame, *keys: Column) -> DataFrame:
-    """``ORDER BY keys`` as the last step of a report."""
-    return df.orderBy(*keys)
+    """``ORDER BY keys`` as the last step of a report. Rows with equal keys
+    are ordered by their other columns, so that a value that most rows have is
+    split between range partitions like any other."""
+    names = [c.lower() for c in df.columns]
+    once = [f for f in df.schema.fields if names.count(f.name.lower()) == 1]
+    rest = [F.col("`" + f.name.replace("`", "``") + "`") for f in once if _sortable(f.dataType)]
+    return df.orderBy(*keys, *rest)
+
+
+def _sortable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _sortable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_sortable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, CalendarIntervalType | MapType | VariantType)

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import seconds_between
-from ledgerline.operators import clean, commerce, timeseries
+from ledgerline.operators import clean, commerce, ordering, timeseries
 from tests.conftest import rows
 
 
@@ -99,3 +99,24 @@ def test_pair_counts_equal_brute_force(spark, hot):
     ref = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.item") < F.col("y.item"))) \
            .groupBy(F.col("x.item").alias("a"), F.col("y.item").alias("c")).agg(F.count(F.lit(1)).alias("n"))
     assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+
+
+def test_rows_of_one_sort_value_are_split_between_range_partitions(spark):
+    """Most pairs are bought together once: their order by count isn't one task."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # no merging of small partitions
+    try:
+        df = spark.range(0, 40000, 1, 8).select("id", F.when(F.col("id") % 100 == 0, 2).otherwise(1).alias("n"),
+                                                F.create_map(F.lit("k"), "id").alias("m"))
+        got = ordering.present(df, ordering.key("n", descending=True)).rdd.map(lambda r: (r.n, r.id)).glom().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    flat = [x for part in got for x in part]
+    assert sorted(flat) == sorted((2 if i % 100 == 0 else 1, i) for i in range(40000))
+    assert [n for n, _ in flat] == sorted((n for n, _ in flat), reverse=True)
+    assert max(map(len, got)) < 12000
+
+
+def test_columns_of_one_name_are_no_tie_break(spark):
+    df = spark.range(3).select("id", F.lit(1).alias("a"), F.lit(2).alias("A"))
+    assert [r[0] for r in ordering.present(df, ordering.key("id", descending=True)).collect()] == [2, 1, 0]
