@@ -25,9 +25,9 @@ the input.
 *Large groups.* Under a common key not all pairs are made. Each member is
 verified against one of the group, another one in each round, and only while
 the two aren't in one component yet. What is left after ``ROUNDS`` rounds is
-compared exhaustively: all pairs of different components whose whole parity
-sketches (``BITS`` bits per token) are within the bound; in a join condition,
-so that only those leave the join.
+compared exhaustively: all pairs of different components whose brief sketches
+(512 bits) and then whole parity sketches (``BITS`` bits per token) are within
+the bound; in a join condition, so that only those leave the join.
 
 Equal sets are one class; only classes are joined, and copies within a task
 are left out before the shuffle. Verification computes both sets from the
@@ -61,6 +61,7 @@ SLACK = 1.3       # parts for each token that may differ
 COMMON = 16       # different sets under a rare key, at most
 ROUNDS = 3
 BITS = 8          # of the whole sketch, for each token
+BRIEF = [f"brief{i}" for i in range(8)]  # columns of a sketch of fixed length, 64 bits each
 _U = np.uint64
 _BAND = 63        # the lowest bits of a key hold the band
 
@@ -118,7 +119,16 @@ def sketch_keys(tokens: np.ndarray, table: list[tuple]) -> Iterator[tuple[int, n
 def whole_sketch(tokens: np.ndarray) -> np.ndarray:
     """Parity of the tokens over a power of two of bits; halves can be XORed
     to get the sketch of half the length."""
-    words = 1 << max(0, (len(tokens) * BITS - 1).bit_length() - 6)
+    return _parity(tokens, 1 << max(0, (len(tokens) * BITS - 1).bit_length() - 6))
+
+
+def brief_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the tokens over ``len(BRIEF)`` times 64 bits, whatever the
+    size of the set: the distance of two is a lower bound, too."""
+    return _parity(tokens, len(BRIEF))
+
+
+def _parity(tokens: np.ndarray, words: int) -> np.ndarray:
     out = np.zeros(words, _U)
     np.bitwise_xor.at(out, ((tokens >> _U(6)) % _U(words)).astype(np.int64), _U(1) << (tokens & _U(63)))
     return out.view(np.int64)
@@ -204,8 +214,8 @@ class ParityJoin:
         return once.select("key", "d", F.count(F.lit(1)).over(alike).alias("sets"))
 
     def bodies(self, wanted: DataFrame) -> DataFrame:
-        """(d, n, body, sketch) of the classes in ``wanted``; ``body``: the
-        text of one row of the class, compressed."""
+        """(d, n, body, sketch, brief0, ...) of the classes in ``wanted``;
+        ``body``: the text of one row of the class, compressed."""
         words = self.words
 
         def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +231,18 @@ class ParityJoin:
             for b in batches:
                 texts = [x.decompress(z).decode("utf-8", "surrogatepass") for z in b.column("body").to_pylist()]
                 sets = list(shingle_sets(texts, words))
+                brief = np.array([brief_sketch(s) for s in sets], np.int64).reshape(-1, len(BRIEF))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("d"), pa.array([len(s) for s in sets], pa.int64()), b.column("body"),
-                     pa.array([whole_sketch(s) for s in sets], pa.list_(pa.int64()))],
-                    names=["d", "n", "body", "sketch"])
+                     pa.array([whole_sketch(s) for s in sets], pa.list_(pa.int64()))]
+                    + [pa.array(c) for c in brief.T.copy()],
+                    names=["d", "n", "body", "sketch", *BRIEF])
 
         one = self.meta.join(wanted, "d", "left_semi").groupBy("d").agg(F.min("row_key").alias("row_key"))
         packed = self.docs.select("row_key", "text").mapInArrow(squeeze, "row_key long, body binary")
         found = packed.join(one.hint("merge"), "row_key").select("d", "body").dropDuplicates(["d"])
-        return found.mapInArrow(draw, "d long, n long, body binary, sketch array<long>")
+        return found.mapInArrow(draw, "d long, n long, body binary, sketch array<long>, "
+                                + ", ".join(f"{c} long" for c in BRIEF))
 
     # -- candidates --------------------------------------------------------
     def needs(self, shared: DataFrame) -> DataFrame:
@@ -280,11 +293,15 @@ class ParityJoin:
 
     def open_pairs(self, rows: DataFrame, bodies: DataFrame) -> DataFrame:
         """(a, b): all pairs under common keys that are in different
-        components and whose whole sketches are near enough."""
-        mine = stage(rows.join(bodies.select("d", "sketch"), "d"), "parity-open")
+        components and whose whole sketches are near enough. These are only
+        compared where the brief ones, whose distance is compiled, are near."""
+        mine = stage(rows.join(bodies.select("d", "sketch", *BRIEF), "d"), "parity-open")
         a, b = mine.alias("a"), mine.alias("b")
-        near = F.expr(f"({_apart('a.sketch', 'b.sketch')}) * {100 + self.percent}"
-                      f" <= (a.n + b.n) * {100 - self.percent}")
+
+        def within(apart: str) -> Column:
+            return F.expr(f"({apart}) * {100 + self.percent} <= (a.n + b.n) * {100 - self.percent}")
+
+        near = within(" + ".join(f"bit_count(a.{c} ^ b.{c})" for c in BRIEF)) & within(_apart("a.sketch", "b.sketch"))
         on = (F.col("a.key") == F.col("b.key")) & (F.col("a.d") < F.col("b.d")) \
             & (F.col("a.comp") != F.col("b.comp")) & self._sizes_fit("a.n", "b.n", "a.band") & near
         return a.join(b, on).select(F.col("a.d").alias("a"), F.col("b.d").alias("b")).distinct()

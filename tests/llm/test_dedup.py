@@ -201,6 +201,47 @@ def test_linking_sets_share_the_promised_keys(n):
         assert len(ka[g][0] & kb[g][0]) >= max(1, ka[g][1], kb[g][1])
 
 
+@pytest.mark.parametrize("n", [1, 9, 80, 700, 4000])
+def test_brief_sketches_are_no_further_apart_than_the_sets(n):
+    rng = np.random.default_rng(n)
+    for apart in (0, 1, n // 3, n):
+        tokens = rng.integers(0, 1 << 64, n + apart, dtype=np.uint64)
+        a, b = np.sort(tokens[:n]), np.sort(tokens[apart:])
+        x, y = op7.brief_sketch(a).view(np.uint64), op7.brief_sketch(b).view(np.uint64)
+        assert len(x) == len(op7.BRIEF) and np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_whole_sketches_are_compared_after_brief_ones_only(spark, docs):
+    """The exhaustive round gives the pairs whose whole sketches are near; of
+    the others, most are left out by columns that are compiled."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[k % 40:], rng.integers(0, 1 << 64, k % 30, dtype=np.uint64)))) for k in range(60)]
+    bodies = spark.createDataFrame(
+        [(d, op7.whole_sketch(s).tolist(), *op7.brief_sketch(s).tolist()) for d, s in enumerate(sets)],
+        "d long, sketch array<long>, " + ", ".join(f"{c} long" for c in op7.BRIEF))
+    table = op7.bands()
+    band = next(i for i, t in enumerate(table) if t[0] <= 80 < t[1])
+    rows = spark.createDataFrame([(7, band, d, len(s), d) for d, s in enumerate(sets)],
+                                 "key long, band int, d long, n long, comp long")
+    out = op7.ParityJoin(docs).open_pairs(rows, bodies)
+
+    def apart(a, b):
+        x, y = op7.whole_sketch(a), op7.whole_sketch(b)
+        if len(x) < len(y):
+            x, y = y, x
+        while len(x) > len(y):
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+    fits = lambda a, b: min(a, b) < table[band][1] and 100 * min(a, b) >= 80 * max(a, b)
+    want = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j])
+            if fits(len(a), len(b)) and 180 * apart(a, b) <= 20 * (len(a) + len(b))}
+    assert {tuple(r) for r in out.collect()} == want and 0 < len(want) < 60 * 59 // 2
+    join = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x)
+    assert 0 < join.index("bit_count((brief0") < join.index("aggregate(")
+
+
 def test_one_of_each_stays(spark, docs):
     kept = op7.keep_one_of_each(spark, docs, "")
     assert kept.columns == docs.columns
