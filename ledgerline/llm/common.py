@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ledgerline.operators.sequence import materialize
 
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2048
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,21 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return materialize(df, f"llm-{tag}")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is staged in the block go when it has been written,
+    not when the driver's garbage collector finds them."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4 (null for a null id)."""
     return F.crc32(doc_id.cast("string")) % 4

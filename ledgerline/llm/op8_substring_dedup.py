@@ -10,15 +10,19 @@ counted. Levels of growing length leave fewer and fewer candidates:
    ``size - k + 2`` words.
 2. Length ``2 k``: an anchor that was repeated is extended to the right, or to
    the left for windows that end too early; those not repeated are done with.
-3. Length ``size``: the windows whose extension was repeated are compared
-   among those with the same anchor.
+3. Whole spans: an anchor left has one run of windows. Where all words of the
+   run are repeated, so is each of its windows, and one document's stand for
+   those of all.
+4. Length ``size``: the windows of the other runs are compared among those
+   with the same anchor, the standing ones included.
 
 With no candidate left, a level is empty and nothing further happens. Each
 occurrence is a row, keyed by the hash of its window. A level's keys are
 counted by sums that begin before the shuffle; the repeated ones are staged and
 find their rows by a join of two plain shuffles, in which Spark splits a key
-that very many rows have. Hashes have 64 bits, and windows of length ``size``
-are only compared within an anchor: 128 bits.
+that very many rows have. Hashes have 64 bits, and spans and windows of length
+``size`` are only compared within an anchor: 128 bits. A level's shuffle files
+go when its result is staged.
 
 Documents are staged once, compressed, under a row number of that table.
 Texts return to the places found by a join on the row number.
@@ -41,8 +45,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_limits, documents, stage
-from ledgerline.llm.words import Words, chunks, window_hashes
+from ledgerline.llm.common import arrow_limits, documents, shuffles_dropped, stage
+from ledgerline.llm.words import Words, chunks, span_hashes, window_hashes
 from ledgerline.operators.sequence import discard
 
 SIZE = 35
@@ -167,49 +171,80 @@ def second_level(first: DataFrame) -> DataFrame:
 
 
 def last_level(texts: DataFrame, found: DataFrame, size: int, k: int) -> DataFrame:
-    """(doc, place, gram, starts, hashes): for each anchor left, the windows
-    of full length that may be repeated."""
+    """(doc, gram, span, start, hashes): for each anchor left, the windows of
+    full length that may be repeated, and the hash of all words they cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc", pa.int64()), ("gram", pa.int64()), ("start", pa.int32()),
-                            ("hashes", pa.list_(pa.int64()))])
+        names = ["doc", "gram", "span", "start", "hashes"]
+
+        def rows(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+            doc, gram, span, start, n, hashes = (np.concatenate(x) for x in out)
+            bounds = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(doc), pa.array(gram.view(np.int64)), pa.array(span.view(np.int64)), pa.array(start.astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes.view(np.int64)))], names=names)
+
         for b in batches:
-            out = [[], [], [], []]
-            for doc, found, (_, _, words) in zip(b.column(0).to_pylist(), b.column(2).to_pylist(),
-                                                 _word_hashes(_bodies(b.column(1)))):
+            out, have = [[], [], [], [], [], []], 0
+            places, sides = (c.to_numpy() for c in b.column(2).flatten().flatten())
+            ends = np.cumsum(b.column(2).value_lengths().to_numpy()).tolist()
+            for doc, begin, end, (_, _, words) in zip(b.column(0).to_pylist(), [0, *ends], ends, _word_hashes(_bodies(b.column(1)))):
                 grams, full = window_hashes(words, k), window_hashes(words, size)
                 place, first, last = anchors(grams, size, k)
-                at = {p: i for i, p in enumerate(place.tolist())}
-                for x in found:
-                    i = at[x["place"]]
-                    turn = int(place[i]) - (size - 2 * k)  # earlier starts need the left extension
-                    a, z = (max(first[i], turn), last[i]) if x["side"] == 1 else (first[i], min(last[i], turn - 1))
-                    out[0].append(doc)
-                    out[1].append(int(grams[place[i]].view(np.int64)))
-                    out[2].append(int(a))
-                    out[3].append(full[a:z + 1].view(np.int64))
-                if len(out[0]) > 1 << 15:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-                    out = [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                at, ahead = places[begin:end], sides[begin:end] == 1
+                i = np.searchsorted(place, at)
+                turn = at - (size - 2 * k)  # earlier starts need the left extension
+                a = np.where(ahead, np.maximum(first[i], turn), first[i])
+                z = np.where(ahead, last[i], np.minimum(last[i], turn - 1))
+                n = z - a + 1
+                windows = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                for to, x in zip(out, (np.full(len(at), doc, np.int64), grams[at], span_hashes(words, a, z + size), a, n, full[windows])):
+                    to.append(x)
+                have += len(at)
+                if have > 1 << 15:
+                    yield rows(out)
+                    out, have = [[], [], [], [], [], []], 0
+            if have:
+                yield rows(out)
 
     pairs = texts.join(found.hint("merge"), "doc").select("doc", "body", "found")
-    return pairs.mapInArrow(run, "doc long, gram long, start int, hashes array<long>")
+    return pairs.mapInArrow(run, "doc long, gram long, span long, start int, hashes array<long>")
+
+
+def span_level(last: DataFrame) -> DataFrame:
+    """(doc, gram, start, n, repeated, hashes), staged: the runs of ``n``
+    windows from ``start``, and whether another run has the same words.
+    ``hashes`` of the runs that are not repeated and, of those that are, in the
+    document of the least number."""
+    keys = ["gram", "span"]
+    more = stage(last.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"))
+                     .filter("n > 1").select(*keys, "least"), "windows-repeated")
+    out = stage(last.join(more, keys, "left").select(
+        "doc", "gram", "start", F.size("hashes").alias("n"), F.col("least").isNotNull().alias("repeated"),
+        F.when(F.coalesce(F.col("least") == F.col("doc"), F.lit(True)), F.col("hashes")).alias("hashes")), "windows-spans")
+    discard(more)
+    return out
 
 
 def repeated_starts(texts: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc, starts): starts of the windows of each document that are repeated,
-    staged. A level's table goes when the next one is written."""
+    """(doc, starts): runs of the windows of each document that are repeated,
+    as (start, n), staged. A level's table goes when the next one is written."""
     k = -(-size // 4)
     first = stage_repeated(first_level(texts, size, k), ["gram"], "windows-anchors", anchor_counts(texts, size, k))
     found = second_level(first)
     discard(first)
     last = stage(last_level(texts, found, size, k), "windows-whole")
     discard(found)
-    windows = last.select("gram", "doc", F.posexplode("hashes").alias("i", "window"), "start") \
-                  .select("gram", "window", "doc", (F.col("start") + F.col("i")).alias("start"))
-    starts = stage_repeated(windows, ["gram", "window"], "windows-starts", shape=lambda found: found.groupBy("doc").agg(
-        F.collect_list("start").alias("starts")))
+    spans = span_level(last)
     discard(last)
+    windows = spans.select("gram", "doc", "repeated", F.posexplode("hashes").alias("i", "window"), "start") \
+                   .select("gram", "window", "doc", "repeated", (F.col("start") + F.col("i")).alias("start"))
+    counts = windows.select("gram", "window", F.lit(1).cast("long").alias("n"))
+    whole = spans.filter("repeated").select("doc", "start", "n")
+    starts = stage_repeated(
+        windows.filter("not repeated").drop("repeated"), ["gram", "window"], "windows-starts", counts,
+        shape=lambda found: found.select("doc", "start", F.lit(1).alias("n")).unionByName(whole).groupBy("doc").agg(
+            F.collect_list(F.struct("start", "n")).alias("starts")))
+    discard(spans)
     return starts
 
 
@@ -220,18 +255,21 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("windows of at least 4 words")
     arrow_limits(docs.sparkSession)
     texts = staged_documents(docs, id_col, text_col)
-    starts = repeated_starts(texts, size)
+    with shuffles_dropped(docs.sparkSession):
+        starts = repeated_starts(texts, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [[], [], [], [], []]
-            for found, (w, i, words) in zip(b.column("starts").to_pylist(), _word_hashes(_bodies(b.column("body")))):
+            begins, runs = (c.to_numpy() for c in b.column("starts").flatten().flatten())
+            ends = np.cumsum(b.column("starts").value_lengths().fill_null(0).to_numpy()).tolist()
+            for begin, end, (w, i, words) in zip([0, *ends], ends, _word_hashes(_bodies(b.column("body")))):
                 n = len(words)
                 change = np.zeros(n + 1, np.int64)
-                if found:
-                    at = np.array(found)
+                if end > begin:
+                    at = begins[begin:end]
                     change += np.bincount(at, minlength=n + 1)
-                    change -= np.bincount(at + size, minlength=n + 1)
+                    change -= np.bincount(at + runs[begin:end] - 1 + size, minlength=n + 1)
                 gone = np.cumsum(change)[:n] > 0
                 base = w.first[i]
                 kept = b" ".join([w.raw[w.start[base + j]:w.end[base + j]] for j in np.flatnonzero(~gone).tolist()])

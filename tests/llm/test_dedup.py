@@ -280,3 +280,43 @@ def test_substrings_edges(spark, nothing):
     assert op8.removed_words(nothing).count() == 0
     with pytest.raises(ValueError):
         op8.removed_words(nothing, size=3)
+
+
+def _copies(n):
+    """Copies of a text, parts of it that begin and end anywhere, and a loop."""
+    rng = random.Random(n)
+    words = [f"w{rng.randrange(500)}" for _ in range(400)]
+    rows = [(i, " ".join(words)) for i in range(n)]
+    for i in range(40):
+        at = rng.randrange(300)
+        rows.append((1000 + i, " ".join([f"a{i}", *words[at:at + 33 + i % 12], f"b{i}"])))
+    return rows + [(2000, "p q r " * 60), (2001, "x y z " * 11 + "end " + "x y z " * 12)]
+
+
+@pytest.mark.parametrize("size", [7, 35])
+def test_substrings_of_copies(spark, size, monkeypatch):
+    compared, plain = [], op8.stage_repeated
+
+    def counted(rows, keys, tag, *args, **named):
+        if "window" in keys:
+            compared.append(rows.count())
+        return plain(rows, keys, tag, *args, **named)
+
+    monkeypatch.setattr(op8, "stage_repeated", counted)
+    rows = _copies(50)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in op8.removed_words(frame, size=size).collect())
+    assert got == Counter(_windows(rows, size))
+    assert compared[0] < 3000  # the windows of 50 copies are not rows: 18,705 and more were
+
+
+def test_substrings_leave_no_shuffle_files(spark):
+    def files():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {x.getName() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles())
+                if x.getName().startswith("shuffle_")}
+
+    frame = spark.createDataFrame(_copies(5), "doc_id long, text string")
+    before = files()
+    op8.removed_words(frame)
+    assert not files() - before
