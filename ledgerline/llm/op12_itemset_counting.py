@@ -12,11 +12,13 @@ A word is the 64-bit hash of its language and bytes, a phrase the row of its wor
 ``w1`` to ``w4`` (0: none). Words come with their text; should two have one
 hash, which is tested over all words, everything is counted again with other hashes.
 A scan counts runs of words task by task in numpy. Which phrases are active it knows
-from a table of steps per length: at a place found from its hashes, the first step in which a
-phrase of that place reached ``least``. Two phrases may share a place, and a phrase then becomes
-active earlier than it had to, but never before its subphrases. It is still counted in one full cycle,
-beginning where the table says, for entries never change: clashes cost time, not exactness, and the table's size,
-which follows the input up to ``PLACES``, doesn't matter to the result.
+from a table of steps per length: at each of two places found from its hashes, the first step in which a
+phrase of that place reached ``least``; the later of the two counts. Phrases may share places, and a phrase whose places
+are both taken becomes active earlier than it had to, but never before its subphrases. It is still counted in one full cycle,
+beginning where the table says, for entries never change: clashes cost time, not exactness, and the tables' sizes,
+which follow the input up to ``PLACES``, don't matter to the result. An entry takes four bits, and a worker has each
+table once: the tables are broadcast by themselves, not as a part of the pickled function, which a worker keeps
+beside what it makes of it.
 A step's counts are added to those of the active phrases by one aggregation, which begins before
 the shuffle, and staged.
 
@@ -37,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +53,9 @@ LONGEST = 4
 SHARDS = 3
 SLICE = 1 << 18            # bytes parsed at a time
 GROUP_WORDS = 1 << 20      # words counted at a time
-PLACES = 1 << 28
+BATCH = 1 << 16            # counts sent to the JVM at a time
+PLACES = 1 << 27           # of the pairs' table; triples have half as many
+WORD_PLACES = 1 << 24      # words grow more slowly than the input
 UNSEEN = 255               # steps are fewer: LONGEST times SHARDS
 WORDS = ["w1", "w2", "w3", "w4"]
 NEVER = 1 << 30
@@ -136,6 +141,57 @@ class Run:
         return tuple(out)
 
 
+def table_places(scanned: int, places: int | None = None) -> list[int]:
+    """Places of the tables of words, pairs and triples for ``scanned`` bytes of
+    input; ``places``: those of the pairs."""
+    pairs = places or min(PLACES, max(1 << 16, 1 << (scanned // 128).bit_length()))
+    return [min(pairs, WORD_PLACES), pairs, max(1, pairs // 2)]
+
+
+class Steps:
+    """By place, the first step in which one was entered there: in four bits (all set:
+    none), or in eight where there are more than 15 steps."""
+
+    def __init__(self, places: int, steps: int, cells: np.ndarray | None = None):
+        self.places, self.half = places, steps <= 15
+        self.unseen = 15 if self.half else UNSEEN  # later than all steps
+        self.cells = np.full(-(-places // 2) if self.half else places, UNSEEN, np.uint8) if cells is None else cells
+
+    def at(self, slot: np.ndarray) -> np.ndarray:
+        if not self.half:
+            return self.cells[slot]
+        return (self.cells[slot >> _U(1)] >> ((slot & _U(1)) << _U(2)).astype(np.uint8)) & np.uint8(15)
+
+    def enter(self, begin: int, hit: np.ndarray, step: int) -> None:
+        """``step`` for the places from ``begin`` on, an even number, that ``hit`` tells, if they have none."""
+        hit = hit[:self.places - begin]
+        if not self.half:
+            part = self.cells[begin:begin + len(hit)]
+            part[hit & (part == UNSEEN)] = step
+            return
+        hit = np.append(hit, np.zeros(len(hit) % 2, bool))
+        part = self.cells[begin // 2:(begin + len(hit)) // 2]
+        for own, shift in ((hit[0::2], 0), (hit[1::2], 4)):
+            free = own & ((part >> shift) & 15 == 15)
+            part[free] ^= np.uint8((15 ^ step) << shift)
+
+    def reached(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The step of each phrase: the later one of its two places."""
+        out = self.at(slots(rows, self.places))
+        at = np.flatnonzero(out != self.unseen)
+        out[at] = np.maximum(out[at], self.at(slots([turned(r[at]) for r in rows], self.places)))
+        return out
+
+
+def turned(h: np.ndarray) -> np.ndarray:
+    """The hashes with their halves exchanged, for the second place: ``slots`` then reads other bits."""
+    return (h << _U(32)) | (h >> _U(32))
+
+
+def turned_column(w: str) -> Column:
+    return F.shiftleft(w, 32).bitwiseOR(F.shiftrightunsigned(w, 32))
+
+
 def slots(rows: list[np.ndarray], places: int) -> np.ndarray:
     """A phrase's place in the table of its length."""
     out = rows[0].copy()
@@ -169,7 +225,7 @@ def _tally(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(run: Run, step: int, shards: int, tables: list) -> Iterator[pa.RecordBatch]:
     """Counts of the run's words, in the first cycle, and of its phrases that are
-    active in ``step``. ``tables``: by length, the step in which a place was reached."""
+    active in ``step``. ``tables``: by length, the steps in which places were reached."""
     arrays = run.arrays()
     if not arrays:
         return
@@ -179,7 +235,7 @@ def counted(run: Run, step: int, shards: int, tables: list) -> Iterator[pa.Recor
         first, n = _tally([h])
         raw, names = data.tobytes(), list(run.langs)
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first].tolist(), end[first].tolist())]
-        yield _batch([h[first]], n, np.zeros(len(n), np.int32), [names[c] for c in lang[first].tolist()], texts)
+        yield from _batches([h[first]], n, np.zeros(len(n), np.int32), [names[c] for c in lang[first].tolist()], texts)
         del first, n, raw, texts
     del lang, start, end, data
     since = None  # step in which the phrase of k - 1 words from a place on was reached
@@ -187,7 +243,7 @@ def counted(run: Run, step: int, shards: int, tables: list) -> Iterator[pa.Recor
         if tables[k - 2] is None or len(h) < k:
             return
         shorter = [h[i:len(h) - k + 2 + i] for i in range(k - 1)]  # all runs of k - 1 words
-        reached = tables[k - 2][slots(shorter, len(tables[k - 2]))]
+        reached = tables[k - 2].reached(shorter)
         if k > 2:  # not before its own subphrases, whatever shares its place
             reached = np.maximum(reached, np.maximum(since[:-1], since[1:]))
             reached[~together[k - 3:len(h) - 1]] = UNSEEN
@@ -200,7 +256,14 @@ def counted(run: Run, step: int, shards: int, tables: list) -> Iterator[pa.Recor
         if len(at):
             rows = [h[at + i] for i in range(k)]
             first, n = _tally(rows)
-            yield _batch([r[first] for r in rows], n, latest[at[first]].astype(np.int32) + 1)
+            yield from _batches([r[first] for r in rows], n, latest[at[first]].astype(np.int32) + 1)
+
+
+def _batches(rows: list[np.ndarray], n: np.ndarray, act: np.ndarray, langs: list | None = None,
+             texts: list | None = None) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(n), BATCH):
+        part = slice(i, i + BATCH)
+        yield _batch([r[part] for r in rows], n[part], act[part], langs and langs[part], texts and texts[part])
 
 
 def _batch(rows: list[np.ndarray], n: np.ndarray, act: np.ndarray, langs: list | None = None,
@@ -221,7 +284,7 @@ class Counter:
         if LONGEST * shards >= UNSEEN:
             raise ValueError("too many shards")
         arrow_limits(self.spark)
-        self.places = places or min(PLACES, max(1 << 16, 1 << (scanned_bytes(docs) // 64).bit_length()))
+        self.places = table_places(scanned_bytes(docs), places)
         self.path = f"{staging_folder(self.spark)}/llm-phrase-shards-{uuid.uuid4().hex}"
         # dealt by place, so that copies don't meet in one shard
         docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
@@ -229,15 +292,16 @@ class Counter:
                     F.pmod(F.monotonically_increasing_id(), F.lit(shards)).alias("shard")) \
             .write.partitionBy("shard").parquet(self.path)
         self.shard_rows = self.spark.read.schema("lang string, text binary, shard int").parquet(self.path)
-        self.tables: list = [None] * (LONGEST - 1)
+        self.tables: list[Steps | None] = [None] * (LONGEST - 1)
+        self.sent: list[Broadcast | None] = [None] * (LONGEST - 1)
         self.found: list[DataFrame] = []
         self.totals: DataFrame | None = None
 
     def _scan(self, t: int) -> DataFrame:
-        shards, seed, tables = self.shards, self.seed, self.tables
+        shards, seed, sent = self.shards, self.seed, list(zip(self.places, self.sent))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            run = Run(seed)
+            run, tables = Run(seed), [b and Steps(p, LONGEST * shards, b.value) for p, b in sent]
             for b in batches:
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                     if run.add(lang, text.as_py() or b""):
@@ -252,22 +316,39 @@ class Counter:
         """Enter the phrases reached in step ``t``; whether there are any. What
         comes to the driver is bounded by the size of the tables."""
         new = state.filter((F.col("reached") == t) & (F.col("w4") == 0))
-        length = F.when(F.col("w2") == 0, 0).when(F.col("w3") == 0, 1).otherwise(2)
-        slot = slot_column(self.places) + 1  # Spark counts these from 1
-        got = new.select(length.alias("k"), slot.alias("slot")).groupBy("k", F.bitmap_bucket_number("slot").alias("at")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-        tables = list(self.tables)
+        length = F.when(F.col("w2") == 0, 0).when(F.col("w3") == 0, 1).otherwise(2).alias("k")
+        # each with its two places
+        both = new.select(F.inline(F.array(*[F.struct(length, *[f(w).alias(w) for w in WORDS[:3]])
+                                             for f in (F.col, turned_column)])))
+        words, pairs, triples = [slot_column(p) for p in self.places]
+        slot = F.when(F.col("k") == 0, words).when(F.col("k") == 1, pairs).otherwise(triples) + 1  # Spark counts these from 1
+        # places are brought together, not bitmaps, of which each task would send one for nearly every place
+        got = both.select("k", slot.alias("slot")).select("k", F.bitmap_bucket_number("slot").alias("at"), F.bitmap_bit_position("slot").alias("bit")) \
+                  .repartition("k", "at").groupBy("k", "at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
         for r in got:
-            if tables[r.k] is None or tables[r.k] is self.tables[r.k]:
-                tables[r.k] = np.full(self.places, UNSEEN, np.uint8) if tables[r.k] is None else tables[r.k].copy()
-            begin = (r["at"] - 1) * 8 * len(r.bits)
-            part = tables[r.k][begin:begin + 8 * len(r.bits)]
-            hit = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")[:len(part)] > 0
-            part[hit & (part == UNSEEN)] = t
-        self.tables = tables
+            if self.tables[r.k] is None:
+                self.tables[r.k] = Steps(self.places[r.k], LONGEST * self.shards)
+            hit = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little") > 0
+            self.tables[r.k].enter((r["at"] - 1) * len(hit), hit, t)
+        for k in {r.k for r in got}:
+            self._unsend(k)
+            self.sent[k] = self.spark.sparkContext.broadcast(self.tables[k].cells)
         return bool(got)
 
+    def _unsend(self, k: int) -> None:
+        """The broadcast table goes; what was made with it has been staged."""
+        if self.sent[k] is not None:
+            self.sent[k].destroy()
+            self.sent[k] = None
+
     def run(self) -> Counter:
+        try:
+            return self._run()
+        finally:
+            for k in range(len(self.sent)):
+                self._unsend(k)
+
+    def _run(self) -> Counter:
         state, t, latest = None, 0, 0
         # a phrase reached in step s activates others for the steps up to s + shards
         while t < self.shards or t <= latest + self.shards:
@@ -327,7 +408,7 @@ def _key(words: Column) -> list[Column]:
 
 def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP,
             shards: int = SHARDS, places: int | None = None) -> DataFrame:
-    """The first ``top`` phrases of each language. ``places``: size of the tables
+    """The first ``top`` phrases of each language. ``places``: size of the pairs' table
     of steps, a power of two."""
     found, totals = frequent(docs, lang_col, text_col, least, shards, places)
     wide = lambda c: c.cast("decimal(28,0)")

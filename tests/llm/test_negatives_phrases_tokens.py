@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,6 +168,56 @@ def test_words_with_one_hash_are_counted_anew(spark, monkeypatch):
     assert [r.n for r in found.filter("w2 <> 0").collect()] == [40]
 
 
+def test_tables_of_steps_stay_small_and_apart_from_the_function(spark, monkeypatch):
+    """At 6 GB a worker held three tables of 128 MB twice: in the function's bytes, and as arrays."""
+    sizes = lambda n: sum(op12.Steps(p, op12.LONGEST * op12.SHARDS).cells.nbytes for p in op12.table_places(n))
+    assert sizes(6 * 10**9) <= 56 << 20
+    assert sizes(10**13) <= 104 << 20
+    docs = spark.createDataFrame([("en", "to be or not to be"), (None, "to be")] * 20, "lang string, text string")
+    made, real = [], type(docs).mapInArrow
+
+    def watched(df, f, *args, **kw):
+        made.append(len(cloudpickle.dumps(f)))
+        return real(df, f, *args, **kw)
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    c = op12.Counter(docs, "lang", "text", 12, 3, 1, 1 << 22).run()
+    assert len(made) > 3 and max(made) < 1 << 20 < max(t.cells.nbytes for t in c.tables if t)
+    assert c.sent == [None] * 3  # what was broadcast is gone
+
+
+@pytest.mark.parametrize("places, steps", [(1 << 17, 12), (1 << 17, 24), (1, 12)])
+def test_table_of_steps(places, steps):
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(1, 1 << 63, 3000, dtype=np.uint64) for _ in range(2)]
+    entered = rng.integers(0, 9, 1000)
+    table, unseen = op12.Steps(places, steps), 15 if steps < 16 else 255
+    want = np.full(places, unseen)
+    for step in range(9):
+        some = [r[:1000][entered == step] for r in rows]
+        hit = np.zeros(max(places, 1 << 15), bool)
+        for r in (some, [op12.turned(x) for x in some]):
+            hit[op12.slots(r, places)] = True
+        for begin in range(0, len(hit), 1 << 15):
+            table.enter(begin, hit[begin:begin + (1 << 15)], step)
+        want[hit[:places] & (want == unseen)] = step
+    assert (table.at(np.arange(places, dtype=np.uint64)) == want).all()
+    got = table.reached(rows)
+    assert (got[:1000] <= entered).all()
+    if places > 1:
+        assert (got[:1000] == entered).mean() > 0.99
+        assert (got[1000:] == unseen).mean() > 0.99
+
+
+def test_counts_reach_spark_in_small_batches(monkeypatch):
+    monkeypatch.setattr(op12, "BATCH", 100)
+    run = op12.Run(1)
+    run.add("en", " ".join(f"w{i % 730}" for i in range(2000)).encode())
+    out = list(op12.counted(run, 0, 3, [None] * 3))
+    assert len(out) == 8 and max(b.num_rows for b in out) == 100
+    assert Counter({w: n for b in out for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist())}) == \
+        Counter(f"w{i % 730}" for i in range(2000))
+
+
 def test_no_phrases(nothing):
     assert op12.phrases(nothing).collect() == []
 
